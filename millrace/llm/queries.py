@@ -1,11 +1,16 @@
 """The registered queries of the text operators and the SQL that they must agree with."""
 
-from . import bpe, simhash_dedup, token_files
+from . import bpe, line_dedup, quality, simhash_dedup, token_files
 
 QUERIES = {
     "op1_simhash": simhash_dedup.op1,
     "op2_token_files": token_files.op2,
     "op3_bpe": bpe.op3,
+    "op4_quality": quality.op4,
+    "op6_line_dedup": line_dedup.op6,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quality": quality.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
+}
