@@ -1,6 +1,6 @@
 """The registered queries of the text operators and the SQL that they must agree with."""
 
-from . import bpe, line_dedup, quality, simhash_dedup, token_files
+from . import bpe, chat_format, decontamination, licence_scan, line_dedup, quality, simhash_dedup, token_files
 
 QUERIES = {
     "op1_simhash": simhash_dedup.op1,
@@ -8,9 +8,14 @@ QUERIES = {
     "op3_bpe": bpe.op3,
     "op4_quality": quality.op4,
     "op6_line_dedup": line_dedup.op6,
+    "op8_chat_format": chat_format.op8,
+    "op9_licence_scan": licence_scan.op9,
+    "op10_decontamination": decontamination.op10,
 }
 
 ORACLES: dict[str, str] = {
     "op4_quality": quality.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
+    "op8_chat_format": chat_format.ORACLE,
+    "op9_licence_scan": licence_scan.ORACLE,
 }
