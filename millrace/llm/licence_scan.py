@@ -84,11 +84,11 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, at_least:
         return let(bigrams(unit), of)
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.split(text, "\n").alias("lines"), text.alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.split(text, "\n").alias("lines"), text.alias("text"))
     by_line = F.flatten(F.transform("lines", lambda x, i: found(x, i + 1)))
     # The whole text can only match if it isn't longer than the longest template by far: bigrams are no shorter than three characters.
     whole = F.when(F.size("lines") > 1, found(F.col("text"), F.lit(0))).otherwise(F.filter(found(F.lit(""), F.lit(0)), lambda x: F.lit(False)))
-    hits = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(F.concat(by_line, whole)).alias("h"))
+    hits = rows.select("row", "doc_id", F.explode(F.concat(by_line, whole)).alias("h"))
     best = F.min(F.struct((-F.col("h.dice")).alias("d"), F.col("h.line").alias("line")))
     return hits.groupBy("row", "doc_id", "h.licence").agg(best.alias("b")).select("doc_id", "licence", F.col("b.line").cast("long").alias("line"), (-F.col("b.d")).alias("dice"))
 
