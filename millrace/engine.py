@@ -133,6 +133,27 @@ class Engine:
         aggregates = {c: self.model.concepts[c].lineage for c in bound if self.model.concepts[c].lineage is not None and self.model.concepts[c].purpose == "metric"}
         keys = frozenset(self.model.canonical(g) for g in grain) if grain is not None else frozenset(k for c in bound for k in self.model.natural_keys(c))
         self.model.datasources[name] = Datasource(name, bound, keys, self.loader(name, source), d.get("partial", False), d.get("where"), d.get("complete"), aggregates, write_to=d.get("write") or (source[1] if source and source[0] == "table" else source[1][0] if source and source[0] == "file" else None), incremental=d.get("incremental"), partition=d.get("partition") or [])
+        if d.get("partial") and d.get("complete") is not None:
+            self.union_partitions(keys)
+
+    def union_partitions(self, grain: frozenset) -> None:
+        """Partial sources of one grain that are each complete for a slice, stacked; each arm keeps its slice's condition, which lets the optimizer drop arms."""
+        arms = [d for d in self.model.datasources.values() if d.partial and d.complete is not None and d.grain == grain]
+        if len(arms) < 2:
+            return
+        shared = [c for c in arms[0].columns if all(c in d.columns for d in arms)]
+
+        def load() -> DataFrame:
+            out = None
+            for d in arms:
+                frame = self.planner.scan(d.name)
+                frame = self.planner.keep(frame, self.planner.expand(d.complete))
+                df = frame.df.select(*map(frame.col, shared))
+                out = df if out is None else out.unionByName(df)
+            return out
+
+        name = "union:" + ",".join(sorted(grain))
+        self.model.datasources[name] = Datasource(name, {c: (Node("ref", column_name(c)), "") for c in shared}, grain, load)
 
     def loader(self, name: str, source: tuple | None):
         if source is None:

@@ -606,7 +606,7 @@ class Parser:
                 names.append(self.name())
                 self.accept(",")
             return Statement("validate", {"what": what, "names": names})
-        if word in ("union", "except", "intersect"):
+        if word in ("union", "except", "intersect") and after == "(":
             return Statement("select", {"select": {"setop": self.setop()}})
         return Statement("select", {"select": self.select()})
 

@@ -335,6 +335,10 @@ class Planner:
         swap = lambda y: put.get(y) or y.map(swap)
         return frame, swap(atom)
 
+    def ready(self, frame: Frame, x: Node, where: list, grain: list[Node]) -> tuple[Frame, Node]:
+        """x over columns of frame alone: with columns for its aggregates, scalar selects and memberships."""
+        return self.flagged(*self.with_values(frame, x, where, grain))
+
     # Aggregates
 
     def aggregates(self, aggs: list[Node], keys: list[Node], where: list[list[Node]], by: tuple | None = None) -> DataFrame:
@@ -350,18 +354,21 @@ class Planner:
         frame = self.filtered(need, where, keys)
         grain = frozenset(k for x in (*keys, *args) for k in self.grain_of(x))
         put = []
+        columns = []
+        for k in keys:
+            frame, k = self.ready(frame, k, where, [])
+            columns.append(k)
         for n in aggs:
             new = []
             for a in n.args:
-                frame, a = self.with_values(frame, a, where, keys)
-                frame, a = self.flagged(frame, a)
+                frame, a = self.ready(frame, a, where, keys)
                 new.append(a)
             put.append(Node(n.kind, n.name, tuple(new), n.extra))
         grain |= frozenset(k for n in inner if n.extra for x in n.extra[0] for k in self.grain_of(x))
         grain = self.model.minimal(grain)
         frame = self.to_grain(frame, grain)
         df = frame.df
-        for i, k in enumerate(keys):
+        for i, k in enumerate(columns):
             df = df.withColumn(f"k{i}", self.compile(k, df, frame.columns))
         names = [f"k{i}" for i in range(len(keys))]
         if by is None:
@@ -514,10 +521,16 @@ class Planner:
         terms = [x for _, x, _ in items] + ([having] if having is not None else []) + [x for x, _, _ in order]
         shaped = lambda x: any(n.kind in ("agg", "win") for n in self.own(x))
         dims = [x for _, x, _ in items if not shaped(x) and x.kind not in ("scalar", "subselect")]
+        if any(n.kind == "agg" and not n.extra for x in terms for n in self.own(x)):
+            # beside a free aggregate, one pinned to keys that the result's keys don't determine is a dimension
+            known = self.model.closure(frozenset(k for d in dims for k in self.grain_of(d)) | frozenset(d.name for d in dims if d.kind == "ref"))
+            dims += [x for _, x, _ in items if x.kind == "agg" and x.extra and x.extra[0] and not self.grain_of(x) <= known]
         aggs: list[Node] = []
 
         def collect(x: Node) -> None:
             for n in self.own(x):
+                if n in dims:
+                    continue
                 if n.kind == "agg":
                     if n not in aggs:
                         aggs.append(n)
@@ -685,7 +698,11 @@ class Planner:
         frame = self.filtered(need, where, grain)
         refs = frozenset(g.name for g in grain if g.kind == "ref")
         generated = [g for g in grain if any(n.kind == "call" and n.name in ("unnest", "date_spine") for n in self.own(g))]
-        df = frame.df.select(*(self.compile(g, frame.df, frame.columns).alias(f"g{i}") for i, g in enumerate(grain)))
+        made = []
+        for g in grain:
+            frame, g = self.ready(frame, g, where, [])
+            made.append(g)
+        df = frame.df.select(*(self.compile(g, frame.df, frame.columns).alias(f"g{i}") for i, g in enumerate(made)))
         return df if frame.unique and frame.unique <= refs and not generated else df.distinct()
 
     def subselect(self, frame: Frame, n: Node, dims: list[Node], put: dict) -> tuple[Frame, Node]:

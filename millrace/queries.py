@@ -187,7 +187,7 @@ add("grain_function", "select count_distinct(grain(orders.status, orders.priorit
 add("group_by_function", "select orders.id as oid, group(customer.segment) by customer.id as segment;", "select o_orderkey as oid, c_mktsegment as segment from orders left join customer on c_custkey = o_custkey")
 add("from_clause", "from orders select customer.id as cid, count(orders.id) as n;", "select o_custkey as cid, count(*) as n from orders group by 1")
 add("recursion", "key node.id int; property node.id.parent int; datasource nodes (id: node.id, p: ?node.parent) grain (node.id) query '''select id, case when id % 10 = 0 then null else id - 1 end as p from range(1, 60)'''; auto top <- recurse_edge(node.id, node.parent); select node.id as n, top as t;",
-    "with recursive w as (select id, case when id % 10 = 0 then null else id - 1 end as p from range(1, 60) r(id)), t as (select id, id as at from w union all select t.id, w.p from t join w on w.id = t.at where w.p is not null) select id as n, min(at) as t from t group by 1")
+    "with recursive w as (select id, case when id % 10 = 0 then null else id - 1 end as p from range(1, 60) r(id)), t as (select id, id as anc from w union all select t.id, w.p from t join w on w.id = t.anc where w.p is not null) select id as n, min(anc) as t from t group by 1")
 add("summary_rollup", "datasource by_day (status: orders.status, priority: orders.priority, n: order_count) grain (orders.status, orders.priority) query '''select 'F' as status, '5-LOW' as priority, 7L as n union all select 'F', '1-URGENT', 5L union all select 'O', '5-LOW', 2L'''; select orders.status as status, order_count as n;",
     "select 'F' as status, 12 as n union all select 'O', 2")
 add("partition_union", "key channel string; key sale int; property sale.amount float; partial datasource web (c: channel, s: sale, a: amount) grain (sale, channel) complete where channel = 'W' query '''select 'W' as c, id as s, id * 1.5 as a from range(10)'''; partial datasource store (c: channel, s: sale, a: amount) grain (sale, channel) complete where channel = 'S' query '''select 'S' as c, id as s, id * 2.0 as a from range(5)'''; select channel as c, sum(amount) as s;",
