@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 PRIOR = 400.0
-BLOCK_BYTES, BUCKET_TOKENS = 16 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_TOKENS = 8 << 20, 4 << 20
 #: Byte strings that are no words stand for the end of a text and for the state before its first word.
 END, START = b" ", b"\n"
 BLOCK = "block long, doc_id array<long>, n array<int>, train array<boolean>, words binary, tokens binary"
@@ -53,9 +54,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _pack(ids: list, lengths: list[int], train: list[bool], known: dict[bytes, int], tokens: list[int], block: int) -> pa.RecordBatch:
+def _close(x: np.ndarray) -> bytes:
+    """Unsigned numbers as compressed planes of bytes: the upper planes of small numbers cost nothing."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def _open(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _pack(ids: list, lengths: list[int], train: list[bool], known: dict[bytes, int], tokens: array, block: int) -> pa.RecordBatch:
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)
-    row = [[block], [ids], [lengths], [train], [hashes.tobytes()], [zstandard.compress(np.array(tokens, np.uint32).tobytes(), 1)]]
+    row = [[block], [ids], [lengths], [train], [hashes.tobytes()], [_close(np.frombuffer(tokens, np.uint32))]]
     kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["block", "doc_id", "n", "train", "words", "tokens"])
 
@@ -67,7 +78,7 @@ def blocks(docs: DataFrame) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
 
         def fresh() -> tuple:
-            return [], [], [], {START: 0, END: 1}, [], 0
+            return [], [], [], {START: 0, END: 1}, array("I"), 0
 
         ids, lengths, train, known, tokens, size = fresh()
         for b in batches:
@@ -77,7 +88,7 @@ def blocks(docs: DataFrame) -> DataFrame:
                     block += 1
                     ids, lengths, train, known, tokens, size = fresh()
                 ws = (text or b"").lower().split()
-                tokens += [known.setdefault(w, len(known)) for w in ws]
+                tokens.extend([known.setdefault(w, len(known)) for w in ws])
                 tokens.append(1)
                 ids.append(i)
                 lengths.append(len(ws) + 1)
@@ -94,7 +105,7 @@ class Part:
 
     def __init__(self, n, train, words: bytes, tokens: bytes):
         hashes = np.frombuffer(words, np.uint64)
-        self.now = np.frombuffer(zstandard.decompress(tokens), np.uint32).astype(np.int64)
+        self.now = _open(tokens, np.uint32).astype(np.int64)
         self.lengths = np.asarray(n, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.before = np.empty_like(self.now)
@@ -126,24 +137,21 @@ def _requests(table: DataFrame, bits: int) -> DataFrame:
                 part = Part(r["n"], r["train"], r["words"], r["tokens"])
                 bucket = (part.hashes >> np.uint64(64 - bits)).astype(np.int64)
                 at = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-                low = ((part.hashes << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+                low = (part.hashes << np.uint64(bits)) >> np.uint64(16)
                 rows = [(k, i, j) for k, (i, j) in enumerate(zip(at, at[1:], strict=False)) if j > i]
-                pick = lambda x: [zstandard.compress(np.ascontiguousarray(x[i:j]).tobytes(), 1) for _, i, j in rows]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _, _ in rows], pa.int32()), pa.array([r["block"]] * len(rows), pa.int64()), pa.array([low[i:j].tobytes() for _, i, j in rows], pa.binary()), pa.array(pick(part.counts.astype(np.uint32)), pa.binary()), pa.array(pick(part.is_word.astype(np.uint8)), pa.binary())],
-                    ["bucket", "block", "low", "counts", "words"],
-                )
+                pick = lambda x: pa.array([_close(x[i:j]) for _, i, j in rows], pa.binary())
+                steps = pa.array([_close(np.diff(low[i:j], prepend=np.uint64(0))) for _, i, j in rows], pa.binary())
+                place = [pa.array([k for k, _, _ in rows], pa.int32()), pa.array([r["block"]] * len(rows), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*place, steps, pick(part.counts.astype(np.uint32)), pick(part.is_word.astype(np.uint8))], ["bucket", "block", "low", "counts", "words"])
 
     return table.select("block", "n", "train", "words", "tokens").mapInArrow(run, "bucket int, block long, low binary, counts binary, words binary")
 
 
 def _answer(group: pd.DataFrame) -> pd.DataFrame:
     """For one bucket: total counts in the order of each request, and how many words have any."""
-    raw = [np.frombuffer(x, np.uint8).reshape(-1, 6) for x in group["low"]]
-    keys = np.zeros((sum(map(len, raw)), 8), np.uint8)
-    keys[:, :6] = np.concatenate(raw)
-    open_ = lambda c, kind: np.concatenate([np.frombuffer(zstandard.decompress(x), kind) for x in group[c]])
-    _, where = np.unique(keys.view("<u8").ravel(), return_inverse=True)
+    raw = [np.cumsum(_open(x, np.uint64), dtype=np.uint64) for x in group["low"]]
+    open_ = lambda c, kind: np.concatenate([_open(x, kind) for x in group[c]])
+    _, where = np.unique(np.concatenate(raw), return_inverse=True)
     total = np.bincount(where, weights=open_("counts", np.uint32)).astype(np.int64)
     words = np.zeros(len(total), bool)
     words[where[open_("words", np.uint8) > 0]] = True
@@ -153,7 +161,7 @@ def _answer(group: pd.DataFrame) -> pd.DataFrame:
         {
             "block": group["block"].to_numpy(),
             "bucket": group["bucket"].to_numpy(),
-            "totals": [zstandard.compress(out[e - len(x) : e].tobytes(), 1) for x, e in zip(raw, ends, strict=True)],
+            "totals": [_close(out[e - len(x) : e]) for x, e in zip(raw, ends, strict=True)],
             "distinct_words": np.concatenate([[np.count_nonzero(words & (total > 0))], np.zeros(len(raw) - 1, np.int64)]).astype(np.int64),
         }
     )
@@ -173,7 +181,7 @@ def score(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
     def run(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         rows = []
         got = got.sort_values("bucket")
-        totals = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint64) for x in got["totals"]]).astype(np.int64) if len(got) else np.zeros(0, np.int64)
+        totals = np.concatenate([_open(x, np.uint64) for x in got["totals"]]).astype(np.int64) if len(got) else np.zeros(0, np.int64)
         for r in own.itertuples():
             part = Part(r.n, r.train, r.words, r.tokens)
             word, pair = part.totals(totals)
