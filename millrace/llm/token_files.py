@@ -66,7 +66,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         ids.append(end_id)
         return len(ids), np.array(ids, kind).tobytes()
 
-    sample = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.substring("text", 1, 4 * SAMPLE_IDS)).collect()
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    texts = docs.join(F.broadcast(chosen), "doc_id", "left_semi").where("text is not null")  # SAMPLE ids
+    sample = texts.select(F.substring("text", 1, 4 * SAMPLE_IDS)).limit(SAMPLE).collect()
     dictionary = train([serialized(r[0])[1][: SAMPLE_IDS * (4 if wide else 2)] for r in sample])
     spark.createDataFrame([(digest(dictionary), bytearray(dictionary))], "dictionary long, data binary").write.parquet(f"{path}/dictionary")
     held = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
