@@ -18,7 +18,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_quality": quality.ORACLE,
     "op6_line_dedup": line_dedup.ORACLE,
-    "op7_html_extract": html_extract.op7,
     "op8_chat_format": chat_format.ORACLE,
     "op9_licence_scan": licence_scan.ORACLE,
 }
