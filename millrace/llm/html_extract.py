@@ -30,7 +30,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import broadcast_if, pin
+
 SAMPLE, CONSTANT = 6, 0.8
+#: Sampled page_ids and characters of wrappers that may be broadcast; beyond, pages are shuffled.
+BROADCAST_IDS, BROADCAST_CHARS, SALTS = 1_000_000, 16 << 20, 64
 
 #: Fixed values of HTML: elements without content, elements whose content is no markup, elements inside a line of text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -254,6 +258,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
     ids = pages.where("host != ''").select("host", "page_id", F.xxhash64("page_id").alias("k"), F.pmod(F.xxhash64(F.lit(7), "page_id"), F.lit(64)).alias("salt"))
     few = ids.withColumn("n", F.row_number().over(Window.partitionBy("host", "salt").orderBy("k", "page_id"))).where(F.col("n") <= SAMPLE)
     few = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE).select("host", "page_id", "n").distinct()
+    few = pin(few)
+    few = broadcast_if(few, few.count(), BROADCAST_IDS)
     sample = pages.select("page_id", "html").join(few, "page_id")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -267,7 +273,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text (the main text), n_chars of every page."""
     pages = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    joined = pages.join(wrappers(pages), "host", "left").select("page_id", "url", "html", "template")
+    known = pin(wrappers(pages))
+    size = known.agg(F.sum(F.length(F.array_join("template", " ")) + F.length("host"))).first()[0] or 0
+    if size <= BROADCAST_CHARS:
+        joined = pages.join(F.broadcast(known), "host", "left")
+    else:  # a hot host's pages are dealt to SALTS tasks, each with a copy of its wrapper
+        salted = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        joined = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
