@@ -84,7 +84,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, at_least: float = AT_LEAST, r
     anchors = items.select("len", "item_id", F.posexplode("ih").alias("q", "h")).select("h", "len", "q").distinct()
     anchors = pin(anchors)
     anchors = broadcast_if(anchors, anchors.count(), BROADCAST_SHINGLES)
-    ws = docs.select("doc_id", words(lower_ascii(F.col("text"))).alias("ws")).where("doc_id is not null and size(ws) > 0")
+    docs = docs.where("doc_id is not null")  # a test of the words here would split every text twice
+    ws = docs.select("doc_id", words(lower_ascii(F.col("text"))).alias("ws"))
     hits = ws.select("doc_id", F.size("ws").alias("of"), F.posexplode(shingle_hashes(F.col("ws"))).alias("p", "h")).join(anchors, "h")
     slip = F.floor((F.greatest(F.col("len") - (SHINGLE - 1), F.lit(1))) * (1 - at_least) / (1 + at_least)).cast("int")
     starts = hits.select("doc_id", "of", "len", (F.col("p") - F.col("q")).alias("d"), slip.alias("slip")).distinct()
@@ -93,8 +94,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, at_least: float = AT_LEAST, r
     starts = starts.select("doc_id", F.struct("len", F.greatest(F.lit(0), F.least("s", "last")).alias("s")).alias("w")).distinct()
     per_doc = pin(starts.groupBy("doc_id").agg(F.collect_set("w").alias("wins")))  # windows of one document
     per_doc = broadcast_if(per_doc, per_doc.agg(F.sum(F.size("wins") + 2)).first()[0] or 0, BROADCAST_IDS)
-    # The windows' words, by content.
-    cut = ws.join(per_doc, "doc_id").select("doc_id", F.explode(F.transform("wins", lambda w: F.struct(w["s"].alias("s"), w["len"].alias("len"), F.slice(F.col("ws"), w["s"] + 1, w["len"]).alias("x")))).alias("w"))
+    # The windows' words, by content. Only documents with windows are split again.
+    ws = docs.join(per_doc, "doc_id").select("doc_id", "wins", words(lower_ascii(F.col("text"))).alias("ws"))
+    cut = ws.select("doc_id", F.explode(F.transform("wins", lambda w: F.struct(w["s"].alias("s"), w["len"].alias("len"), F.slice(F.col("ws"), w["s"] + 1, w["len"]).alias("x")))).alias("w")).where("size(w.x) > 0")
     cut = cut.select("doc_id", F.col("w.s").alias("at_word"), F.col("w.len").alias("len"), F.xxhash64("w.x").alias("k1"), F.xxhash64(F.lit(1), "w.x").alias("k2"), shingle_hashes(F.col("w.x")).alias("wh"))
     cut = pin(cut)
     texts = cut.groupBy("len", "k1", "k2").agg(F.first("wh").alias("wh"))  # equal keys have equal words
