@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import subprocess
+import sys
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,7 @@ from .operators.validate import datasource_checks
 from .plans.frame import column_name
 from .plans.model import Concept, Datasource, Model
 from .plans.planner import Planner, conjuncts
+from .sources.mock import mocked
 from .sources.readers import read_files, write_files
 
 #: Where a model's imports are looked up; set by the engine's caller.
@@ -28,6 +32,7 @@ class Engine:
         self.model = Model()
         self.planner = Planner(spark, self.model)
         self.frames: dict[str, DataFrame] = {}
+        self.written: set[str] = set()
 
     def register_frame(self, address: str, df: DataFrame) -> None:
         """A DataFrame (or pandas frame) as a table by address."""
@@ -56,28 +61,50 @@ class Engine:
             return x.map(lambda y: self.prefixed(prefix, y))
         return x
 
-    def do_import(self, path: str, alias: str | None) -> None:
-        file = path.replace(".", "/") + ".preql"
+    def do_import(self, path: str, alias: str | None, names: list | None = None) -> None:
+        """A model from a file; names, where given, have to be in it. A leading dot is this folder, each further one a folder up."""
+        up = len(path) - len(path.lstrip("."))
+        file = "../" * max(up - 1, 0) + path.lstrip(".").replace(".", "/") + ".preql"
         places = [Path(self.root or ".") / file, STD.parent / file]
         where = next((p for p in places if p.exists()), None)
         if where is None:
             raise LanguageError(f"no model {path}")
         inner = Engine(self.spark, str(where.parent), self.tables, self.parameters)
-        inner.frames = self.frames
+        inner.frames, inner.written = self.frames, self.written
         inner.run(where.read_text())
+        if lost := [n for n in names or () if n not in inner.model.concepts and n not in inner.model.macros and n not in inner.model.types]:
+            raise LanguageError(f"{path} has no {lost}")
+        self.absorb(inner.model, alias)
+
+    def do_self_import(self, alias: str) -> None:
+        """This model once more in a namespace of its own, for joins of a table with itself."""
+        self.absorb(self.model, alias)
+
+    def absorb(self, inner: Model, alias: str | None) -> None:
         p = f"{alias}." if alias else ""
         name = lambda a: p + a
-        for a, c in inner.model.concepts.items():
-            lineage = self.prefixed(alias, c.lineage) if alias and c.lineage is not None else c.lineage
-            self.model.add(Concept(name(a), c.purpose, c.type, frozenset(map(name, c.keys)) if c.keys is not None else None, lineage))
-        for n, d in inner.model.datasources.items():
+        move = lambda x: self.prefixed(alias, x) if alias and x is not None else x
+        for a, c in list(inner.concepts.items()):
+            self.model.add(replace(c, address=name(a), keys=frozenset(map(name, c.keys)) if c.keys is not None else None, lineage=move(c.lineage)))
+        for n, d in list(inner.datasources.items()):
             columns = {name(a): v for a, v in d.columns.items()}
-            move = lambda x: self.prefixed(alias, x) if alias and x is not None else x
-            self.model.datasources[name(n)] = Datasource(name(n), columns, frozenset(map(name, d.grain)), d.load, d.partial, move(d.where), move(d.complete), {name(a): move(x) for a, x in d.aggregates.items()}, d.published, d.write_to)
-        for n, (params, body) in inner.model.macros.items():
-            self.model.macros[name(n)] = (params, body)
-        self.model.types |= inner.model.types
-        self.model.same |= {name(a): name(b) for a, b in inner.model.same.items()}
+            key = lambda a: name(a) if a else a
+            self.model.datasources[name(n)] = replace(d, name=name(n), columns=columns, grain=frozenset(map(name, d.grain)), where=move(d.where), complete=move(d.complete), aggregates={name(a): move(x) for a, x in d.aggregates.items()}, incremental=key(d.incremental), freshness=key(d.freshness))
+        for n, (params, body) in list(inner.macros.items()):
+            self.model.macros[name(n)] = (params, self.prefixed_body(alias, params, body))
+        self.model.types |= inner.types
+        self.model.same |= {name(a): name(b) for a, b in list(inner.same.items())}
+
+    def prefixed_body(self, alias: str | None, params: list, body: Node) -> Node:
+        """A function's body moved into a namespace, but for its parameters."""
+        own = {p for p, _ in params}
+        if not alias:
+            return body
+        if body.kind == "ref" and body.name in own:
+            return body
+        if body.kind in ("ref", "macro"):
+            return Node(body.kind, f"{alias}.{body.name}", tuple(self.prefixed_body(alias, params, a) for a in body.args), body.extra)
+        return body.map(lambda y: self.prefixed_body(alias, params, y))
 
     def do_parameter(self, name: str, type: str, default: Node | None) -> None:  # noqa: A002
         value = self.parameters.get(name, default.name if default is not None else None)
@@ -85,9 +112,16 @@ class Engine:
             raise LanguageError(f"parameter {name} has no value")
         self.model.add(Concept(name, "parameter", type, None, Node("cast", type, (Node("lit", value),))))
 
-    def do_type(self, name: str, base: str) -> None:
+    def do_type(self, name: str, base: str, others: list = (), drop: list = ()) -> None:
         self.model.types[name] = base
 
+    def do_properties(self, keys: list, items: list) -> None:
+        for name, kind in items:
+            if len(keys) == 1:
+                self.do_concept("property", f"{keys[0]}.{name}", [None], kind, None)
+            else:
+                self.do_concept("property", name, keys, kind, None)
+
     def do_concept(self, purpose: str, name: str, keys: list | None, type: str | None, lineage: Node | None) -> None:  # noqa: A002
         if keys == [None]:
             head, _, last = name.rpartition(".")
@@ -95,14 +129,16 @@ class Engine:
                 keys, name = [head], ".".join([*head.split(".")[:-1], last])
             else:
                 keys = None
+        trait = self.model.types.get(getattr(type, "trait", None))
         type = self.model.types.get(type, type)  # noqa: A001
+        domain = getattr(type, "domain", ()) or getattr(trait, "domain", ())
         if lineage is not None and lineage.kind == "call" and lineage.name == "recurse_edge":
             self.recursion(name, lineage)
             return
         if lineage is not None and lineage.kind == "call" and lineage.name == "union" :
             self.stacked(name, lineage)
             return
-        self.model.add(Concept(name, purpose, type, frozenset(keys) if keys is not None else None, lineage))
+        self.model.add(Concept(name, purpose, type, frozenset(keys) if keys is not None else None, lineage, domain))
 
     def recursion(self, name: str, lineage: Node) -> None:
         node, parent = (self.planner.expand(a) for a in lineage.args)
@@ -132,7 +168,7 @@ class Engine:
             bound[self.model.canonical(concept)] = (column, marks)
         aggregates = {c: self.model.concepts[c].lineage for c in bound if self.model.concepts[c].lineage is not None and self.model.concepts[c].purpose == "metric"}
         keys = frozenset(self.model.canonical(g) for g in grain) if grain is not None else frozenset(k for c in bound for k in self.model.natural_keys(c))
-        self.model.datasources[name] = Datasource(name, bound, keys, self.loader(name, source), d.get("partial", False), d.get("where"), d.get("complete"), aggregates, write_to=d.get("write") or (source[1] if source and source[0] == "table" else source[1][0] if source and source[0] == "file" else None), incremental=d.get("incremental"), partition=d.get("partition") or [])
+        self.model.datasources[name] = Datasource(name, bound, keys, self.loader(name, source), d.get("partial", False), d.get("where"), d.get("complete"), aggregates, write_to=d.get("write") or (source[1] if source and source[0] == "table" else source[1][0] if source and source[0] == "file" else None), incremental=d.get("incremental"), partition=d.get("partition") or [], published=d.get("published", True), root=d.get("root", False), freshness=d.get("freshness"), within=d.get("within", "0 second"), refresh=d.get("refresh"))
         if d.get("partial") and d.get("complete") is not None:
             self.union_partitions(keys)
 
@@ -167,7 +203,7 @@ class Engine:
                 return read_files(self.spark, [v.replace("{tables}", self.tables or ".") for v in value])
             if value in self.frames:
                 return self.frames[value]
-            if self.tables:
+            if self.tables and value not in self.written:
                 return self.spark.read.parquet(f"{self.tables}/{value}.parquet")
             return self.spark.table(value)
 
@@ -280,6 +316,43 @@ class Engine:
     def do_validate(self, what: str, names: list) -> DataFrame:
         return datasource_checks(self.planner, names if what == "datasources" else [])
 
+    def do_call(self, program: str, select: dict | None) -> None:
+        """Runs a program; each output of the select, which has one row, is an argument --name value."""
+        arguments = []
+        if select is not None:
+            found = self.planner.select(select).limit(2).collect()
+            if len(found) != 1:
+                raise LanguageError(f"call needs one row, not {'none' if not found else 'several'}")
+            arguments = [a for k, v in found[0].asDict().items() if v is not None for a in (f"--{k}", str(v))]
+        path = Path(self.root or ".") / program
+        subprocess.run([*([sys.executable] if path.suffix == ".py" else []), str(path), *arguments], check=True)
+
+    def do_mock(self, names: list, rows: int = 100) -> None:
+        """Datasources with made-up rows in place of their data; all of them where none is named."""
+        for n in names or [n for n, d in self.model.datasources.items() if not d.rowset]:
+            self.model.datasources[n] = mocked(self.spark, self.model, self.model.datasources[n], rows)
+
+    # Rebuilding
+
+    def do_rebuild(self, name: str, where: Node | None, mode: str) -> None:
+        """A datasource's table written from the other datasources: whole, or for append the rows of a condition."""
+        d = self.model.datasources[name]
+        if not d.write_to:
+            raise LanguageError(f"{name} has no place to be written to")
+        self.model.datasources[name] = replace(d, published=False)
+        try:
+            items = [(e.name, self.planner.expand(Node("ref", c)), False) for c, (e, _) in d.columns.items()]
+            df = self.planner.result(items, [conjuncts(self.planner.expand(where))] if where is not None else [], None, [])
+        finally:
+            self.model.datasources[name] = d
+        if "/" in d.write_to:
+            write_files(df, d.write_to.rsplit(".", 1)[-1], d.write_to, mode=mode)
+        else:
+            df.write.mode(mode).saveAsTable(d.write_to)
+            self.written.add(d.write_to)
+        if not d.published:
+            self.model.datasources[name] = replace(d, published=True)
+
     # Incremental refresh
 
     def refresh(self, name: str, table: str) -> int:

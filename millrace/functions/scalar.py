@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Names of types in the language and in Spark.
-TYPES = {"string": "string", "bytes": "binary", "bool": "boolean", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double", "number": "double", "numeric": "decimal(20,5)", "decimal": "decimal(20,5)", "date": "date", "datetime": "timestamp_ntz", "timestamp": "timestamp", "unix_seconds": "bigint"}
+TYPES = {"string": "string", "bytes": "binary", "bool": "boolean", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double", "number": "double", "numeric": "decimal(20,5)", "decimal": "decimal(20,5)", "date": "date", "datetime": "timestamp_ntz", "timestamp": "timestamp", "unix_seconds": "bigint", "any": "string", "geography": "struct<x:double,y:double>"}
 #: strftime fields and their Java patterns.
 STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD", "%p": "a", "%I": "hh", "%f": "SSSSSS", "%-d": "d", "%-m": "M"}
 PARTS = ("year", "quarter", "month", "week", "day", "hour", "minute", "second")

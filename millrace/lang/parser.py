@@ -8,12 +8,26 @@ from typing import Any
 
 TOKEN = re.compile(
     r"""(?P<skip>\s+|\#[^\n]*|//[^\n]*|/\*.*?\*/)|(?P<str>'''.*?'''|\"\"\".*?\"\"\"|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<path>`[^`]*`)
-    |(?P<num>\d+\.\d+(?:[eE][+-]?\d+)?|\d+)|(?P<name>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)|(?P<op><-|->|::|\|\||\*\*|<=|>=|!=|<>|[-+*/%=<>()\[\]{},;:?~@.])""",
+    |(?P<num>\d+\.\d+(?:[eE][+-]?\d+)?|\d+)|(?P<name>[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)|(?P<op><-|->|::|\|\||\*\*|<=|>=|!=|<>|[-+*/%=<>()\[\]{},;:?~@.|])""",
     re.S | re.X,
 )
 AGGREGATES = {"count", "count_distinct", "sum", "avg", "min", "max", "stddev", "variance", "array_agg", "bool_or", "bool_and", "any", "grouping", "grouping_id"}
 WINDOWS = {"row_number", "rank", "dense_rank", "lag", "lead"}
-PURPOSES = {"key", "property", "unique", "metric", "auto", "const"}
+PURPOSES = {"key", "property", "unique", "metric", "auto", "const", "constant"}
+PLAIN_TYPES = {"string", "bytes", "bool", "int", "bigint", "float", "double", "number", "numeric", "decimal", "date", "datetime", "timestamp", "geography", "any"}
+
+
+class TypeName(str):
+    """A type's name, with the values it allows, ("range", low, high), ("value", v) or ("match", pattern), and its trait."""
+
+    domain: tuple = ()
+    trait: str | None = None
+
+
+def typed(name: str, domain: tuple = (), trait: str | None = None) -> TypeName:
+    out = TypeName(name)
+    out.domain, out.trait = domain, trait
+    return out
 
 
 class LanguageError(ValueError):
@@ -187,7 +201,7 @@ class Parser:
         x = self.primary()
         while True:
             if self.accept("::"):
-                x = Node("cast", self.type(), (x,))
+                x = Node("cast", self.type(declared=False), (x,))
             elif self.accept("["):
                 x = Node("call", "index", (x, self.expression()))
                 self.expect("]")
@@ -197,24 +211,49 @@ class Parser:
             else:
                 return x
 
-    def type(self) -> str:
-        name = self.name()
+    def type(self, declared: bool = True) -> TypeName:
+        """A type; in declarations it may be followed by the values it allows."""
+        name, domain = self.name(), ()
         if self.accept("<"):
             inner = []
             while True:
-                inner.append((self.name() + ":" if self.peek(1) == ":" and self.at + 1 else "") or "")
-                if inner[-1]:
+                field = self.name() + ":" if self.peek(1) == ":" else ""
+                if field:
                     self.expect(":")
-                inner[-1] += self.type()
+                inner.append(field + self.type())
                 if not self.accept(","):
                     break
             self.expect(">")
-            return f"{name}<{','.join(inner)}>"
-        if self.accept("("):
-            return f"{name}({','.join(self.listed(self.take))})"
-        if self.accept("::"):  # a trait says nothing about the values
-            self.name()
-        return name
+            if name.lower() == "enum":
+                self.expect("[")
+                name, domain = inner[0], tuple(("value", v) for v in self.listed(self.literal, "]"))
+            else:
+                name = f"{name}<{','.join(inner)}>"
+        elif self.accept("("):
+            name = f"{name}({','.join(self.listed(self.take))})"
+        if declared and self.accept("["):
+            domain = tuple(self.listed(lambda: self.allowed(name), "]"))
+        trait = None
+        if self.peek() == "::" and self.peek(1) not in PLAIN_TYPES and self.tokens[self.at + 1][0] == "name":
+            self.take()
+            trait = self.name()
+        return typed(name, domain, trait)
+
+    def literal(self):
+        sign = -1 if self.accept("-") else 1
+        kind, value = self.tokens[self.at]
+        if kind not in ("num", "str"):
+            raise LanguageError(f"expected a value, found {value!r}")
+        self.take()
+        return self.string(value) if kind == "str" else sign * (float(value) if "." in value else int(value))
+
+    def allowed(self, name: str) -> tuple:
+        if self.accept(".", "."):
+            return "range", None, self.literal()
+        low = self.literal()
+        if not self.accept(".", "."):
+            return ("match", low) if name.lower() == "string" else ("value", low)
+        return "range", low, None if self.peek() in (",", "]") else self.literal()
 
     def primary(self) -> Node:
         kind, value = self.tokens[self.at]
@@ -279,7 +318,7 @@ class Parser:
         if name == "cast":
             x = self.expression()
             self.expect("as")
-            out = Node("cast", self.type(), (x,))
+            out = Node("cast", self.type(declared=False), (x,))
             self.expect(")")
             return out
         if name == "struct":
@@ -503,22 +542,62 @@ class Parser:
         word, after = self.peek(), self.peek(1)
         if word == "import":
             self.take()
-            path = self.name()
+            path = self.model_path()
             return Statement("import", {"path": path, "alias": self.name() if self.accept("as") else None})
-        if word == "parameter":
+        if word == "self" and after == "import":
+            self.expect("self", "import", "as")
+            return Statement("self_import", {"alias": self.name()})
+        if word == "from" and self.is_import():
+            self.take()
+            path = self.model_path()
+            alias = self.name() if self.accept("as") else None
+            self.expect("import")
+            names = [self.name()]
+            while self.accept(",") and self.tokens[self.at][0] == "name":
+                names.append(self.name())
+            return Statement("import", {"path": path, "alias": alias, "names": names})
+        if word in ("parameter", "param"):
             self.take()
             name, kind = self.name(), self.type()
+            self.accept("?")
             return Statement("parameter", {"name": name, "type": kind, "default": self.expression() if self.accept("default") else None})
+        if word == "-" and after == "-":  # a hidden concept is one like any other to the planner
+            self.at += 2
+            return self.statement()
+        if word == "properties":
+            self.take()
+            keys = self.listed(self.name, ">") if self.accept("<") else [self.name()]
+            self.expect("(")
+            items = self.listed(lambda: (self.accept("-", "-"), self.name(), self.type(), self.accept("?"))[1:3])
+            return Statement("properties", {"keys": keys, "items": items})
+        if word == "call" and self.tokens[self.at + 1][0] in ("str", "path"):
+            self.take()
+            program = self.take().strip("`'\"")
+            return Statement("call", {"program": program, "select": self.select() if self.accept("from") else None})
+        if word == "mock":
+            self.take()
+            what = self.take().lower()
+            names = []
+            while self.tokens[self.at][0] == "name":
+                names.append(self.name())
+                self.accept(",")
+            return Statement("mock", {"names": names if what == "datasources" else []})
         if word in PURPOSES:
             return self.concept()
         if word == "type":
             self.take()
-            return Statement("type", {"name": self.name(), "base": self.type()})
+            name, bases, drop = self.name(), [self.type()], []
+            while self.accept("|"):
+                bases.append(self.type())
+            if self.accept("drop"):
+                drop = [self.name()]
+                while self.accept("|"):
+                    drop.append(self.name())
+            return Statement("type", {"name": name, "base": bases[0], "others": bases[1:], "drop": drop})
         if word == "def":
             self.take()
             table = self.accept("table")
             name = self.name()
-            self.expect("(")
 
             def parameter():
                 p = self.name()
@@ -526,7 +605,7 @@ class Parser:
                     self.type()
                 return p, self.expression() if self.accept("=") else None
 
-            params = self.listed(parameter)
+            params = self.listed(parameter) if self.accept("(") else []
             self.expect("->")
             if table:
                 self.expect("select")
@@ -536,7 +615,7 @@ class Parser:
                 limit = int(self.take()) if self.accept("limit") else None
                 return Statement("def", {"name": name, "params": params, "body": Node("subselect", limit, (x,), (cond, tuple(order)))})
             return Statement("def", {"name": name, "params": params, "body": self.expression()})
-        if word == "datasource" or word in ("root", "partial") and "datasource" in (after, self.peek(2)):
+        if word == "datasource" or word in ("root", "partial", "~") and "datasource" in (after, self.peek(2)):
             return self.datasource()
         if word == "merge":
             self.take()
@@ -557,8 +636,11 @@ class Parser:
             return Statement("rowset", {"name": name, "select": body})
         if word in ("persist", "overwrite", "append"):
             self.take()
-            name = self.name()
+            name = self.name() if self.peek() != "into" else None
+            if self.peek() in ("where", ";", "<end>"):
+                return Statement("rebuild", {"name": name, "where": self.expression() if self.accept("where") else None, "mode": "append" if word == "append" else "overwrite"})
             into = self.name() if self.accept("into") else None
+            name = name or into
             keys = [self.name()] if self.accept("by") else []
             while keys and self.accept(","):
                 keys.append(self.name())
@@ -610,8 +692,22 @@ class Parser:
             return Statement("select", {"select": {"setop": self.setop()}})
         return Statement("select", {"select": self.select()})
 
+    def model_path(self) -> str:
+        """A dotted path; leading dots are kept."""
+        dots = ""
+        while self.accept("."):
+            dots += "."
+        return dots + self.name()
+
+    def is_import(self) -> bool:
+        """Whether a from clause at hand imports names from a model."""
+        k = 1
+        while self.peek(k) == ".":
+            k += 1
+        return self.peek(k + 1) == "import" or self.peek(k + 1) == "as" and self.peek(k + 3) == "import"
+
     def concept(self) -> Statement:
-        purpose = self.take().lower()
+        purpose = self.take().lower().replace("constant", "const")
         if purpose == "unique":
             self.expect("property")
         keys = None
@@ -635,10 +731,10 @@ class Parser:
 
     def datasource(self) -> Statement:
         flags = set()
-        while self.peek() in ("root", "partial"):
-            flags.add(self.take().lower())
+        while self.peek() in ("root", "partial", "~"):
+            flags.add(self.take().lower().replace("~", "partial"))
         self.expect("datasource")
-        d: dict = {"name": self.name(), "partial": "partial" in flags, "grain": None, "where": None, "complete": None, "source": None, "incremental": None, "partition": []}
+        d: dict = {"name": self.name(), "partial": "partial" in flags, "root": "root" in flags, "grain": None, "where": None, "complete": None, "source": None, "incremental": None, "partition": []}
         self.expect("(")
 
         def binding():
@@ -665,8 +761,19 @@ class Parser:
                 d["complete"] = self.expression()
             elif self.accept("where"):
                 d["where"] = self.expression()
-            elif self.accept("incremental", "by"):
-                d["incremental"] = self.name()
+            elif self.peek() in ("incremental", "freshness") and self.peek(1) == "by":
+                how = self.take().lower()
+                self.take()
+                d[how] = self.take().strip("`")
+                while self.accept(","):
+                    self.take()
+            elif self.accept("within"):
+                n = int(self.take())
+                d["within"] = f"{n} {self.name().lower()}" if self.peek().rstrip("s") in ("second", "minute", "hour", "day", "week", "month", "quarter", "year") else f"{n} second"
+            elif self.accept("refresh"):
+                d["refresh"] = self.take().strip("`'\"")
+            elif self.accept("state"):
+                d["published"] = self.take().lower() == "published"
             elif self.accept("partition", "by"):
                 d["partition"] = [self.name()]
                 while self.accept(","):

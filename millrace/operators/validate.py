@@ -4,12 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.frame import column_name
 
 
+def outside(c: Column, domain: tuple) -> Column:
+    """Whether a value is none of those that its type allows; null is no value."""
+    fits = F.lit(False)
+    for how, *x in domain:
+        if how == "range":
+            low, high = x
+            fits = fits | ((c >= low if low is not None else F.lit(True)) & (c <= high if high is not None else F.lit(True)))
+        else:
+            fits = fits | (c.rlike(f"^(?:{x[0]})$") if how == "match" else c == x[0])
+    return c.isNotNull() & ~fits
+
+
 def datasource_checks(planner, names: list[str] = ()) -> DataFrame:
     """datasource, check, subject, failures: repeated grains, nulls where none are declared, complete bindings that lack values another source has."""
     model, out = planner.model, []
@@ -25,6 +37,11 @@ def datasource_checks(planner, names: list[str] = ()) -> DataFrame:
             nulls = frame.df.agg(*(F.count_if(F.col(column_name(c)).isNull()).alias(column_name(c)) for c in solid))
             pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("subject"), F.col(column_name(c)).alias("failures")) for c in solid)))
             out.append(nulls.select(pairs.alias("p")).select(F.lit(name).alias("datasource"), F.lit("null").alias("check"), "p.subject", "p.failures"))
+        bounded = [c for c in sorted(frame.columns) if model.concepts[c].domain]
+        if bounded:
+            lost = frame.df.agg(*(F.count_if(outside(frame.col(c), model.concepts[c].domain)).alias(column_name(c)) for c in bounded))
+            pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("subject"), F.col(column_name(c)).alias("failures")) for c in bounded)))
+            out.append(lost.select(pairs.alias("p")).select(F.lit(name).alias("datasource"), F.lit("values").alias("check"), "p.subject", "p.failures"))
         for k in keys:
             if d.is_partial(k):
                 continue

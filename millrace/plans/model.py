@@ -20,6 +20,8 @@ class Concept:
     type: str | None = None
     keys: frozenset[str] | None = None
     lineage: Node | None = None
+    #: The values its type allows; empty: any.
+    domain: tuple = ()
 
     @property
     def is_row(self) -> bool:
@@ -43,6 +45,11 @@ class Datasource:
     incremental: str | None = None
     partition: list[str] = field(default_factory=list)
     rowset: bool = False
+    #: Data from outside, never rebuilt by a refresh.
+    root: bool = False
+    freshness: str | None = None
+    within: str = "0 second"
+    refresh: str | None = None
 
     def is_partial(self, concept: str) -> bool:
         return self.partial or "~" in self.columns.get(concept, (None, ""))[1]

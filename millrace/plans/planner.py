@@ -54,6 +54,8 @@ class Planner:
             if a in seen:
                 raise LanguageError(f"{a} is defined by itself")
             return self.expand(c.lineage, (*seen, a))
+        if x.kind == "cast" and x.name in self.model.types:
+            return Node("cast", self.model.types[x.name], (self.expand(x.args[0], seen),))
         if x.kind == "macro":
             if x.name not in self.model.macros:
                 raise LanguageError(f"unknown function @{x.name}")

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..lang.parser import LanguageError
+from ..lang.parser import LanguageError, Node
+from ..plans.frame import column_name
 
 
 def freshness(engine, key: str, within: str = "0 seconds") -> DataFrame:
@@ -34,6 +35,51 @@ def freshness(engine, key: str, within: str = "0 seconds") -> DataFrame:
     return reduce(DataFrame.union, map(high, names)).withColumn("newest", newest).select("datasource", "high", "newest", late.alias("stale"))
 
 
+def stale(engine) -> dict[str, str]:
+    """The datasources that a refresh would rebuild, in order, each with why: missing, empty or behind the roots.
+
+    Managed are those that aren't root and declare `freshness by` or `incremental by`. Finer ones come first, so that
+    coarser ones can be built from them.
+    """
+    model, out = engine.model, {}
+    managed = [d for d in model.datasources.values() if not d.root and (d.freshness or d.incremental) and d.write_to]
+    for d in sorted(managed, key=lambda d: (-len(model.closure(d.grain)), d.name)):
+        key = model.address(d.freshness or d.incremental)
+        roots = [o.name for o in model.datasources.values() if key in o.columns and o.name != d.name and o.root]
+        high = lambda n: engine.planner.scan(n).df.agg(F.max(column_name(key))).first()[0]  # noqa: B023, E731
+        newest = max((v for v in map(high, roots) if v is not None), default=None)
+        if "/" not in d.write_to and not engine.spark.catalog.tableExists(d.write_to):
+            out[d.name] = "missing"
+        elif (mine := high(d.name)) is None:
+            if newest is not None:
+                out[d.name] = "empty"
+        elif newest is not None and mine < newest:
+            one = engine.spark.createDataFrame([(mine, newest)], "a {0}, b {0}".format(engine.planner.scan(d.name).df.schema[column_name(key)].dataType.simpleString()))
+            late = F.col("a") < (F.col("b") - F.expr(f"interval {d.within}") if not d.within.startswith("0 ") else F.col("b"))
+            if one.select(late).first()[0]:
+                out[d.name] = f"behind: {mine} of {newest}"
+    return out
+
+
+def refresh(engine) -> dict[str, str]:
+    """Rebuilds what stale() names; returns it. A datasource that waits for its turn is hidden, so no stale table is read.
+
+    With `incremental by` the rows past the greatest key are appended, else the table is written anew.
+    """
+    todo = stale(engine)
+    for name in todo:
+        engine.model.datasources[name].published = False
+    for name, why in todo.items():
+        d = engine.model.datasources[name]
+        if d.incremental and why.startswith("behind"):
+            key = engine.model.address(d.incremental)
+            mark = engine.planner.scan(name).df.agg(F.max(column_name(key))).first()[0]
+            engine.do_rebuild(name, Node("call", ">", (Node("ref", key), Node("lit", mark))), "append")
+        else:
+            engine.do_rebuild(name, None, "overwrite")
+    return todo
+
+
 def ingest(spark: SparkSession, folder: str, table: str, state: str, schema: str, format: str = "parquet") -> None:  # noqa: A002
     """Appends the files of `folder` that no earlier call with the same `state` folder took in to a table, exactly once.
 
