@@ -192,3 +192,11 @@ add("summary_rollup", "datasource by_day (status: orders.status, priority: order
     "select 'F' as status, 12 as n union all select 'O', 2")
 add("partition_union", "key channel string; key sale int; property sale.amount float; partial datasource web (c: channel, s: sale, a: amount) grain (sale, channel) complete where channel = 'W' query '''select 'W' as c, id as s, id * 1.5 as a from range(10)'''; partial datasource store (c: channel, s: sale, a: amount) grain (sale, channel) complete where channel = 'S' query '''select 'S' as c, id as s, id * 2.0 as a from range(5)'''; select channel as c, sum(amount) as s;",
     "select 'W' as c, 67.5 as s union all select 'S', 20.0")
+add("properties_block", "key box int; properties box (w int[1..9], h float); datasource boxes (id: box, w: w, h: h) grain (box) query '''select id, id % 9 + 1 as w, id * 0.5 as h from range(20)'''; select w as w, sum(h) as s;",
+    "select (id % 9 + 1)::bigint as w, sum(id * 0.5)::double as s from range(20) r(id) group by 1")
+add("self_import", "self import as twin; merge supplier.nation into ~twin.nation.id; where supplier.id is not null select supplier.id as sid, twin.nation.name as n_name;",
+    "select s_suppkey as sid, n_name from supplier left join nation on s_nationkey = n_nationkey")
+add("top_x", "import std.ranking as ranking; where @ranking.is_top_x_by(customer.id, customer.acctbal, 5) select customer.id as cid;", "select c_custkey as cid from customer qualify rank() over (order by c_acctbal desc) <= 5")
+add("top_x_rest", "import std.report as report; import std.display as display; select region.name as r_name, count(customer.id) as n, @report.top_x_by_metric(region.name, count(customer.id), 2, 'rest') as label, @display.calc_percent(count(customer.id), count(customer.id) by *, 3)::float as share;",
+    "select r_name, n, case when rank() over (order by n desc) <= 2 then r_name else 'rest' end as label, round(n / sum(n) over (), 3)::double as share from (select r_name, count(distinct c_custkey) as n from region left join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey group by 1)")
+add("made_up_rows", "mock datasources customer, orders; select count(customer.id) as customers, count(orders.id) as n_orders, max(orders.id) as last_;", "select 100 as customers, 100 as n_orders, 100 as last_")
