@@ -36,7 +36,7 @@ def freshness(engine, key: str, within: str = "0 seconds") -> DataFrame:
 
 
 def stale(engine) -> dict[str, str]:
-    """The datasources that a refresh would rebuild, in order, each with why: missing, empty or behind the roots.
+    """The datasources that a refresh would rebuild, in order, each with why: missing, without a bound column, empty or behind the roots.
 
     Managed are those that aren't root and declare `freshness by` or `incremental by`. Finer ones come first, so that
     coarser ones can be built from them.
@@ -50,6 +50,8 @@ def stale(engine) -> dict[str, str]:
         newest = max((v for v in map(high, roots) if v is not None), default=None)
         if "/" not in d.write_to and not engine.spark.catalog.tableExists(d.write_to):
             out[d.name] = "missing"
+        elif lost := [e.name for e, _ in d.columns.values() if isinstance(e, Node) and e.kind == "ref" and e.name not in d.load().columns]:
+            out[d.name] = f"schema: lacks {', '.join(lost)}"
         elif (mine := high(d.name)) is None:
             if newest is not None:
                 out[d.name] = "empty"

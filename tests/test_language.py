@@ -99,6 +99,11 @@ def test_refresh_rebuilds_what_is_behind(spark):
     put()
     assert list(refresh(e)) == ["daily"] and stale(e) == {}
     assert spark.table("daily_totals").count() == 4
+    spark.sql("select day from daily_totals").write.mode("overwrite").saveAsTable("daily_days")
+    e.run("datasource days (day: day, total: total) grain (day) address daily_days freshness by day; unpublish datasources daily;")
+    e.written.add("daily_days")
+    assert refresh(e)["days"] == "schema: lacks total" and "days" not in stale(e)
+    assert {r.total for r in spark.table("daily_days").collect()} == {5.0, 7.0, 1.0, 2.0}
 
 
 def test_call_passes_one_row(spark, tmp_path):
