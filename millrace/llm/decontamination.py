@@ -1,9 +1,9 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, then exact weighted similarity.
 
-1. Every 5-word shingle of every document is hashed and joined with the shingles of the items. Only windows that share
-   a shingle with an item can have any similarity to it; a window of the item's length is laid at each place where a
-   shared shingle lines up, and up to SLIP words (the shingles that a similarity of `at_least` lets go missing) before
-   and after it. Windows with equal words are looked at once.
+1. Every 5-word shingle of every document is hashed and joined with the shingles of the items. A window of an item's
+   length can only reach the similarity if enough of its shingles (8 of 9 at `at_least` 0.8) are shared with items of
+   that length, in whatever order; the running count of shared positions gives every start of which this holds, and a
+   window is laid at each. Windows with equal words are looked at once.
 2. Each window and each item of that length has a 64-bit SimHash of its weighted shingles. The bits are cut into
    radius + 1 blocks; by the pigeonhole principle fingerprints within the radius agree on a whole block, so an equi-join
    on (length, block, its bits) finds all of them. At the default radius of 20 bits a pair of similarity 0.8 (about 10
@@ -87,11 +87,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, at_least: float = AT_LEAST, r
     docs = docs.where("doc_id is not null")  # a test of the words here would split every text twice
     ws = docs.select("doc_id", words(lower_ascii(F.col("text"))).alias("ws"))
     hits = ws.select("doc_id", F.size("ws").alias("of"), F.posexplode(shingle_hashes(F.col("ws"))).alias("p", "h")).join(anchors, "h")
-    slip = F.floor((F.greatest(F.col("len") - (SHINGLE - 1), F.lit(1))) * (1 - at_least) / (1 + at_least)).cast("int")
-    starts = hits.select("doc_id", "of", "len", (F.col("p") - F.col("q")).alias("d"), slip.alias("slip")).distinct()
-    last = F.greatest(F.col("of") - F.col("len"), F.lit(0))
-    starts = starts.select("doc_id", "len", F.explode(F.sequence(F.col("d") - F.col("slip"), F.col("d") + F.col("slip"))).alias("s"), last.alias("last"))
-    starts = starts.select("doc_id", F.struct("len", F.greatest(F.lit(0), F.least("s", "last")).alias("s")).alias("w")).distinct()
+    shared = hits.groupBy("doc_id", "of", "len").agg(F.array_sort(F.collect_set("p")).alias("ps"))
+    # Both sides' shingles are counted: a window reaches the similarity only with so many shared ones.
+    last, own = F.greatest(F.col("of") - F.col("len"), F.lit(0)), F.greatest(F.least("of", "len") - (SHINGLE - 1), F.lit(1))
+    least = F.ceil((own + F.greatest(F.col("len") - (SHINGLE - 1), F.lit(1))) * at_least / (1 + at_least) - 1e-9).cast("int")
+    shared = shared.select("doc_id", "len", "ps", last.alias("last"), own.alias("own"), F.greatest(least, F.lit(1)).alias("least")).where("size(ps) >= least")
+
+    def laid(k: Column) -> Column:
+        """The starts of windows that hold the shared shingles k to k + least - 1 (and not the one before k, laid already)."""
+        low = F.greatest(F.element_at("ps", k + F.col("least") - 1) - F.col("own") + 1, F.coalesce(F.get("ps", k - 2), F.lit(-1)) + 1, F.lit(0))
+        return F.struct(low.alias("low"), F.least(F.element_at("ps", k), "last").alias("high"))
+
+    runs = F.filter(F.transform(F.sequence(F.lit(1), F.size("ps") - F.col("least") + 1), laid), lambda r: r["low"] <= r["high"])
+    starts = shared.select("doc_id", "len", F.explode(runs).alias("r")).select("doc_id", "len", F.explode(F.sequence("r.low", "r.high")).alias("s"))
+    starts = starts.select("doc_id", F.struct("len", "s").alias("w")).distinct()
     per_doc = pin(starts.groupBy("doc_id").agg(F.collect_set("w").alias("wins")))  # windows of one document
     per_doc = broadcast_if(per_doc, per_doc.agg(F.sum(F.size("wins") + 2)).first()[0] or 0, BROADCAST_IDS)
     # The windows' words, by content. Only documents with windows are split again.
