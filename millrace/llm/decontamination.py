@@ -10,7 +10,8 @@
    differing bits expected) is missed with a probability under one in a thousand.
 3. The weighted Jaccard similarity of the shingles, each with its number of occurrences as weight, decides exactly.
 
-Items with fewer than five words count as one shingle of all their words. Spark expressions only.
+Items with fewer than five words count as one shingle of all their words; runs of as many words of the documents are
+hashed beside the 5-word shingles where such items occur. Spark expressions only.
 
 Defined cases: a null or word-less text matches nothing, nor does a word-less item; rows that share a doc_id are one
 document; a document with a null doc_id is never reported (and stays in filter_documents); equal items are reported
@@ -35,6 +36,20 @@ def shingle_hashes(ws: Column, n: int = SHINGLE) -> Column:
     return F.when(F.size(ws) > 0, F.transform(at, lambda i: F.xxhash64(F.slice(ws, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def placed_hashes(ws: Column, short: list[int]) -> Column:
+    """Rows p, h: place and hash of each shingle, and of each run of words of the lengths in short."""
+    if not short:
+        return F.posexplode(shingle_hashes(ws)).alias("p", "h")
+    none = F.array().cast("array<struct<p: int, h: bigint>>")
+
+    def runs(n: int) -> Column:
+        at = F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(ws, i + 1, n)).alias("h")))
+        return F.when(F.size(ws) >= n, at).otherwise(none)
+
+    whole = F.transform(shingle_hashes(ws), lambda h, i: F.struct(i.alias("p"), h.alias("h")))
+    return F.inline(F.concat(whole, *map(runs, short)))
+
+
 def _lanes() -> Column:
     """For each nibble a long with one 16-bit lane for each of its bits."""
     return F.array(*(F.lit(sum((n >> j & 1) << (16 * j) for j in range(4))) for n in range(16)))
@@ -86,7 +101,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, at_least: float = AT_LEAST, r
     anchors = broadcast_if(anchors, anchors.count(), BROADCAST_SHINGLES)
     docs = docs.where("doc_id is not null")  # a test of the words here would split every text twice
     ws = docs.select("doc_id", words(lower_ascii(F.col("text"))).alias("ws"))
-    hits = ws.select("doc_id", F.size("ws").alias("of"), F.posexplode(shingle_hashes(F.col("ws"))).alias("p", "h")).join(anchors, "h")
+    short = sorted(r[0] for r in items.where(F.col("len") < SHINGLE).select("len").distinct().collect())  # four at most
+    hits = ws.select("doc_id", F.size("ws").alias("of"), placed_hashes(F.col("ws"), short)).join(anchors, "h")
     shared = hits.groupBy("doc_id", "of", "len").agg(F.array_sort(F.collect_set("p")).alias("ps"))
     # Both sides' shingles are counted: a window reaches the similarity only with so many shared ones.
     last, own = F.greatest(F.col("of") - F.col("len"), F.lit(0)), F.greatest(F.least("of", "len") - (SHINGLE - 1), F.lit(1))

@@ -47,3 +47,10 @@ def test_parts_in_another_order(spark):
     want = brute(docs, items)
     assert sum(d % 10 < 3 for d, _ in want) >= 6
     assert matches(spark, docs, items) == want
+
+
+def test_items_under_five_words_inside_longer_documents(spark):
+    items = {1: "one", 2: "two words", 3: "three words here", 4: "just four words here", 5: "a line of five words"}
+    docs = {10 * i: f"a document with Some text before {x} and after that more" for i, x in items.items()} | {10 * i + 1: x for i, x in items.items()} | {7: "nothing of it", 8: "", 9: "words"}
+    want = brute(docs, items)
+    assert {(10 * i, i) for i in items} <= set(want) and matches(spark, docs, items) == want
