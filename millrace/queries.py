@@ -200,3 +200,11 @@ add("top_x", "import std.ranking as ranking; where @ranking.is_top_x_by(customer
 add("top_x_rest", "import std.report as report; import std.display as display; select region.name as r_name, count(customer.id) as n, @report.top_x_by_metric(region.name, count(customer.id), 2, 'rest') as label, @display.calc_percent(count(customer.id), count(customer.id) by *, 3)::float as share;",
     "select r_name, n, case when rank() over (order by n desc) <= 2 then r_name else 'rest' end as label, round(n / sum(n) over (), 3)::double as share from (select r_name, count(distinct c_custkey) as n from region left join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey group by 1)")
 add("made_up_rows", "mock datasources customer, orders; select count(customer.id) as customers, count(orders.id) as n_orders, max(orders.id) as last_;", "select 100 as customers, 100 as n_orders, 100 as last_")
+# The array, lambda, unnest and running-window operators over whole tables.
+add("unnest_whole", "select vec.id as vid, unnest(array_distinct([vec.label, 1, 2])) as x;", "select vec_id as vid, unnest(list_distinct([label, 1, 2])) as x from embeddings")
+add("arrays_whole", "select vec.id as vid, len(vec.embedding) as n, round(vec.embedding[1]::float, 5) as first_, generate_array(1, 4) as g, array_sum([1, 2, vec.label]) as s, array_to_string(['a', vec.label::string], '-') as t, array_sort([3, vec.label, 2], desc) as z;",
+    "select vec_id as vid, len(embedding) as n, round(embedding[1]::double, 5) as first_, generate_series(1, 4) as g, 3 + label as s, 'a-' || label as t, list_reverse_sort([3, label, 2]) as z from embeddings")
+add("lambdas_whole", "def double(x) -> x * 2; def big(x) -> x > 2; select vec.id as vid, array_transform([1, 2, vec.label], @double) as d, array_filter([1, 2, 3, vec.label], @big) as f;",
+    "select vec_id as vid, [2, 4, 2 * label] as d, list_filter([1, 2, 3, label], lambda x: x > 2) as f from embeddings")
+add("window_lag_by_user", "select event.id as eid, lag(event.value, 1) over (partition by event.user order by event.id asc) as before, lead(event.value, 2) over (partition by event.user order by event.id asc) as later, round(sum(event.value) over (partition by event.user order by event.id asc), 4) as running;",
+    "select event_id as eid, lag(value) over (partition by user_id order by event_id) as before, lead(value, 2) over (partition by user_id order by event_id) as later, round(sum(value) over (partition by user_id order by event_id), 4) as running from events")
