@@ -2,8 +2,8 @@
 
 The index keeps, for every line key (128 bits of hashes), in how many documents it was found and the largest doc_id. It
 consists of runs: Parquet tables sorted by hash within their partitions. A batch of documents is aggregated to its keys
-first; a merge anti-join against the runs tells the keys that are new, the others are increments; both are added as one
-run of level 0. When a level has FANOUT runs they are merged to one of the next level, so a key is rewritten once a
+first; a join against the runs splits it into new keys and increments, and both are added as one run of level 0: as runs
+hold counts that are summed in the end, the split decides nothing, and the same run is written without it. When a level has FANOUT runs they are merged to one of the next level, so a key is rewritten once a
 level and a look-up meets at most FANOUT - 1 runs a level. A line is dropped where its key was found in at least
 `min_docs` documents and the document isn't the one with the largest doc_id.
 
