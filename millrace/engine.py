@@ -282,7 +282,7 @@ class Engine:
             elif e.kind == "agg" and not e.extra and x.kind == "ref":
                 columns[x.name] = (Node("ref", column_name(a)), "")
                 aggregates[x.name] = x
-        if select["where"] or not columns:
+        if any(select[k] for k in ("where", "from", "joins", "by")) or select["having"] is not None or select["limit"] is not None or not columns:
             return
         self.model.datasources[name] = Datasource(name, columns, self.planner.model.minimal(frozenset(dims)) if not aggregates else frozenset(dims), lambda: self.spark.table(table), aggregates=aggregates, write_to=table)
 

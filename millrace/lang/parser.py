@@ -417,18 +417,8 @@ class Parser:
                 while self.accept("then"):
                     self.expect("where")
                     q["where"].append(self.expression())
-            elif self.peek() in ("subset", "union") and self.peek(1) == "join":
-                kind = self.take().lower()
-                self.take()
-                while True:
-                    chain = [self.sum()]
-                    while self.accept("="):
-                        chain.append(self.sum())
-                    q["joins"].append((kind, chain))
-                    if not self.accept("and"):
-                        break
-            elif self.peek() in ("left", "right", "full", "inner", "cross") and self.peek(1) in ("join", "outer"):
-                raise LanguageError(f"{self.peek()} join isn't part of the language: use subset join or union join, and is not null to intersect")
+            elif self.joined(q):
+                pass
             else:
                 break
         self.expect("select")
@@ -460,7 +450,7 @@ class Parser:
                 q["order"] = self.order()
             elif self.accept("limit"):
                 q["limit"] = int(self.take())
-            else:
+            elif not self.joined(q):
                 break
         if self.peek() == "merge" and self.peek(1) in ("select", "where"):
             arms = [q]
@@ -469,6 +459,22 @@ class Parser:
             return self.aligned(arms)
         return q
 
+    def joined(self, q: dict) -> bool:
+        """A join clause, which stands before or after the outputs."""
+        if self.peek() in ("left", "right", "full", "inner", "cross") and self.peek(1) in ("join", "outer"):
+            raise LanguageError(f"{self.peek()} join isn't part of the language: use subset join or union join, and is not null to intersect")
+        if self.peek() not in ("subset", "union") or self.peek(1) != "join":
+            return False
+        kind = self.take().lower()
+        self.take()
+        while True:
+            chain = [self.sum()]
+            while self.accept("="):
+                chain.append(self.sum())
+            q["joins"].append((kind, chain))
+            if not self.accept("and"):
+                return True
+
     def select_arm(self) -> dict:
         self.in_arm = True
         return Parser.select(self)

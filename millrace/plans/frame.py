@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,29 +17,37 @@ def column_name(address: str) -> str:
 
 @dataclass
 class Frame:
-    """columns: concept -> column name; unique: concepts that identify a row (empty: one row); partial: keys whose domain is not complete here."""
+    """columns: concept -> column name; unique: concepts that identify a row (empty: one row); partial: keys whose domain is not complete here;
+    nulls: keys that may be null as a value; padded: columns that an outer join may have filled with null.
+    """
 
     df: DataFrame
     columns: dict[str, str]
     unique: frozenset[str]
     partial: frozenset[str] = frozenset()
+    nulls: frozenset[str] = frozenset()
+    padded: frozenset[str] = frozenset()
 
     def col(self, concept: str) -> Column:
         return F.col(self.columns[concept])
 
 
-def join(a: Frame, b: Frame, on: list[str], minimal, nullable: bool = False) -> Frame:
+def join(a: Frame, b: Frame, on: list[str], minimal, lookup: frozenset[str] = frozenset()) -> Frame:
     """Joins on shared keys; no row is lost but where both sides bind the whole domain of a key.
 
-    Neither side partial: every key value is on both, an inner join. One side partial: the other is preserved. Both
-    partial: a full join with the keys coalesced.
+    A side's rows can lack a partner where the other side binds a part of the domain only, or where their own key is
+    null; such a side is preserved (both: a full join with the keys coalesced). Nulls that are values on both sides
+    meet; what an outer join filled in never does. lookup ("a", "b"): sides whose rows without a partner hold nothing
+    that is asked for, which are not preserved.
     """
-    pa, pb = any(k in a.partial for k in on), any(k in b.partial for k in on)
-    how = "full" if pa and pb else "right" if pa else "left" if pb else "inner"
+    keep_a = "a" not in lookup and any(k in b.partial or k in a.nulls | a.padded for k in on)
+    keep_b = "b" not in lookup and any(k in a.partial or k in b.nulls | b.padded for k in on)
+    how = "full" if keep_a and keep_b else "left" if keep_a else "right" if keep_b else "inner"
     right = b.df.select(*(F.col(c).alias(f"r__{c}") for c in b.columns.values()))
     pair = lambda k: (a.col(k), F.col(f"r__{b.columns[k]}"))
-    cond = reduce(lambda x, y: x & y, ((x.eqNullSafe(y) if nullable else x == y) for x, y in map(pair, on)))
-    out = a.df.join(right, cond, how)
+    values = (a.nulls & b.nulls) - a.padded - b.padded
+    same = [x.eqNullSafe(y) if k in values else x == y for k in on for x, y in [pair(k)]]
+    out = a.df.join(right, reduce(lambda x, y: x & y, same), how)
     take = {}
     for c, name in {**b.columns, **a.columns}.items():
         if c in on:
@@ -49,8 +57,20 @@ def join(a: Frame, b: Frame, on: list[str], minimal, nullable: bool = False) ->
             take[c] = (F.col(name) if c in a.columns else F.col(f"r__{name}")).alias(name)
     names = {c: a.columns.get(c) or b.columns[c] for c in take}
     keys = a.unique if b.unique <= frozenset(on) else b.unique if a.unique <= frozenset(on) else a.unique | b.unique
-    partial = frozenset(k for k in a.partial | b.partial if not (k in on and (how != "inner" or k not in a.partial or k not in b.partial)))
-    return Frame(out.select(*take.values()), names, minimal(keys), partial)
+    shared = frozenset(on)
+    narrow = lambda k: how != "full" if k in a.partial & b.partial else not keep_b if k in a.partial else not keep_a
+    partial = frozenset(k for k in a.partial | b.partial if k not in shared or narrow(k))
+    from_a, from_b = how != "right", how in ("right", "full")
+
+    def carried(x: frozenset[str], y: frozenset[str]) -> frozenset[str]:
+        return (x - shared) | (y - shared) | frozenset(k for k in shared if k in x and from_a or k in y and from_b)
+
+    padded = carried(a.padded, b.padded)
+    if how in ("left", "full"):
+        padded |= frozenset(b.columns) - shared - frozenset(a.columns)
+    if how in ("right", "full"):
+        padded |= frozenset(a.columns) - shared
+    return Frame(out.select(*take.values()), names, minimal(keys), partial, carried(a.nulls, b.nulls), padded)
 
 
 def cross(a: Frame, b: Frame) -> Frame:
@@ -58,7 +78,7 @@ def cross(a: Frame, b: Frame) -> Frame:
     if a.unique and b.unique:
         raise LanguageError(f"nothing connects {sorted(a.columns)} and {sorted(b.columns)}; a cross join is not made silently")
     many, one = (a, b) if a.unique else (b, a)
-    return Frame(many.df.crossJoin(F.broadcast(one.df)), {**one.columns, **many.columns}, many.unique, many.partial)  # one row
+    return replace(many, df=many.df.crossJoin(F.broadcast(one.df)), columns={**one.columns, **many.columns})  # one row
 
 
 def align(left: DataFrame, right: DataFrame, on: list[str], how: str = "full") -> DataFrame:

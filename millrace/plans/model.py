@@ -63,6 +63,8 @@ class Model:
         self.types: dict[str, str] = {}
         #: Concepts that stand for another one, and the relation it was declared with.
         self.same: dict[str, str] = {}
+        #: Closures found while a select is planned, during which the model stands still; else None.
+        self.memo: dict | None = None
 
     def add(self, concept: Concept) -> None:
         self.concepts[concept.address] = concept
@@ -98,6 +100,8 @@ class Model:
 
     def closure(self, keys: frozenset[str]) -> frozenset[str]:
         """All concepts that have one value for each value of keys."""
+        if self.memo is not None and keys in self.memo:
+            return self.memo[keys]
         known, grown = set(keys), True
         while grown:
             grown = False
@@ -109,4 +113,7 @@ class Model:
                 if c.keys and c.address not in known and c.purpose in ("property", "unique") and {self.canonical(k) for k in c.keys} <= known:
                     known.add(c.address)
                     grown = True
-        return frozenset(known)
+        out = frozenset(known)
+        if self.memo is not None:
+            self.memo[keys] = out
+        return out

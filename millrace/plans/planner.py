@@ -7,7 +7,7 @@ facts never meet before they are aggregated, and no measure is counted twice.
 
 from __future__ import annotations
 
-import heapq
+from dataclasses import replace
 from functools import reduce
 from itertools import count
 
@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from ..functions import scalar
 from ..lang.parser import LanguageError, Node
 from .frame import Frame, align, column_name, cross, join
-from .model import Model
+from .model import Concept, Datasource, Model
+from .search import cheapest_tree
 
 COUNTS = ("count", "count_distinct")
 
@@ -33,12 +34,58 @@ def both(xs: list[Node]) -> Node | None:
     return reduce(lambda a, b: Node("call", "and", (a, b)), xs) if xs else None
 
 
+class Side:
+    """The values that one side of a join binds, for a test of presence."""
+
+    def __init__(self, frame):
+        self.frame = frame
+
+
+def implies(given: Node, wanted: Node) -> bool:
+    """Whether a condition makes another one true: the same, or bounds and values of one concept that lie within the other's."""
+    if given == wanted:
+        return True
+    a, b = allowed(given), allowed(wanted)
+    if a is None or b is None or a[0] != b[0]:
+        return False
+    (_, mine, low, high), (_, theirs, least, most) = a, b
+    try:
+        if mine is not None:
+            return all((theirs is None or v in theirs) and (least is None or v > least[0] or v == least[0] and least[1]) and (most is None or v < most[0] or v == most[0] and most[1]) for v in mine)
+        above = least is None or low is not None and (low[0] > least[0] or low[0] == least[0] and (least[1] or not low[1]))
+        below = most is None or high is not None and (high[0] < most[0] or high[0] == most[0] and (most[1] or not high[1]))
+    except TypeError:  # values of different types
+        return False
+    return theirs is None and above and below
+
+
+def allowed(x: Node) -> tuple | None:
+    """(concept, its values or None, lower and upper bound as (value, inclusive) or None) of a simple condition."""
+    plain = lambda y: y.name if y.kind == "lit" and y.name is not None else None
+    if x.kind == "in" and x.name == "list" and x.args[0].kind == "ref" and all(plain(y) is not None for y in x.args[1:]):
+        return x.args[0], tuple(y.name for y in x.args[1:]), None, None
+    if x.kind != "call" or x.name not in ("=", "<", ">", "<=", ">=", "between") or x.args[0].kind != "ref" or any(plain(y) is None for y in x.args[1:]):
+        return None
+    v = x.args[1].name
+    match x.name:
+        case "=":
+            return x.args[0], (v,), None, None
+        case "between":
+            return x.args[0], None, (v, True), (x.args[2].name, True)
+        case ">" | ">=":
+            return x.args[0], None, (v, x.name == ">="), None
+    return x.args[0], None, None, (v, x.name == "<=")
+
+
 class Planner:
     def __init__(self, spark: SparkSession, model: Model):
         self.spark, self.model = spark, model
         self.numbers = count()
         self.eligible: set[str] | None = None
         self.scoped: dict[str, str] = {}
+        #: Keys of a scoped join by their own names, with the datasources that bound them: null tests ask for presence there.
+        self.probes: dict[str, list[str]] = {}
+        self.held: dict[str, Datasource] = {}
 
     # Names and lineage
 
@@ -83,7 +130,7 @@ class Planner:
             return set() if x.name.startswith("$") else {x.name}
         if x.kind in ("agg", "win", "scalar", "subselect"):
             return {r for k in x.extra[0] for r in self.roots(k)} if x.kind == "agg" and x.extra else set()
-        if x.kind == "in" and x.name in ("set", "select"):
+        if x.kind == "in" and x.name in ("set", "select", "present"):
             return self.roots(x.args[0])
         if x.kind == "call" and x.name in ("array_transform", "array_filter"):
             return self.roots(x.args[0])
@@ -96,15 +143,19 @@ class Planner:
 
     # Rows
 
-    def rows(self, need: set[str], where: list[Node] = ()) -> Frame:
-        """One frame with the needed root concepts: the cheapest connected set of datasources, joined."""
+    def rows(self, need: set[str], where: list[Node] = (), demanded: set[str] | None = None) -> Frame:
+        """One frame with the needed root concepts: the cheapest connected set of datasources, joined.
+
+        demanded: those of them that outputs are made of; the others only decide which rows stay.
+        """
         if not need:
             return Frame(self.spark.range(1).select(F.lit(True).alias("one__row")), {}, frozenset())
-        parts = self.components(need)
-        return reduce(cross, (self.joined(p, where) for p in parts))
+        demanded = need if demanded is None else demanded
+        parts = self.components(need, list(where), demanded)
+        return reduce(cross, (self.joined(p, demanded) for p in parts))
 
-    def components(self, need: set[str]) -> list[list[str]]:
-        chosen = self.cover(need)
+    def components(self, need: set[str], where: list[Node], demanded: set[str]) -> list[list[str]]:
+        chosen = self.cover(need, where, demanded)
         groups: list[set[str]] = []
         for name in chosen:
             mine = {name}
@@ -126,66 +177,45 @@ class Planner:
         shared = set(x.columns) & set(y.columns)
         return sorted(k for k in shared if not self.model.concepts[k].is_row and (self.model.concepts[k].purpose == "key" or k in x.grain | y.grain))
 
-    def cover(self, need: set[str]) -> list[str]:
-        """The datasources to join: least partial keys first, then fewest, then the least rows by grain."""
+    def whole(self, d: Datasource, where: list[Node]) -> bool:
+        """Whether a datasource has all rows that conditions let through."""
+        return not d.partial or d.complete is not None and all(any(implies(w, c) for w in where) for c in conjuncts(self.expand(d.complete)))
+
+    def cover(self, need: set[str], where: list[Node], demanded: set[str]) -> list[str]:
+        """The datasources to join: the connected set with the fewest of them, then the least keys by grain, that has all concepts.
+
+        What outputs are made of comes from complete bindings where there are any. A partial datasource serves only
+        where its slice holds all that the conditions let through.
+        """
         have = self.usable()
-        need = {n for n in need}
-        where_is = {n: [k for k, d in have.items() if n in d.columns or n in d.grain] for n in need}
-        if lost := sorted(n for n, k in where_is.items() if not k):
+        owners = {n: {k for k, d in have.items() if n in d.columns or n in d.grain} for n in need}
+        if lost := sorted(n for n, k in owners.items() if not k):
             raise LanguageError(f"no datasource has {lost}")
-
-        def left(s: frozenset[str]) -> set[str]:
-            return {n for n in need if not any(n in have[k].columns or n in have[k].grain for k in s)}
-
-        def weak(s: frozenset[str]) -> int:
-            """Needed concepts that only partial bindings of s have, though a complete one exists."""
-            out = 0
-            for n in need:
-                owners = [have[k] for k in s if n in have[k].columns]
-                if owners and all(d.is_partial(n) for d in owners) and any(not have[k].is_partial(n) for k in where_is[n] if n in have[k].columns):
-                    out += 1
-            return out
-
-        def price(s: frozenset[str]) -> tuple:
-            return (weak(s), len(s), sum(len(have[k].grain) for k in s), tuple(sorted(s)))
-
-        starts = sorted({k for ks in where_is.values() for k in ks})
-        heap = [(len(left(frozenset([k]))), price(frozenset([k])), frozenset([k])) for k in starts]
-        heap = [(p, m, s) for m, p, s in heap]
-        heapq.heapify(heap)
-        seen, found = set(), None
-        budget = 4000
-        while heap and budget:
-            p, m, s = heapq.heappop(heap)
-            if s in seen:
-                continue
-            seen.add(s)
-            budget -= 1
-            if not m and (found is None or p < found[0]):
-                found = (p, s)
-                if p[0] == 0:
-                    break
-            if found and p[1] >= found[0][1] + 1:
-                continue
-            for k in have:
-                if k not in s and any(self.linked(k, o) for o in s):
-                    t = s | {k}
-                    if t not in seen and len(t) <= 9:
-                        heapq.heappush(heap, (price(t), len(left(t)), t))
-        if found:
-            return sorted(found[1])
-        # Single-row sources may be crossed in; anything else has no connection.
-        single = [k for k in starts if not have[k].grain]
-        if single:
-            rest = need - {n for k in single for n in have[k].columns}
-            return [*single, *(self.cover(rest) if rest else [])]
+        sliced = {k for k, d in have.items() if not self.whole(d, where)}
+        if lost := sorted(n for n, k in owners.items() if k <= sliced):
+            raise LanguageError(f"only partial datasources have {lost}, and the conditions don't keep to their slices")
+        owners = {n: k - sliced for n, k in owners.items()}
+
+        def bound(n: str) -> set[str]:
+            return {k for k in owners[n] if n in have[k].columns and "~" not in have[k].columns[n][1]} if n in demanded else set()
+
+        usable = {k: d for k, d in have.items() if k not in sliced}
+        near = {k: [o for o in usable if o != k and self.linked(k, o)] for k in usable}
+        price = {k: (1, 2 * len(d.grain) + (k.startswith("union:"))) for k, d in usable.items()}
+        single = sorted({k for n in need for k in owners[n] if not usable[k].grain and not any(usable[o].grain for o in owners[n])})
+        rest = [n for n in need if not owners[n] & set(single)]
+        if not rest:
+            return single
+        for terms in ([bound(n) or owners[n] for n in rest], [owners[n] for n in rest]):
+            if (found := cheapest_tree(terms, near, price)) is not None:
+                return sorted({*found, *single})
         raise LanguageError(f"nothing connects {sorted(need)}; a cross join is not made silently")
 
     def scan(self, name: str) -> Frame:
         d = self.model.datasources[name]
         df = d.load()
         if d.where is not None:
-            df = df.where(self.compile(self.physical(d.where, d), df, {}))
+            df = df.where(self.compile_physical(self.physical(d.where, d), df))
         cols = {}
         for c, (expr, _) in d.columns.items():
             if expr == ("raw",):
@@ -195,16 +225,23 @@ class Planner:
             if kind and kind in ("int", "bigint", "float", "double", "number") and not isinstance(expr, tuple):
                 e = e.cast(scalar.spark_type(kind))
             cols[c] = e.alias(column_name(c))
-        partial = frozenset(c for c in d.columns if d.is_partial(c))
-        return Frame(df.select(*cols.values()), {c: column_name(c) for c in cols}, d.grain, partial)
+        partial = frozenset(c for c in d.columns if "~" in d.columns[c][1])
+        out = df.select(*cols.values())
+        may = frozenset(f.name for f in out.schema if f.nullable) if d.rowset else frozenset()
+        nulls = frozenset(c for c in cols if "?" in d.columns[c][1] or column_name(c) in may)
+        return Frame(out, {c: column_name(c) for c in cols}, d.grain, partial, nulls)
 
     def physical(self, x: Node, d) -> Node:
-        """A condition over concepts as one over the columns of a datasource."""
+        """A condition over concepts as one over the columns of a datasource; names that are no concepts are columns."""
         if x.kind == "ref":
             try:
-                return d.columns[self.model.address(x.name)][0]
-            except (LanguageError, KeyError):
+                a = self.model.address(x.name)
+            except LanguageError:
                 return x
+            if a in d.columns and isinstance(d.columns[a][0], Node):
+                return d.columns[a][0]
+            c = self.model.concepts[a]
+            return self.physical(c.lineage, d) if c.lineage is not None else x
         return x.map(lambda y: self.physical(y, d))
 
     def compile_physical(self, x: Node, df: DataFrame) -> Column:
@@ -212,7 +249,7 @@ class Planner:
             return F.col(x.name)
         return self.compile(x, df, {r.name: r.name for r in x.walk() if r.kind == "ref"})
 
-    def joined(self, names: list[str], where: list[Node]) -> Frame:
+    def joined(self, names: list[str], demanded: set[str]) -> Frame:
         """The datasources joined from the finest to the coarsest."""
         order = sorted(names, key=lambda n: (-len(self.model.closure(self.model.datasources[n].grain) & frozenset(k for o in names for k in self.model.datasources[o].grain)), n))
         out = self.scan(order[0])
@@ -222,22 +259,30 @@ class Planner:
                 d = self.model.datasources[n]
                 on = [k for k in out.columns if k in d.columns and not self.model.concepts[k].is_row and (self.model.concepts[k].purpose == "key" or k in d.grain)]
                 if on:
-                    # a partial key is only joined through where another key doesn't do it
-                    out = join(out, self.scan(n), on, self.model.minimal, nullable=d.rowset or any(self.model.datasources[o].rowset for o in names) or any("?" in self.model.datasources[o].columns.get(k, (0, ""))[1] for o in names for k in on))
+                    frame = self.scan(n)
+                    out = join(out, frame, on, self.model.minimal, self.lookups(out, frame, on, demanded))
                     rest.remove(n)
                     break
             else:
                 raise LanguageError(f"nothing connects {order[0]} and {rest}")
         return out
 
+    def lookups(self, a: Frame, b: Frame, on: list[str], demanded: set[str]) -> frozenset[str]:
+        """The side, if any, that is a row for each value of the keys and determines nothing that is asked for: it is only looked up."""
+        shared = frozenset(on)
+        if self.model.closure(shared) & demanded:
+            return frozenset()
+        sides = {n for n, f in (("a", a), ("b", b)) if f.unique and f.unique <= shared}
+        return frozenset(sides) if len(sides) == 1 else frozenset()
+
     # Conditions
 
     def filtered(self, need: set[str], where: list[list[Node]], grain: list[Node]) -> Frame:
         """Rows with the needed concepts that pass all stages; aggregates inside a stage see what passed the stages before."""
-        atoms = [a for stage in where for a in stage]
+        atoms, demanded = [a for stage in where for a in stage], set(need)
         for a in atoms:
             need = need | self.roots(a) | ({r for k in grain for r in self.roots(k)} if any(n.kind == "agg" and not n.extra for n in self.own(a)) else set())
-        frame = self.rows(need, atoms)
+        frame = self.rows(need, atoms, demanded or None)
         plain = [a for a in atoms if not any(n.kind in ("agg", "win", "scalar", "subselect") for n in self.own(a))]
         for a in plain:
             frame = self.keep(frame, a)
@@ -266,8 +311,9 @@ class Planner:
             name = f"$v{next(self.numbers)}"
             if n.kind == "scalar":
                 one = self.select(n.extra[0].select, nested=True)
-                one = one.select(F.col(one.columns[0]).alias(column_name(name)))
-                frame = Frame(frame.df.crossJoin(F.broadcast(one.limit(1))), {**frame.columns, name: column_name(name)}, frame.unique, frame.partial)
+                one = one.agg(F.first(one.columns[0]).alias("v"), F.count(F.lit(1)).alias("n"))  # one row, null for none
+                one = one.select(F.when(F.col("n") > 1, F.raise_error(F.lit("a select that stands for a value has several rows"))).otherwise(F.col("v")).alias(column_name(name)))
+                frame = replace(frame, df=frame.df.crossJoin(F.broadcast(one)), columns={**frame.columns, name: column_name(name)})
             elif n.kind == "agg":
                 keys = list(n.extra[0]) if n.extra else grain
                 got = self.aggregates([n], keys, where)
@@ -279,10 +325,10 @@ class Planner:
                 df = align(df, right, names, "left").drop(*names)
                 if n.name in COUNTS:
                     df = df.withColumn(column_name(name), F.coalesce(column_name(name), F.lit(0)))
-                frame = Frame(df, {**frame.columns, name: column_name(name)}, frame.unique, frame.partial)
+                frame = replace(frame, df=df, columns={**frame.columns, name: column_name(name)})
             else:
                 df = frame.df.withColumn(column_name(name), self.window(n, frame.df, frame.columns))
-                frame = Frame(df, {**frame.columns, name: column_name(name)}, frame.unique, frame.partial)
+                frame = replace(frame, df=df, columns={**frame.columns, name: column_name(name)})
             put[n] = Node("ref", name)
         swap = lambda y: put[y] if y in put else y if y.kind in ("agg", "scalar", "win") else y.map(swap)
         return frame, swap(x)
@@ -291,13 +337,13 @@ class Planner:
         """The rows for which an atom is true; memberships at the top become semi and anti joins."""
         no = atom.kind == "call" and atom.name == "not"
         inner = atom.args[0] if no else atom
-        if inner.kind == "in" and inner.name in ("set", "select") and not self.is_array(inner, frame):
+        if inner.kind == "in" and inner.name in ("set", "select", "present") and not self.is_array(inner, frame):
             df, left, right = self.member_sides(frame.df, frame.columns, inner)
             cond = reduce(lambda a, b: a & b, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right.columns, strict=True)))
             df = df.join(right, cond, "left_anti" if no else "left_semi").drop(*left)
-            return Frame(df, frame.columns, frame.unique, frame.partial)
-        frame = self.flagged(frame, atom)
-        return Frame(frame[0].df.where(self.compile(frame[1], frame[0].df, frame[0].columns)), frame[0].columns, frame[0].unique, frame[0].partial)
+            return replace(frame, df=df)
+        frame, atom = self.flagged(frame, atom)
+        return replace(frame, df=frame.df.where(self.compile(atom, frame.df, frame.columns)))
 
     def is_array(self, x: Node, frame: Frame) -> bool:
         right = x.args[1] if x.name == "set" else None
@@ -313,7 +359,9 @@ class Planner:
         for i, e in enumerate(left):
             names.append(f"__m{next(self.numbers)}")
             df = df.withColumn(names[-1], self.compile(e, df, columns))
-        if x.name == "select":
+        if x.name == "present":
+            right = x.extra[0].frame()
+        elif x.name == "select":
             right = self.select(x.extra[0].select, nested=True)
         else:
             members = x.args[1].args if x.args[1].kind == "call" and x.args[1].name == "tuple" else (x.args[1],)
@@ -325,14 +373,14 @@ class Planner:
         """Memberships below the top as columns that are true or false."""
         put: dict[Node, Node] = {}
         for n in self.own(atom):
-            if n.kind == "in" and n.name in ("set", "select") and not self.is_array(n, frame):
+            if n.kind == "in" and n.name in ("set", "select", "present") and not self.is_array(n, frame):
                 df, left, right = self.member_sides(frame.df, frame.columns, n)
                 flag = f"$v{next(self.numbers)}"
                 right = right.withColumn(column_name(flag), F.lit(True))
                 cond = reduce(lambda a, b: a & b, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right.columns, strict=False)))
                 df = df.join(right, cond, "left").drop(*left, *right.columns[:-1])
                 df = df.withColumn(column_name(flag), F.coalesce(column_name(flag), F.lit(False)))
-                frame = Frame(df, {**frame.columns, flag: column_name(flag)}, frame.unique, frame.partial)
+                frame = replace(frame, df=df, columns={**frame.columns, flag: column_name(flag)})
                 put[n] = Node("ref", flag)
         swap = lambda y: put.get(y) or y.map(swap)
         return frame, swap(atom)
@@ -396,8 +444,8 @@ class Planner:
         if not grain:
             return frame
         if len(on) < len(grain):
-            return Frame(frame.df.distinct(), frame.columns, grain, frame.partial)
-        return Frame(frame.df.dropDuplicates(on), frame.columns, grain, frame.partial)
+            return replace(frame, df=frame.df.distinct(), unique=grain)
+        return replace(frame, df=frame.df.dropDuplicates(on), unique=grain)
 
     def aggregate(self, n: Node, df: DataFrame, frame: Frame, keys: list[Node]) -> Column:
         row = len(n.args) == 1 and n.args[0].kind == "ref" and n.args[0].name in self.model.concepts and self.model.concepts[n.args[0].name].is_row
@@ -425,29 +473,58 @@ class Planner:
                 return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev_samp, "variance": F.var_samp, "bool_or": F.bool_or, "bool_and": F.bool_and}[name](c[0])
 
     def from_summary(self, aggs: list[Node], keys: list[Node], where: list[list[Node]]) -> DataFrame | None:
-        """The aggregates from a datasource that has them already, summed up where they are sums or counts at a finer grain."""
+        """The aggregates from the cheapest datasource that may answer with those it has: at its own grain, or summed up.
+
+        It may not where it has a part of the rows only (unless the conditions keep to that part), where a condition or
+        a key is neither in its grain nor a property of it, or where a key that is summed over splits what an aggregate
+        counts: a sum or count may be added up over a key only if the aggregate's rows have one value of it each.
+        """
+        atoms = [a for s in where for a in s]
+        if any(n.kind in ("agg", "win", "scalar", "in", "subselect") for a in atoms for n in self.own(a)) or any(k.kind != "ref" for k in keys):
+            return None
+        wanted = {k.name for k in keys} | {r for a in atoms for r in self.roots(a)}
+        found = []
         for d in self.model.datasources.values():
-            if not d.aggregates or not d.published:
+            if not d.aggregates or not d.published or not self.whole(d, atoms):
+                continue
+            if self.eligible is not None and d.name not in self.eligible:
                 continue
             have = {self.strip(self.expand(x)): c for c, x in d.aggregates.items()}
-            atoms = [a for s in where for a in s]
-            if any(self.strip(n) not in have for n in aggs) or any(k.kind != "ref" for k in keys):
+            more = wanted - set(d.columns)
+            if any(self.strip(n) not in have for n in aggs) or not more <= self.model.closure(d.grain) or any(self.model.concepts[m].is_row for m in more):
                 continue
-            wanted = {k.name for k in keys} | {r for a in atoms for r in self.roots(a)}
-            if any(n.kind in ("agg", "win", "scalar", "in") for a in atoms for n in self.own(a)) or not wanted <= d.grain:
+            dropped = d.grain - {k.name for k in keys}
+            if dropped and not all(self.adds_up(n, dropped) for n in aggs):
                 continue
-            same = {k.name for k in keys} == set(d.grain)
-            if not same and any(n.name not in ("sum", "count") for n in aggs):
+            found.append((bool(dropped), len(more), len(d.grain), d.name, have, more))
+        if not found:
+            return None
+        dropped, _, _, name, have, more = min(found, key=lambda f: f[:4])
+        frame = self.scan(name)
+        for m in sorted(more):
+            if m in frame.columns:
                 continue
-            frame = self.scan(d.name)
-            for a in atoms:
-                frame = self.keep(frame, a)
-            picked = [F.col(column_name(have[self.strip(n)])) for n in aggs]
-            head = [frame.col(k.name).alias(f"k{i}") for i, k in enumerate(keys)]
-            if same:
-                return frame.df.select(*head, *(p.alias(f"a{i}") for i, p in enumerate(picked)))
-            return frame.df.select(*head, *(p.alias(f"x{i}") for i, p in enumerate(picked))).groupBy(*(f"k{i}" for i in range(len(keys)))).agg(*(F.sum(f"x{i}").alias(f"a{i}") for i in range(len(aggs))))
-        return None
+            grain = self.model.datasources[name].grain
+            on = next(([g] for g in sorted(grain) if m in self.model.closure(frozenset([g]))), sorted(grain))
+            frame = join(frame, self.to_grain(self.rows({m, *on}), frozenset(on)), on, self.model.minimal)
+        for a in atoms:
+            frame = self.keep(frame, a)
+        picked = [F.col(column_name(have[self.strip(n)])) for n in aggs]
+        head = [frame.col(k.name).alias(f"k{i}") for i, k in enumerate(keys)]
+        zero = lambda n, c: F.coalesce(c, F.lit(0)) if n.name in COUNTS else c
+        if not dropped and not (frame.unique - {k.name for k in keys}):
+            return frame.df.select(*head, *(zero(n, p).alias(f"a{i}") for i, (n, p) in enumerate(zip(aggs, picked, strict=True))))
+        add = {"min": F.min, "max": F.max, "bool_or": F.bool_or, "bool_and": F.bool_and}
+        df = frame.df.select(*head, *(p.alias(f"x{i}") for i, p in enumerate(picked)))
+        return df.groupBy(*(f"k{i}" for i in range(len(keys)))).agg(*(zero(n, add.get(n.name, F.sum)(f"x{i}")).alias(f"a{i}") for i, n in enumerate(aggs)))
+
+    def adds_up(self, n: Node, dropped: frozenset[str]) -> bool:
+        """Whether an aggregate's values at a finer grain give it after keys are dropped from the grain."""
+        if n.name in ("min", "max", "bool_or", "bool_and"):
+            return True
+        if n.name not in ("sum", "count"):
+            return False
+        return dropped <= self.model.closure(frozenset(k for a in n.args for k in self.grain_of(a)))
 
     @staticmethod
     def strip(n: Node) -> Node:
@@ -461,6 +538,7 @@ class Planner:
         if "items" not in q and "setop" in q:
             return self.setop(q["setop"])
         kept = self.eligible, self.scoped, dict(self.model.concepts), dict(self.model.datasources), dict(self.model.same)
+        outer, self.model.memo = (self.probes, self.held, self.model.memo), None
         try:
             self.scoped = dict(self.scoped)
             if q["from"]:
@@ -469,11 +547,12 @@ class Planner:
                 self.register("", self.setop(q["setop"]), f"setop{next(self.numbers)}", q["setop"]["names"])
             for kind, chain in q["joins"]:
                 self.scoped_join(kind, chain)
-            where = [conjuncts(self.expand(w)) for w in q["where"]]
-            items = [(a, self.expand(x), h) for a, x, h in q["items"]]
+            self.model.memo = {}
+            where = [conjuncts(self.expand(self.presence(w))) for w in q["where"]]
+            items = [(a, self.expand(self.presence(x)), h) for a, x, h in q["items"]]
             aliases = {a: x for a, x, _ in items}
             over = lambda x: aliases[x.name] if x.kind == "ref" and x.name in aliases else x.map(over) if x.kind != "ref" else self.expand(x)
-            having = over(q["having"]) if q["having"] is not None else None
+            having = over(self.presence(q["having"])) if q["having"] is not None else None
             order = [(over(x), d, n) for x, d, n in q["order"]]
             by = q["by"]
             if by:
@@ -482,11 +561,17 @@ class Planner:
         finally:
             self.eligible, self.scoped = kept[:2]
             self.model.concepts, self.model.datasources, self.model.same = kept[2:]
+            self.probes, self.held, self.model.memo = outer
 
     def scoped_join(self, kind: str, chain: list[Node]) -> None:
         """subset join: the first is contained in the last, which anchors; union join: neither contains the other."""
-        names = [self.model.address(x.name) for x in chain]
+        names = [self.join_key(x) for x in chain]
         anchor = names[-1]
+        for x, n in zip(chain, names, strict=True):
+            if x.kind == "ref" and (n != anchor or kind == "union"):
+                own = [d.name for d in sorted(self.model.datasources.values(), key=lambda d: (n in d.grain, d.name)) if n in d.columns and d.published]
+                self.probes = {**self.probes, n: own, x.name: own}
+        self.held = {**self.held, **{k: self.model.datasources[v[0]] for k, v in self.probes.items() if v and k not in self.held}}
         for n in names[:-1]:
             self.relate(n, anchor, partial=True)
         if kind == "union":
@@ -494,16 +579,54 @@ class Planner:
                 if anchor in d.columns:
                     self.mark_partial(d, anchor)
 
-    def mark_partial(self, d, concept: str) -> None:
-        from dataclasses import replace
+    def join_key(self, x: Node) -> str:
+        """The concept that a side of a join names; an expression becomes a key of its own, bound where its concepts are."""
+        if x.kind == "ref" and self.model.concepts[self.model.address(x.name)].lineage is None:
+            return self.model.address(x.name)
+        e = self.expand(x)
+        need = self.roots(e)
+        if not need:
+            raise LanguageError("a join key needs a concept")
+        name = f"$join{next(self.numbers)}"
+        self.model.concepts = {**self.model.concepts, name: Concept(name, "key", None)}
+        own = [d for d in self.model.datasources.values() if d.published and not d.aggregates and all(r in d.columns and isinstance(d.columns[r][0], Node) for r in need)]
+        marks = lambda d: "".join(m for m in "?" if any(m in d.columns[r][1] for r in need))
+        for d in own:
+            self.model.datasources[d.name] = replace(d, columns={**d.columns, name: (self.physical(e, d), marks(d))})
+        if not own:  # over several datasources: their join is one more
+            frame = self.rows(need)
+            df = frame.df.withColumn(column_name(name), self.compile(e, frame.df, frame.columns))
+            columns = {c: (Node("ref", k), "~" if c in frame.partial else "") for c, k in frame.columns.items()}
+            self.model.datasources = {**self.model.datasources, f"rows{name}": Datasource(f"rows{name}", {**columns, name: (Node("ref", column_name(name)), "?")}, frame.unique, lambda: df, rowset=True)}
+        return name
+
+    def presence(self, x: Node) -> Node:
+        """Null tests of a joined key as tests of presence: whether the side that the key names has the row's value."""
+        if x.kind == "call" and x.name == "is_null" and x.args[0].kind == "ref":
+            name = x.args[0].name
+            for n in (name, name.removeprefix("local.")):
+                if self.probes.get(n):
+                    d, anchor = self.held[n], self.model.address(n)
+                    own = n if n in d.columns else next((a for a in d.columns if self.model.canonical(a) == anchor), None)
+
+                    def values(d=d, own=own) -> DataFrame:
+                        binding = d.columns[own][0]
+                        c = F.expr(binding[1]) if isinstance(binding, tuple) else self.compile_physical(binding, d.load())
+                        kind = self.model.concepts[own].type
+                        c = c.cast(scalar.spark_type(kind)) if kind in ("int", "bigint", "float", "double", "number") else c
+                        return d.load().select(c.alias("v")).where("v is not null")
+
+                    return Node("call", "not", (Node("in", "present", (Node("ref", anchor),), (Side(values),)),))
+        x = x.map(self.presence)
+        twice = x.kind == "call" and x.name == "not" and x.args[0].kind == "call" and x.args[0].name == "not" and x.args[0].args[0].name == "present"
+        return x.args[0].args[0] if twice else x
 
+    def mark_partial(self, d, concept: str) -> None:
         e, marks = d.columns[concept]
         self.model.datasources[d.name] = replace(d, columns={**d.columns, concept: (e, marks if "~" in marks else marks + "~")})
 
     def relate(self, a: str, b: str, partial: bool) -> None:
         """From now on a is b; where partial, what binds a has only part of b's values."""
-        from dataclasses import replace
-
         a, b = self.model.canonical(a), self.model.canonical(b)
         if a == b:
             return
@@ -556,7 +679,7 @@ class Planner:
             elif x.kind == "ref":
                 if x not in dims:
                     hidden.append(x)
-            elif x.kind == "in" and x.name in ("set", "select"):
+            elif x.kind == "in" and x.name in ("set", "select", "present"):
                 bare(x.args[0])
             elif not shaped(x) and self.roots(x) and not any(n.kind in ("scalar", "subselect") for n in self.own(x)):
                 kids: list[Node] = []
@@ -652,15 +775,27 @@ class Planner:
         if by is not None:
             keys = [*dict.fromkeys(x for s in by[1] for x in s)] if by[0] == "sets" else list(by[1])
             own = [n for n in aggs if not n.extra]
-            df = self.aggregates(own, keys, where, by)
-            df = df.select(*(F.col(f"k{keys.index(g)}").alias(columns[g]) for g in grain if g in keys), *(F.col(f"a{i}").alias(f"x{i}") for i in range(len(own))))
-            columns = {g: c for g, c in columns.items() if g in keys} | {n: f"x{i}" for i, n in enumerate(own)}
+            marks = [Node("agg", "grouping", (k,)) for k in keys]
+            df = self.aggregates([*own, *marks], keys, where, by)
+            more = [g for g in grain if g not in keys]
+            columns = {g: c for g, c in columns.items() if g not in keys} | {k: columns.get(k, f"h{i}") for i, k in enumerate(keys)} | {n: f"x{i}" for i, n in enumerate(own)}
+            up = [f"__up{i}" for i in range(len(keys))]
+            df = df.select(*(F.col(f"k{i}").alias(columns[k]) for i, k in enumerate(keys)), *(F.col(f"a{i}").alias(f"x{i}") for i in range(len(own))), *(F.col(f"a{len(own) + i}").alias(c) for i, c in enumerate(up)))
+
+            def beside(df: DataFrame, got: DataFrame, of: list[Node]) -> DataFrame:
+                """Columns at some of the keys, for the rows in which none of these is rolled up: a null key is no subtotal."""
+                at = [up[keys.index(k)] for k in of if k in keys]
+                return align(df, got.withColumns({c: F.lit(0).cast("bigint") for c in at}), [columns[k] for k in of] + at, "left")
+
+            if more:  # outputs outside the grouping come back by its keys
+                rest = self.distinct([*keys, *more], where)
+                df = beside(df, rest.select(*(F.col(f"g{i}").alias(columns[g]) for i, g in enumerate([*keys, *more]))), keys)
             for j, n in enumerate(n for n in aggs if n.extra):
                 got = self.aggregates([n], list(n.extra[0]), where)
                 got = got.select(*(F.col(f"k{i}").alias(columns[k]) for i, k in enumerate(n.extra[0])), F.col("a0").alias(f"p{j}"))
-                df = align(df, got, [columns[k] for k in n.extra[0]], "left")
+                df = beside(df, got, list(n.extra[0]))
                 columns[n] = f"p{j}"
-            return df, columns
+            return df.drop(*up), columns
         streams: dict[tuple, list[Node]] = {}
         for n in aggs:
             keys = tuple(n.extra[0]) if n.extra else tuple(grain)
@@ -705,7 +840,7 @@ class Planner:
             frame, g = self.ready(frame, g, where, [])
             made.append(g)
         df = frame.df.select(*(self.compile(g, frame.df, frame.columns).alias(f"g{i}") for i, g in enumerate(made)))
-        return df if frame.unique and frame.unique <= refs and not generated else df.distinct()
+        return df if frame.unique and frame.unique <= refs and not frame.unique & frame.padded and not generated else df.distinct()
 
     def subselect(self, frame: Frame, n: Node, dims: list[Node], put: dict) -> tuple[Frame, Node]:
         """The values of an expression as an ordered array, for each value of the outputs that it shares rows with."""
@@ -780,8 +915,6 @@ class Planner:
 
     def register(self, prefix: str, df: DataFrame, name: str, names: list | None = None, grain: list[str] | None = None) -> None:
         """Makes the columns of a result concepts of their own (prefix.column), bound by one source."""
-        from .model import Concept, Datasource
-
         columns = {}
         grain_addresses = []
         for i, c in enumerate(df.columns):

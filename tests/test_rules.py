@@ -127,3 +127,149 @@ def test_filter_reaches_the_scan(spark):
 def test_bad_text_is_an_error(text):
     with pytest.raises(LanguageError):
         parse(text)
+
+
+NULLABLE = """
+key u int; property u.name string; key p int; property p.s int;
+datasource us (id: u, name: name) grain (u) address us;
+datasource ps (id: p, uid: {marks}u, s: s) grain (p) address ps;
+"""
+
+
+@pytest.fixture(params=["~?", "?"])
+def nullable(spark, request):
+    e = Engine(spark)
+    e.register_frame("us", spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string"))
+    e.register_frame("ps", spark.createDataFrame([(10, 1, 1), (11, 1, 2), (12, 2, 4), (13, None, 9)], "id long, uid long, s long"))
+    e.run(NULLABLE.format(marks=request.param))
+    return e
+
+
+def test_r7_null_keys_keep_their_rows(nullable):
+    assert got(nullable.query("select p, name;")) == [(10, "a"), (11, "a"), (12, "b"), (13, None)]
+    assert got(nullable.query("select name, sum(s) as t;")) == [("a", 3), ("b", 4), (None, 9)]
+    assert got(nullable.query("select sum(s) as t;")) == [(16,)]
+
+
+def test_r7_whole_results(engine):
+    assert got(engine.query("select user.id as u, count(post.id) as n;")) == [(1, 2), (2, 1), (3, 0), (None, 1)]
+    assert got(engine.query("select post.id, user.name;")) == [(10, "a"), (11, "a"), (12, "b"), (13, None), (None, "b")]
+
+
+def test_r7_a_lookup_adds_no_rows(engine):
+    assert got(engine.query("where user.name = 'b' select post.id;")) == [(12,)]
+
+
+def test_padding_is_no_value(spark):
+    """A fact without a key and a dimension row without a fact are both kept, and never meet at the next join."""
+    e = Engine(spark)
+    e.register_frame("a", spark.createDataFrame([(1, 5), (2, None)], "x long, y long"))
+    e.register_frame("b", spark.createDataFrame([(5, 7), (6, None)], "y long, z long"))
+    e.register_frame("c", spark.createDataFrame([(7, "seven"), (8, "eight")], "z long, n string"))
+    e.run("key x int; key y int; key z int; property z.n string; datasource a (x: x, y: ~?y) grain (x) address a; datasource b (y: y, z: ~?z) grain (y) address b; datasource c (z: z, n: n) grain (z) address c;")
+    assert got(e.query("select x, y, n;")) == [(1, 5, "seven"), (2, None, None), (None, 6, None), (None, None, "eight")]
+
+
+def test_source_search_has_no_limit(spark):
+    """A chain of 14 datasources, and a star of 12 around one fact."""
+    e = Engine(spark)
+    text = "key k0 int;"
+    for i in range(1, 15):
+        text += f"key k{i} int; datasource d{i} (a: k{i - 1}, b: k{i}) grain (k{i - 1}) query '''select 1 as a, 1 as b''';"
+    e.run(text)
+    assert got(e.query("select k0, k14;")) == [(1, 1)]
+    star = "key f int;" + "".join(f"key s{i} int; property s{i}.n{i} int;" for i in range(12))
+    star += "datasource fact (f: f," + ",".join(f"c{i}: s{i}" for i in range(12)) + ") grain (f) query '''select 1 as f, " + ",".join(f"{i} as c{i}" for i in range(12)) + "''';"
+    star += "".join(f"datasource dim{i} (c: s{i}, n: n{i}) grain (s{i}) query '''select {i} as c, {i} as n''';" for i in range(12))
+    e.run(star)
+    assert got(e.query("select f, " + ", ".join(f"n{i}" for i in range(12)) + ";")) == [(1, *range(12))]
+
+
+def test_a_scalar_select_with_several_rows_is_an_error(engine):
+    with pytest.raises(Exception, match="several rows"):
+        engine.query("where post.score > (select post.score) select post.id;").collect()
+    assert got(engine.query("where post.score > (select post.score where post.score > 99) select post.id;")) == []
+
+
+SALES = """
+key day int; property day.region string; key sale int; property sale.amount int; key cust int;
+metric total <- sum(amount); metric buyers <- count(cust); metric most <- max(amount);
+datasource sales (s: sale, d: day, c: cust, a: amount) grain (sale) query '''select * from values (1, 1, 7, 1), (2, 1, 8, 2), (3, 2, 7, 3), (4, 3, 9, 10) as t(s, d, c, a)''';
+datasource days (d: day, r: region) grain (day) query '''select * from values (1, 'eu'), (2, 'eu'), (3, 'us') as t(d, r)''';
+"""
+
+
+@pytest.fixture()
+def sales(spark):
+    e = Engine(spark)
+    e.run(SALES)
+    return e
+
+
+def test_summary_with_part_of_the_rows(sales):
+    sales.run("partial datasource eu (d: day, t: total) grain (day) complete where region = 'eu' query '''select * from values (1, 100), (2, 200) as t(d, t)''';")
+    assert got(sales.query("select total as t;")) == [(16,)]
+    assert got(sales.query("where region = 'eu' select total as t;")) == [(300,)]
+
+
+def test_summary_with_a_condition(sales):
+    sales.run("datasource by_day (d: day, t: total) grain (day) where d < 3 query '''select * from values (1, 100), (2, 200), (3, 900) as t(d, t)''';")
+    assert got(sales.query("select day, total as t;")) == [(1, 100), (2, 200)]
+
+
+def test_summary_counts_add_up_only_over_what_their_rows_have_once(sales):
+    sales.run("datasource by_day (d: day, b: buyers, t: total, m: most) grain (day) query '''select * from values (1, 2, 300, 2), (2, 1, 300, 3), (3, 1, 1000, 10) as t(d, b, t, m)''';")
+    assert got(sales.query("select buyers as b;")) == [(3,)]  # customer 7 came twice: not from the summary
+    assert got(sales.query("select total as t, most as m;")) == [(1600, 10)]
+    assert got(sales.query("select region, total as t;")) == [("eu", 600), ("us", 1000)]  # a property of the summary's grain
+    assert got(sales.query("where region = 'us' select total as t;")) == [(1000,)]
+
+
+def test_the_cheapest_summary_answers(sales):
+    sales.run("datasource fine (d: day, c: cust, t: total) grain (day, cust) query '''select 1 as d, 7 as c, 5 as t'''; datasource coarse (d: day, t: total) grain (day) query '''select 1 as d, 6 as t''';")
+    assert got(sales.query("select day, total as t;")) == [(1, 6)]
+
+
+def test_conditions_of_datasources(spark):
+    e = Engine(spark)
+    e.run("key a int; property a.b int; datasource x (k: a, v: b) grain (a) where b > 1 and k < 9 query '''select id as k, id as v from range(12)''';")
+    assert got(e.query("select a;")) == [(i,) for i in range(2, 9)]
+
+
+def test_partial_sources_alone_are_an_error(spark):
+    e = Engine(spark)
+    e.run("key ch string; key s int; partial datasource web (c: ch, s: s) grain (s, ch) complete where ch = 'W' query '''select 'W' as c, id as s from range(2)''';")
+    with pytest.raises(LanguageError, match="partial"):
+        e.query("select s;")
+    assert got(e.query("where ch = 'W' select s;")) == [(0,), (1,)]
+    assert got(e.query("where ch in ('W') and s > 0 select s;")) == [(1,)]
+
+
+JOINED = """
+key ca int; property ca.va int; key cb int; property cb.vb string;
+datasource ta (a: ca, v: va) grain (ca) query '''select * from values (1, 10), (2, 20), (4, 40) as t(a, v)''';
+datasource tb (b: cb, v: vb) grain (cb) query '''select * from values (2, 'x'), (3, 'y') as t(b, v)''';
+"""
+
+
+def test_joins_by_expression(spark):
+    e = Engine(spark)
+    e.run(JOINED)
+    assert got(e.query("subset join ca + 1 = cb select vb, va;")) == [("x", 10), ("y", 20), (None, 40)] or got(e.query("subset join ca + 1 = cb select vb, va;")) == [("x", 10), ("y", 20)]
+    assert got(e.query("union join ca + 0 = cb + 0 select va, vb;")) == [(10, None), (20, "x"), (40, None), (None, "y")]
+
+
+def test_presence(spark):
+    e = Engine(spark)
+    e.run("key cust int; property cust.cname string; key ord int; property ord.oc int; property ord.amt int; datasource cs (i: cust, n: cname) grain (cust) query '''select * from values (1, 'A'), (2, 'B'), (3, 'C') as t(i, n)'''; datasource os (o: ord, c: oc, a: amt) grain (ord) query '''select * from values (100, 1, 10), (101, 1, 15), (102, 2, 20) as t(o, c, a)''';")
+    assert got(e.query("select cname subset join oc = cust;")) == [("A",), ("B",), ("C",)]
+    assert got(e.query("where oc is not null select cname subset join oc = cust;")) == [("A",), ("B",)]
+    assert got(e.query("where oc is null select cname subset join oc = cust;")) == [("C",)]
+    assert got(e.query("subset join oc = cust select cname, oc is null as none;")) == [("A", False), ("B", False), ("C", True)]
+
+
+def test_outputs_outside_a_rollup(spark):
+    e = Engine(spark)
+    e.run("key g int; property g.n string; key r int; property r.v int; datasource gs (g: g, n: ?n) grain (g) query '''select * from values (1, 'one'), (2, null) as t(g, n)'''; datasource rs (r: r, g: ?g, v: v) grain (r) query '''select * from values (1, 1, 1), (2, 2, 2), (3, null, 4) as t(r, g, v)''';")
+    assert got(e.query("select g, n, sum(v) as s by rollup (g);")) == sorted([(1, "one", 1), (2, None, 2), (None, None, 4), (None, None, 7)], key=repr)
+    assert got(e.query("select g, sum(v) as s, sum(v) by g as own by rollup (g);")) == sorted([(1, 1, 1), (2, 2, 2), (None, 4, 4), (None, 7, None)], key=repr)
