@@ -4,18 +4,21 @@ A file set is a Parquet dataset (so Spark's committer writes it and any store ca
 
     part int, block int        the block's place; parts are ranges of doc_id in order, blocks follow one another in a part
     dictionary long            the first 8 bytes of the SHA-256 of the dictionary, which `<path>/dictionary` holds
-    doc_id array<long>         ascending
+    first long, last long      the least and the greatest doc_id that isn't null
+    doc_id array<long>         ascending, null first
     at array<int>              byte offset of each document's frame in data, one more entry than documents
     token_at array<long>       ids before each document within the part, one more entry than documents
     data binary                the frames, each an array of little-endian unsigned 16-bit ids (32-bit if wide)
     wide boolean
 
-and one small row per part, in `<path>/parts`, with the ids before it. A single document is read by finding its block by
-doc_id and decompressing only its frame. The dictionary is trained on at most SAMPLE documents (the least hashes of
+and one small row per part, in `<path>/parts`, with the ids before it. Row groups hold few blocks, so a reader skips all
+whose first and last don't enclose the doc_id that it looks for; of the block that has it, only the document's own frame
+is decompressed. The dictionary is trained on at most SAMPLE documents (the least hashes of
 doc_id, at most SAMPLE_IDS ids of each): it changes sizes, never contents; all documents are written.
 
-Defined cases: a null or empty text gives one id, the end id; repeated rows and equal doc_ids are written once each, in
-no fixed order among themselves; null doc_ids come first; an empty table gives an empty file set.
+Defined cases: a null or empty text gives one id, the end id; a text of any length is encoded whole, in a stream;
+repeated rows and equal doc_ids are written once each, in no fixed order among themselves; null doc_ids come first and
+can't be looked up; further columns are ignored, whatever their names; an empty table gives an empty file set.
 """
 
 from __future__ import annotations
@@ -34,8 +37,8 @@ from .bpe import default_tokenizer, transducer
 from .common import scratch, stored
 
 SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 4096, 64 << 10
-BLOCK_DOCS, BLOCK_BYTES = 4096, 4 << 20
-BLOCK = "part int, block int, dictionary long, doc_id array<long>, at array<int>, token_at array<long>, data binary, wide boolean"
+BLOCK_DOCS, BLOCK_BYTES, GROUP_BYTES = 4096, 1 << 20, 2 << 20
+BLOCK = "part int, block int, dictionary long, first long, last long, doc_id array<long>, at array<int>, token_at array<long>, data binary, wide boolean"
 
 
 def digest(dictionary: bytes) -> int:
@@ -87,8 +90,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
         def block() -> pa.RecordBatch:
             at = np.concatenate([[0], np.cumsum([len(f) for f in frames])])
-            row = {"part": part, "block": blocks, "dictionary": digest(held.value), "doc_id": ids, "at": at.tolist(), "token_at": [*starts, tokens], "data": b"".join(frames), "wide": wide}
-            types = {"part": pa.int32(), "block": pa.int32(), "at": pa.list_(pa.int32()), "doc_id": pa.list_(pa.int64()), "token_at": pa.list_(pa.int64()), "data": pa.binary()}
+            known = [i for i in ids if i is not None]
+            row = {"part": part, "block": blocks, "dictionary": digest(held.value), "first": min(known, default=None), "last": max(known, default=None), "doc_id": ids, "at": at.tolist(), "token_at": [*starts, tokens], "data": b"".join(frames), "wide": wide}
+            types = {"part": pa.int32(), "block": pa.int32(), "first": pa.int64(), "last": pa.int64(), "at": pa.list_(pa.int32()), "doc_id": pa.list_(pa.int64()), "token_at": pa.list_(pa.int64()), "data": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array([v], types.get(k)) for k, v in row.items()], list(row))
 
         for b in batches:
@@ -108,7 +112,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     encoded = stored(docs.mapInArrow(encode, "doc_id long, n long, frame binary"), "frames")  # not encoded again for the range bounds
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = encoded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    placed.withColumn("part", F.spark_partition_id()).mapInArrow(pack, BLOCK).write.parquet(f"{path}/blocks")
+    placed.withColumn("part", F.spark_partition_id()).mapInArrow(pack, BLOCK).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     # one row per part, of which there are as many as shuffle partitions
     sums = [(r[0], r[1]) for r in blocks.groupBy("part").agg(F.max(F.element_at("token_at", -1))).orderBy("part").collect()]
@@ -156,12 +160,17 @@ def _read(spark: SparkSession, path: str, column: str, make, kind: pa.DataType)
     return blocks.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
 
 
-def lookup(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
-    """The ids of one document: only the blocks that can hold it are read, only its frame is decompressed."""
-    held = F.array_contains("doc_id", F.lit(doc_id))
+def holding(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """The frames (f, wide) of a document: the range conditions reach the scan, which skips the row groups of all other blocks."""
     place = F.array_position("doc_id", F.lit(doc_id)).cast("int")
     piece = F.substring(F.col("data"), F.element_at("at", place) + 1, F.element_at("at", place + 1) - F.element_at("at", place))
-    r = spark.read.schema(BLOCK).parquet(f"{path}/blocks").where(held).select(piece.alias("f"), "wide").first()
+    near = spark.read.schema(BLOCK).parquet(f"{path}/blocks").where((F.col("first") <= doc_id) & (F.col("last") >= doc_id))
+    return near.where(F.array_contains("doc_id", F.lit(doc_id))).select(piece.alias("f"), "wide")
+
+
+def lookup(spark: SparkSession, path: str, doc_id: int) -> list[int] | None:
+    """The ids of one document, None if there is none: only row groups whose blocks can hold it are read, only its frame is decompressed."""
+    r = holding(spark, path, doc_id).first()
     if r is None:
         return None
     z = zstandard.ZstdDecompressor(**_coder(_dictionary(spark, path)[1]))
