@@ -74,6 +74,17 @@ def test_quality(docs, none):
     assert quality.filter_documents(none).count() == 0
 
 
+def test_quality_limits_follow_the_group(spark):
+    """A group is judged by its own texts; a small one leans on its language; a quarter of bad texts moves no limit."""
+    good, bad = " ".join(["word"] * 3 + [f"w{i}" for i in range(60)]), " ".join(f"w{i} ###" for i in range(60))
+    code = " ".join(f"w{i}{'$' if i % 2 else ''}" for i in range(60))
+    rows = [("en", "web", good)] * 400 + [("en", "web", bad)] * 180 + [("en", "code", code)] * 600 + [("en", "small", good), ("en", "small", bad)]
+    df = spark.createDataFrame([(i, t, a, b) for i, (a, b, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    m = quality.judge(quality.measure(df)).select("source", "n_symbols", "kept").distinct().collect()
+    kept = {(r.source, r.n_symbols): r.kept for r in m}
+    assert kept == {("web", 0): True, ("web", 180): False, ("code", 30): True, ("small", 0): True, ("small", 180): False}
+
+
 def test_repeated_words(spark):
     from pyspark.sql import functions as F
 
