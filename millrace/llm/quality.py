@@ -49,6 +49,10 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 def repeated_words(ws: Column) -> Column:
     """Words of an array that lie in windows of WINDOW words found twice or more in it."""
+    return let(ws, _repeated)  # the array once, wherever the optimizer puts its expression
+
+
+def _repeated(ws: Column) -> Column:
     last = F.size(ws) - WINDOW
     hashes = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
 
