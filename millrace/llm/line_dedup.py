@@ -1,27 +1,43 @@
 """Removal of lines that many documents share, with levelled sorted runs of line hashes.
 
 The index keeps, for every line key (128 bits of hashes), in how many documents it was found and the largest doc_id. It
-consists of runs: Parquet tables sorted by hash within their partitions. A batch of documents is aggregated to its keys
-first; a join against the runs splits it into new keys and increments, and both are added as one run of level 0: as runs
-hold counts that are summed in the end, the split decides nothing, and the same run is written without it. When a level has FANOUT runs they are merged to one of the next level, so a key is rewritten once a
-level and a look-up meets at most FANOUT - 1 runs a level. A line is dropped where its key was found in at least
-`min_docs` documents and the document isn't the one with the largest doc_id.
+consists of runs, tables that are bucketed and sorted by key, of two kinds:
+
+* key runs, in which every key of the index stands exactly once, with what the batch that brought it knew of it;
+* increment runs: what later batches add to keys that were there already.
+
+A batch of documents is aggregated to its keys, which are merge-anti-joined with the key runs: what is left over is new
+and becomes a key run of level 0, the rest becomes an increment run. Runs and batches share their bucketing, so these
+joins move nothing. When a level has FANOUT runs they are merged to one of the next level, so a row is rewritten once a
+level and a look-up meets at most FANOUT - 1 runs a level. In the end each key run is joined with the summed increments;
+a key's total is right only because the anti-join let it into one key run. A line is dropped where its key was found in
+at least `min_docs` documents and the document isn't the one with the largest doc_id.
+
+Keys that many documents share are few: at most as many as there are rows over the limit of the hot ones. Those are
+broadcast, so their rows stay where they are; the other keys are joined by a shuffle.
 
 Defined cases: a null or empty text is one empty line, which is never dropped; rows that share a doc_id count as one
-document and each keep or lose the same lines; a null doc_id doesn't count as a document and never holds the kept copy;
-a line that occurs several times in a document is counted once and dropped or kept at every place; an empty table gives
-an empty table.
+document and lose the same lines; a null doc_id doesn't count as a document and never holds the kept copy; a line that
+occurs several times in a document is counted once and dropped or kept at every place; columns of docs stay, whatever
+their names (kept_text, n_lines and n_dropped are replaced); work is linear in a text's lines; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, lower_ascii, scratch, stored
+from .common import SPACE_CHARS, lower_ascii, pin, remove, scratch, stored
 
 MIN_CHARS, MIN_DOCS, FANOUT, BATCHES = 20, 3, 3, 4
 RUN = "h1 long, h2 long, n_docs long, top long"
+KEY = ["h1", "h2"]
+#: Keys (32 bytes each) that may be broadcast; beyond, the join is shuffled for all but the hot ones.
+BROADCAST_KEYS = 200_000
 
 
 def line_key(line: Column) -> Column:
@@ -38,98 +54,131 @@ def lines_of(text: Column) -> Column:
 
 
 class LineIndex:
-    """Levelled sorted runs in a shared folder."""
+    """Levelled sorted runs in a shared folder. keys and more: level and table of each run."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.runs, self.made = spark, path, [], 0
+        self.spark, self.path, self.keys, self.more = spark, path, [], []
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _write(self, df: DataFrame, level: int) -> None:
-        to = f"{self.path}/level{level}-run{self.made}"
-        df.sortWithinPartitions("h1", "h2").write.parquet(to)
-        self.made += 1
-        self.runs.append((level, to))
+    def _write(self, df: DataFrame) -> str:
+        """A run: one file a bucket, since df is dealt by its key over as many partitions."""
+        name = f"millrace_run_{uuid.uuid4().hex}"
+        df.select("h1", "h2", "n_docs", "top").write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.path}/{name}").saveAsTable(name)
+        return name
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths)
+    def _drop(self, *names: str) -> None:
+        for n in names:
+            self.spark.sql(f"drop table {n}")
+            remove(self.spark, f"{self.path}/{n}")
 
-    def merged(self) -> DataFrame:
-        """One row a key over all runs."""
-        if not self.runs:
-            return self.spark.createDataFrame([], RUN)
-        return _merge(self._read([p for _, p in self.runs]))
-
-    def add(self, keys: DataFrame) -> None:
-        """keys: h1, h2, doc_id of one batch, whose documents are in no other batch."""
-        batch = keys.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("top"))
-        if self.runs:
-            known = self._read([p for _, p in self.runs]).select("h1", "h2").withColumn("known", F.lit(True)).distinct()
-            batch = batch.join(known, ["h1", "h2"], "left")
-            fresh, again = batch.where("known is null"), batch.where("known")
-            batch = fresh.union(again).drop("known")
-        self._write(batch, 0)
+    def _compact(self, runs: list[tuple[int, str]]) -> list[tuple[int, str]]:
         level = 0
-        while len(full := [p for k, p in self.runs if k == level]) >= FANOUT:
-            self.runs = [(k, p) for k, p in self.runs if k != level]
-            self._write(_merge(self._read(full)), level + 1)
+        while len(full := [t for k, t in runs if k == level]) >= FANOUT:
+            merged = self._write(total([self.spark.table(t) for t in full]))
+            runs = [(k, t) for k, t in runs if k != level] + [(level + 1, merged)]
+            self._drop(*full)
             level += 1
+        return runs
+
+    def add(self, rows: DataFrame) -> None:
+        """rows: h1, h2, doc_id of one batch, whose documents are in no other batch."""
+        batch = self._write(rows.groupBy(*KEY).agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("top")))
+        if self.keys:
+            fresh = again = self.spark.table(batch)
+            for _, run in self.keys:
+                fresh = fresh.join(self.spark.table(run).select(*KEY), KEY, "left_anti")
+            new = self._write(fresh)
+            again = again.join(self.spark.table(new).select(*KEY), KEY, "left_anti")
+            self.more = self._compact([*self.more, (0, self._write(again))])
+            self._drop(batch)
+            batch = new
+        self.keys = self._compact([*self.keys, (0, batch)])
+
+    def totals(self) -> DataFrame:
+        """One row a key: every key run with the increments of its keys."""
+        if not self.keys:
+            return self.spark.createDataFrame([], RUN)
+        runs = [self.spark.table(t) for _, t in self.keys]
+        if self.more:
+            add = total([self.spark.table(t) for _, t in self.more]).withColumnsRenamed({"n_docs": "n", "top": "t"})
+            runs = [r.join(add, KEY, "left").select(*KEY, (F.col("n_docs") + F.coalesce("n", F.lit(0))).alias("n_docs"), F.greatest("top", "t").alias("top")) for r in runs]
+        return reduce(DataFrame.union, runs)
 
+    def close(self) -> None:
+        """Forgets the runs and deletes their files."""
+        self._drop(*(t for _, t in [*self.keys, *self.more]))
+        self.keys, self.more = [], []
 
-def _merge(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top"))
+
+def total(runs: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, runs).groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top"))
+
+
+def text_id(text: Column) -> Column:
+    """With the doc_id this names a row's lines: rows with equal texts lose the same ones."""
+    return F.xxhash64(F.lit(2), text)
 
 
 def keys_of(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
-    """doc_id, batch, h1, h2: the distinct keys of each document's lines that are long enough."""
-    keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.char_length(k) >= min_chars)
-    rows = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.explode(F.array_distinct(F.transform(keys, key_hash))).alias("h"))
-    return rows.select("doc_id", "batch", "h.*")
+    """doc_id, tid, at, h1, h2, batch: the lines (at, from 0) of each document that are long enough, by key."""
+    keys = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.struct(line_key(x).alias("k"), i.alias("at"))), lambda x: F.char_length(x["k"]) >= min_chars)
+    found = F.transform(keys, lambda x: F.struct(x["at"].alias("at"), key_hash(x["k"]).alias("h")))
+    rows = docs.select("doc_id", text_id(F.col("text")).alias("tid"), F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"), F.explode(found).alias("l"))
+    return rows.select("doc_id", "tid", "l.at", "l.h.h1", "l.h.h2", "batch")
 
 
-def index_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> tuple[LineIndex, DataFrame]:
-    """The index of docs, added batch by batch, and the stored keys."""
-    spark = docs.sparkSession
-    path = scratch(spark, "line-keys")
+def index_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> tuple[LineIndex, DataFrame, str]:
+    """The index of docs, added batch by batch; the stored lines, and where they are."""
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "line-keys")
     keys_of(docs, batches, min_chars).write.partitionBy("batch").parquet(path)
-    keys = spark.read.schema("doc_id long, h1 long, h2 long, batch int").parquet(path)
+    lines = spark.read.schema("doc_id long, tid long, at int, h1 long, h2 long, batch int").parquet(path)
     index = LineIndex(spark, scratch(spark, "line-runs"))
     for b in range(batches):
-        index.add(keys.where(F.col("batch") == b))
-    return index, keys
+        index.add(lines.where(F.col("batch") == b).select("h1", "h2", "doc_id"))
+    return index, lines, path
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, lost (the hashes of the keys whose lines it loses), for the documents that lose any."""
-    index, keys = index_lines(docs, batches, min_chars)
-    wide = index.merged().where((F.col("n_docs") >= min_docs) & F.col("top").isNotNull())
-    hit = keys.select("doc_id", "h1", "h2").join(wide, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("top")))
-    return hit.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))  # at most a document's own lines
+    """doc_id, tid, lost (the places of the lines it loses), for the documents that lose any; the index is gone afterwards."""
+    index, lines, path = index_lines(docs, batches, min_chars)
+    wide = pin(index.totals().where((F.col("n_docs") >= min_docs) & F.col("top").isNotNull()))
+    lines = lines.select("doc_id", "tid", "at", *KEY)
+    n, most = wide.agg(F.count("*"), F.sum("n_docs")).first()
+    if n <= BROADCAST_KEYS:
+        hit = lines.join(F.broadcast(wide), KEY)
+    else:
+        limit = max(1000, -(-most // BROADCAST_KEYS))  # at most BROADCAST_KEYS keys have as many documents
+        hot = F.broadcast(wide.where(F.col("n_docs") >= limit))
+        cold = lines.join(hot.select(*KEY), KEY, "left_anti").join(wide.where(F.col("n_docs") < limit), KEY)
+        hit = lines.join(hot, KEY).unionByName(cold)
+    hit = hit.where(~F.col("doc_id").eqNullSafe(F.col("top")))
+    lost = stored(hit.groupBy("doc_id", "tid").agg(F.collect_set("at").alias("lost")), "lost-lines")  # at most a document's own lines
+    index.close()
+    remove(docs.sparkSession, path)
+    return lost
 
 
 def strip_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with kept_text, n_lines (before) and n_dropped."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lost = dropped_lines(ids, min_docs, batches, min_chars).select(F.col("doc_id").alias("__id"), F.col("lost").alias("__lost"))
-    joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    lines = lines_of(F.col("text"))
-    stays = lambda x: ~let_contains(x)
-
-    def let_contains(x: Column) -> Column:
-        key = line_key(x)
-        return (F.char_length(key) >= min_chars) & F.array_contains(F.col("__lost"), key_hash(key))
-
-    kept = F.when(F.col("__lost").isNull(), lines).otherwise(F.filter(lines, stays))
-    out = joined.withColumn("__lines", F.size(lines).cast("long")).withColumn("__kept", kept)
-    out = out.withColumns({"kept_text": F.array_join("__kept", "\n"), "n_lines": F.col("__lines"), "n_dropped": F.col("__lines") - F.size("__kept")})
-    return out.drop("__id", "__lost", "__lines", "__kept")
+    lost = dropped_lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_docs, batches, min_chars)
+    lost = lost.select(F.col("doc_id").alias("i"), F.col("tid").alias("t"), "lost")
+    keep = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
+    joined = held.join(lost, F.col("row.doc_id").eqNullSafe(F.col("i")) & text_id(F.col("row.text")).eqNullSafe(F.col("t")), "left")
+    out = joined.withColumn("lines", lines_of(F.col("row.text")))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")
+    kept = F.when(F.col("lost").isNull(), F.coalesce("row.text", F.lit(""))).otherwise(F.array_join(F.transform(places, lambda p: F.get("lines", p)), "\n"))
+    return out.select("row.*", kept.alias("kept_text"), F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """docs with the shared lines taken out of text; the columns of docs."""
-    out = strip_lines(docs.withColumns({f"__{c}": F.col(f"`{c}`") for c in docs.columns if c in ("kept_text", "n_lines", "n_dropped")}))
-    pick = {c: F.col(f"`__{c}`") if c in ("kept_text", "n_lines", "n_dropped") else F.col(f"`{c}`") for c in docs.columns}
+    held = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"))
+    out = strip_lines(held)
+    pick = {c: F.col(f"all.`{c}`") for c in docs.columns}
     if "n_chars" in docs.columns:
-        pick["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    pick["text"] = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
+        pick["n_chars"] = F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(pick["n_chars"])
+    pick["text"] = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(pick["text"])
     return out.select(*(v.alias(k) for k, v in pick.items()))
 
 

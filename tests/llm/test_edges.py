@@ -116,11 +116,49 @@ def test_line_dedup(spark, none):
     assert line_dedup.clean_documents(none).columns == none.columns
 
 
+def test_line_dedup_keeps_other_columns(spark):
+    line = "this line is long enough to count"
+    df = spark.createDataFrame([(i, f"{line}\nown {i}", 1, 2, 3, "k") for i in range(4)], "doc_id long, text string, __lost int, lost int, h1 int, kept_text string")
+    assert {tuple(r) for r in line_dedup.clean_documents(df).collect()} == {(i, f"own {i}" if i < 3 else f"{line}\nown 3", 1, 2, 3, "k") for i in range(4)}
+    assert {(r.doc_id, r["__lost"], r.kept_text) for r in line_dedup.strip_lines(df).collect()} == {(i, 1, f"own {i}" if i < 3 else f"{line}\nown 3") for i in range(4)}
+
+
+@pytest.mark.parametrize("most", [200_000, 2])
+def test_line_dedup_of_hot_and_long_documents(spark, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", most)
+    shared = [f"a line that several documents share, number {i}" for i in range(3000)]
+    df = spark.createDataFrame([(i, "\n".join([*shared, f"and one of its own, {i}"])) for i in range(4)], "doc_id long, text string")
+    assert {(r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.strip_lines(df).collect()} == {(i, 3001, 3000 if i < 3 else 0) for i in range(4)}
+
+
+def lines_in_batches(spark, n=40):
+    return spark.createDataFrame([(i, f"one shared line of text\nand one of its own {i:09d}") for i in range(n)], "doc_id long, text string")
+
+
 def test_line_runs_are_levelled(spark):
-    df = spark.createDataFrame([(i, f"one shared line of text\nand one of its own {i:09d}") for i in range(40)], "doc_id long, text string")
-    index, _ = line_dedup.index_lines(df, batches=9)
-    assert len(index.runs) < 9 and max(level for level, _ in index.runs) == 2
-    assert index.merged().count() == 41 and index.merged().agg({"n_docs": "max"}).first()[0] == 40
+    index, _, _ = line_dedup.index_lines(lines_in_batches(spark), batches=9)
+    assert len(index.keys) < 9 and max(level for level, _ in index.keys) == 2 and len(index.more) < 8
+    assert index.totals().count() == 41 and index.totals().agg({"n_docs": "max"}).first()[0] == 40
+    stands = [spark.table(t).count() for _, t in index.keys]
+    assert sum(stands) == 41 and sum(spark.table(t).count() for _, t in index.more) < 9  # increments of the one shared key
+    index.close()
+
+
+def test_the_anti_join_decides(spark, monkeypatch):
+    """Without it the shared key stands in several key runs, and the totals are wrong."""
+    kind = type(spark.range(1))
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda self, other, on=None, how=None: self if how == "left_anti" else join(self, other, on, how))
+    index, _, _ = line_dedup.index_lines(lines_in_batches(spark), batches=2)
+    assert index.totals().count() != 41 or index.totals().agg({"n_docs": "max"}).first()[0] != 40
+
+
+def test_runs_are_joined_where_they_lie(spark):
+    index, lines, _ = line_dedup.index_lines(lines_in_batches(spark), batches=2)
+    a, b = (spark.table(t) for _, t in index.keys)
+    plan = a.hint("merge").join(b.select("h1", "h2"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    index.close()
 
 
 def test_html(spark):
