@@ -1,26 +1,32 @@
-"""Chat formatting by relational means: turns become pieces with their offsets, sorted and concatenated per conversation.
+"""Chat formatting by relational means: collected turn structs, sorted, merged and concatenated by array expressions.
 
 A conversation is written as
 
     <|im_start|>role NEWLINE text <|im_next|> text <|im_end|> NEWLINE ...
 
-where adjacent turns of one role share a message, their texts set apart by <|im_next|>. Inside roles and texts a
-backslash is doubled and the bar of "<|" gets a backslash before it, so no text can hold a control string and the
-original comes back exactly. loss_spans (start, length in code points, from 0) and is_loss (a flag per turn) mark the
-texts of the assistant. Everything is Spark expressions; offsets are running sums before the pieces are collected, so
-the work is in proportion to the text, and the only thing that one task holds whole is a conversation's own output.
+The turns of a conversation are collected as structs and sorted. Running sums over the sorted array number its messages
+(a turn with another role than the one before starts a new one), so adjacent turns of one role are merged into one
+message, their texts set apart by <|im_next|>, and give every text's offset. Inside roles and texts a backslash is
+doubled and the bar of "<|" gets a backslash before it, so no text can hold a control string and the original comes back
+exactly. loss_spans (start, length in code points, from 0) and is_loss (a flag per turn) mark the texts of the assistant.
+
+Everything is Spark expressions. Running sums are aggregated in pieces of CHUNK turns, then over the pieces, so work is
+in proportion to the turns of a conversation; the only thing that one task holds whole is a conversation's own output.
 
 Defined cases: a null text or role is empty; turns are sorted by turn (null first), then role, then text, so ties and
-repeated rows have a defined order and are kept; null conv_ids form one conversation; further columns are ignored; an
-empty table gives an empty table.
+repeated rows have a defined order and are kept; null conv_ids form one conversation; a conversation of any length is
+one row; further columns are ignored, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 START, NEXT, END = "<|im_start|>", "<|im_next|>", "<|im_end|>"
+CHUNK = 256
 
 
 def escape(text: Column) -> Column:
@@ -41,19 +47,39 @@ def _unrole(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\|"), F.lit("|"))), "\\")
 
 
+def running(xs: Column) -> Column:
+    """The running sums of an array of longs."""
+
+    def within(piece: Column) -> Column:
+        begin = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(piece, begin, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"] + x)).alias("out")))
+
+    def joined(pieces: Column) -> Column:
+        totals = within(F.transform(pieces, lambda p: p["sum"]))["out"]
+        return let(totals, lambda t: F.flatten(F.transform(pieces, lambda p, k: F.transform(p["out"], lambda x: x + F.coalesce(F.get(t, k - 1), F.lit(0))))))
+
+    places = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / CHUNK) - 1, F.lit(0)).cast("int"))
+    return let(F.transform(F.transform(places, lambda k: F.slice(xs, k * CHUNK + 1, CHUNK)), within), joined)
+
+
 def format_chat(turns: DataFrame, trained_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, is_loss, loss_spans for each conversation of turns (conv_id, turn, role, text)."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
-    rows = rows.withColumn("before", F.lag("role").over(order)).withColumn("n", F.row_number().over(order))
-    lead = F.when(F.col("before") == F.col("role"), F.lit(NEXT)).otherwise(F.concat(F.when(F.col("n") > 1, F.lit(END + "\n")).otherwise(F.lit("")), F.lit(START), _role(F.col("role")), F.lit("\n")))
-    rows = rows.withColumn("body", escape(F.col("text"))).withColumn("piece", F.concat(lead, "body"))
-    size = F.char_length("body").cast("long")
-    begin = F.sum(F.char_length("piece").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size
-    piece = F.struct("n", "piece", (F.col("role") == trained_role).alias("loss"), begin.alias("start"), size.alias("length"))
-    chats = rows.select("conv_id", piece.alias("p")).groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    spans = F.transform(F.filter("ps", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
-    return chats.select("conv_id", F.concat(F.array_join("ps.piece", ""), F.lit(END + "\n")).alias("formatted"), F.col("ps.loss").alias("is_loss"), spans.alias("loss_spans"))
+    turn = F.struct(F.col("turn").isNotNull().alias("known"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    chats = turns.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    opens = F.transform("ts", lambda t, i: F.when((i == 0) | (F.get("ts", i - 1)["role"] != t["role"]), F.lit(1)).otherwise(0).cast("long"))
+    chats = chats.select("conv_id", "ts", running(opens).alias("message"))
+
+    def piece(t: Column, i: Column) -> Column:
+        first = (i == 0) | (F.get("message", i - 1) != F.get("message", i))
+        lead = F.when(~first, F.lit(NEXT)).otherwise(F.concat(F.when(i > 0, F.lit(END + "\n")).otherwise(F.lit("")), F.lit(START), _role(t["role"]), F.lit("\n")))
+        return F.struct(lead.alias("lead"), escape(t["text"]).alias("body"), (t["role"] == trained_role).alias("loss"))
+
+    chats = chats.select("conv_id", F.transform("ts", piece).alias("ps"))
+    ends = running(F.transform("ps", lambda p: (F.char_length(p["lead"]) + F.char_length(p["body"])).cast("long")))
+    chats = chats.select("conv_id", "ps", F.zip_with("ps", ends, lambda p, e: F.struct(p["loss"].alias("loss"), (e - F.char_length(p["body"])).alias("start"), F.char_length(p["body"]).cast("long").alias("length"))).alias("spans"))
+    text = F.concat(F.array_join(F.transform("ps", lambda p: F.concat(p["lead"], p["body"])), ""), F.lit(END + "\n"))
+    spans = F.transform(F.filter("spans", lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
+    return chats.select("conv_id", text.alias("formatted"), F.col("ps.loss").alias("is_loss"), spans.alias("loss_spans"))
 
 
 def parse_chat(formatted: Column) -> Column:

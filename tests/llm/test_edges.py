@@ -193,6 +193,16 @@ def test_chat(spark):
     assert chat_format.format_chat(df.limit(0)).count() == 0
 
 
+def test_a_long_chat(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(7, i, ("user", "assistant", "assistant")[i % 3], f"turn {i}, ü") for i in range(20_000)]
+    chat = chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select("*", chat_format.parse_chat(F.col("formatted")).alias("turns")).first()
+    assert [tuple(t) for t in chat.turns] == [r[2:] for r in rows]
+    assert [chat.formatted[s.start : s.start + s.length] for s in chat.loss_spans] == [r[3] for r in rows if r[2] == "assistant"]
+    assert chat.formatted.count(chat_format.START) == sum(i % 3 != 2 for i in range(20_000))
+
+
 def test_licences(docs, none, spark):
     df = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the MIT of it"), (4, None)], "doc_id long, text string")
     assert {(r.doc_id, r.licence, r.line) for r in licence_scan.scan(df).collect()} == {(1, "MIT", 2), (2, "Apache-2.0", 1)}
