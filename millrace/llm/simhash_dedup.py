@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import components, pin
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -162,10 +163,13 @@ def hex16(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def dedup(docs: DataFrame, shingle: int = 3, bits: int = 2) -> DataFrame:
-    """docs without the rows that are not the first of their group (the row whose doc_id is the group's component_id; rows without a doc_id stay)."""
-    lost = near_groups(docs.select("doc_id", "text"), shingle, bits).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+def dedup(docs: DataFrame) -> DataFrame:
+    """One row of each group of near copies of docs: texts whose 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+    Those differ in ten fingerprint bits on average and in up to twenty, far beyond what Golay keys find, so candidates
+    come from near_copies. The row with the least doc_id stays; see there for nulls, ties and repeated rows.
+    """
+    return near_copies.dedup(docs)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
