@@ -55,6 +55,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bag_common(a: Column, b: Column) -> Column:
+    """How many values two arrays of longs share, repeats included; linear but for the values that both repeat."""
+
+    def repeats(xs: Column) -> Column:
+        """The values of an array, each once less than it occurs."""
+        return let(F.array_sort(xs), lambda s: F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1) == x, F.lit(False))))
+
+    def more(x: Column, y: Column) -> Column:
+        times = lambda xs, v: F.size(F.filter(xs, lambda u: u == v))
+        return F.aggregate(F.array_intersect(x, y), F.lit(0), lambda n, v: n + F.least(times(x, v), times(y, v)))
+
+    return F.size(F.array_intersect(a, b)) + let(F.struct(repeats(a).alias("a"), repeats(b).alias("b")), lambda r: more(r["a"], r["b"]))
+
+
 def words(text: Column) -> Column:
     """The words of a text, an empty array for null."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE + "+")

@@ -1,7 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
 import hashlib
+import textwrap
 
+import duckdb
+import pandas
 import pytest
 
 from millrace.llm import bpe, chat_format, decontamination, html_extract, licence_scan, line_dedup, lm_score, quality, simhash_dedup, token_files
@@ -205,9 +208,36 @@ def test_a_long_chat(spark):
 
 
 def test_licences(docs, none, spark):
-    df = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, "Licensed under the Apache License, Version 2.0."), (3, "the MIT of it"), (4, None)], "doc_id long, text string")
-    assert {(r.doc_id, r.licence, r.line) for r in licence_scan.scan(df).collect()} == {(1, "MIT", 2), (2, "Apache-2.0", 1)}
+    mit, gpl3 = licence_scan.TEMPLATES["MIT"][-1], licence_scan.TEMPLATES["GPL-3.0"][-1]
+    wrapped = "\n".join(" * " + line for line in textwrap.wrap(mit, 60))
+    bsd3, bsd2 = licence_scan.TEMPLATES["BSD-3-Clause"][-1], licence_scan.TEMPLATES["BSD-2-Clause"][-1]
+    rows = [
+        (1, "x\nReleased under the MIT License.\ny"),
+        (2, "Licensed under the Apache License, Version 2.0."),
+        (3, "the MIT of it"),
+        (4, None),
+        (5, f"/*\n * Some program, 2020\n{wrapped}\n */\n int main() {{ return 0; }}"),
+        (6, " ".join(w for i, w in enumerate(mit.split()) if i % 25)),  # a few words lost
+        (7, f"before {gpl3} after"),
+        (8, "This work is licensed under the GNU General Public License, version 3."),
+        (9, bsd3),
+        (10, bsd2),
+        (11, "Licensed under CC BY-NC 4.0."),
+        (12, "Released under the MIT License. And again: Released under the MIT License."),
+        (12, "Released under the MIT License. And again: Released under the MIT License."),
+        (13, "a software license " * 500),
+        (None, "Released under the MIT License."),
+    ]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, t int, licence string")
+    got = [(r.doc_id, r.licence) for r in licence_scan.scan(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "MIT"), (2, "Apache-2.0"), (5, "MIT"), (6, "MIT"), (7, "GPL-3.0"), (8, "GPL-3.0"), (9, "BSD-3-Clause"), (10, "BSD-2-Clause"), (11, "CC-BY-NC-4.0"), (12, "MIT"), (None, "MIT")], key=repr)
+    assert {(r.at_word, r.n_words, r.dice) for r in licence_scan.scan(df).where("doc_id = 12").collect()} == {(0, 5, 1.0)}
     assert licence_scan.scan(docs).count() == 0 and licence_scan.scan(none).count() == 0
+    duck = duckdb.connect()
+    documents = pandas.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
+    want = duck.sql(licence_scan.ORACLE).fetchall()
+    mine = licence_scan.scan(df).selectExpr("doc_id", "licence", "at_word", "n_words", "cast(round(1000 * dice) as long) as d").collect()
+    assert sorted(map(tuple, mine), key=repr) == sorted(want, key=repr)
 
 
 def test_decontamination(docs, none, items):
