@@ -247,6 +247,22 @@ def test_decontamination(docs, none, items):
     assert {r.doc_id for r in decontamination.filter_documents(docs, items).collect()} == {1, 2, 3, 6, 7, None}
 
 
+def test_decontamination_of_rows_without_ids_and_of_shared_ids(spark):
+    leak = "for all of us to read again and again"
+    df = spark.createDataFrame([(None, f"so {leak} it goes", 1), (None, "clean words without an id", 1), (5, f"x {leak}", 1), (5, "another text of the same document", 1)], "doc_id long, text string, tid int")
+    bench = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.matches(df, bench).collect()} == {(None, 1), (5, 1)}
+    assert {(r.doc_id, r.text) for r in decontamination.filter_documents(df, bench).collect()} == {(None, "clean words without an id"), (5, "another text of the same document")}
+
+
+def test_decontamination_of_a_long_item(spark):
+    """More shingles than a 16-bit lane could count."""
+    long = " ".join(f"w{i}" for i in range(70_000))
+    df = spark.createDataFrame([(1, long), (2, "w1 w2 w3 w4 w5 w6")], "doc_id long, text string")
+    got = decontamination.matches(df, spark.createDataFrame([(1, long)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.similarity) for r in got] == [(1, 1.0)]
+
+
 def test_components(spark):
     import random
 

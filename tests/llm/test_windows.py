@@ -54,3 +54,24 @@ def test_items_under_five_words_inside_longer_documents(spark):
     docs = {10 * i: f"a document with Some text before {x} and after that more" for i, x in items.items()} | {10 * i + 1: x for i, x in items.items()} | {7: "nothing of it", 8: "", 9: "words"}
     want = brute(docs, items)
     assert {(10 * i, i) for i in items} <= set(want) and matches(spark, docs, items) == want
+
+
+def test_blocks_meet_every_pair_within_the_radius_once(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items = [(i, r.getrandbits(64)) for i in range(60)]
+    windows = []
+    for i in range(600):
+        x = items[i % 60][1]
+        for b in r.sample(range(64), r.randrange(0, 30)):
+            x ^= 1 << b
+        windows.append((i, x))
+    w = spark.createDataFrame([(7, i, signed(x)) for i, x in windows], "len int, w int, wfp long")
+    it = spark.createDataFrame([(7, i, signed(x)) for i, x in items], "len int, item_id int, ifp long")
+    got = [(x.w, x.item_id) for x in decontamination.near_pairs(w, it, 20).collect()]
+    want = {(a, b) for a, x in windows for b, y in items if (x ^ y).bit_count() <= 20}
+    assert len(got) == len(set(got)) and set(got) == want
+    some = spark.range(1).select(F.array(*map(F.lit, [1, 1, 1, 2, 3, 3])).alias("a"), F.array(*map(F.lit, [1, 1, 3, 3, 3, 4])).alias("b"))
+    assert some.select(decontamination.bag_common(F.col("a").cast("array<long>"), F.col("b").cast("array<long>"))).first()[0] == 4
