@@ -176,7 +176,7 @@ def test_html(spark):
 
 @pytest.mark.parametrize("most", [1 << 24, -1])
 def test_html_wrapper(spark, monkeypatch, most):
-    monkeypatch.setattr(html_extract, "BROADCAST_CHARS", most)
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", most)
     page = "<body><div class=x1><b>My Site</b></div><div><h2>Title {0}</h2><p>Body {0}</p></div><div>All rights reserved by us</div>"
     df = spark.createDataFrame([(i, f"https://w.org/{i}", page.format(i)) for i in range(9)], "page_id long, url string, html string")
     assert {r.text for r in html_extract.extract(df).collect()} == {f"Title {i}\n\nBody {i}" for i in range(9)}
