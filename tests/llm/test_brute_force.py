@@ -121,21 +121,50 @@ def test_token_and_bpe_queries(spark, docs):
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.QUERIES["op2_token_files"](spark, SF).collect()} == want
 
 
-def test_lm_scores(spark, docs):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scores(spark, docs, order):
     toks = {i: [*(t or "").encode().lower().split(), b" "] for i, t in docs.items()}
     learnt = [i for i in toks if zlib.crc32(str(i).encode()) % 5 != 1]
-    c, b = Counter(), Counter()
+    c = Counter()  # of n-grams of all lengths, the start of a text being a word
     for i in learnt:
-        c.update(toks[i])
-        b.update(zip([b"\n", *toks[i]], toks[i], strict=False))
-    n, v, k = sum(c.values()), len(c), lm_score.PRIOR
-    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
-    for r in queries.QUERIES["op5_lm_score"](spark, SF).collect():
-        ws = toks[r.doc_id]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id not in learnt, len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10(p(w)) for w in ws), rel_tol=1e-9)
-        context = lambda u: len(learnt) if u == b"\n" else c[u]
-        assert math.isclose(r.score, sum(math.log10((b[u, w] + k * p(w)) / (context(u) + k)) for u, w in zip([b"\n", *ws], ws, strict=False)), rel_tol=1e-9)
+        ws = [b"\n", *toks[i]]
+        for k in range(1, order + 1):
+            c.update(tuple(ws[j : j + k]) for j in range(len(ws) - k + 1))
+    n, v = sum(len(toks[i]) for i in learnt), sum(len(g) == 1 and g != (b"\n",) for g in c)
+
+    def p(w, context):
+        if not context:
+            return (c[w,] + 0.5) / (n + 0.5 * (v + 1))
+        k = lm_score.PRIOR * max(c[context], 1) ** lm_score.HEAPS
+        return (c[*context, w] + k * p(w, context[1:])) / (c[context] + k)
+
+    got = lm_score.score(spark.read.parquet(f"{SF}/documents.parquet"), order=order) if order != lm_score.ORDER else queries.QUERIES["op5_lm_score"](spark, SF)
+    for r in got.collect():
+        ws = [b"\n", *toks[r.doc_id]]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id not in learnt, len(ws) - 1, sum(c[w,] > 0 for w in ws[1:]), n)
+        assert math.isclose(r.base_score, sum(math.log10(p(w, ())) for w in ws[1:]), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(p(ws[j], tuple(ws[max(0, j - order + 1) : j]))) for j in range(1, len(ws))), rel_tol=1e-9)
+
+
+def test_lm_traversal_takes_failure_arcs():
+    """Weights of a state sum to one over all words, and a word without an arc is reached by failure arcs."""
+    from array import array as numbers
+
+    known = {w: i for i, w in enumerate([lm_score.START, lm_score.END, b"a", b"b", b"c"])}
+    batch = lm_score._pack([1, 2], [4, 3], [True, True], known, numbers("I", [2, 3, 2, 1, 2, 4, 1]), 0).to_pylist()[0]
+    part = lm_score.Part(batch["n"], batch["train"], batch["words"], batch["tokens"], 3)
+    machine = lm_score.Automaton(part, part.totals(part.counts), 7, 4, 2)
+    ends = {1 + 1} | {1 + len(known) + i for i, w in enumerate(part.last[2]) if w == 1}  # nothing follows the end of a text
+    for state in sorted(set(range(len(machine.failure))) - ends):
+        total = 0.0
+        for w in range(5):  # 0 stands for all words never seen
+            s, x = state, 0.0
+            while (arc := machine.arcs.get(s * machine.words + w)) is None and s:
+                x += machine.weight[s]
+                s = machine.failure[s]
+            total += 10 ** (x + (arc[0] if arc else machine.root[w]))
+        assert math.isclose(total, 1), state
+    assert machine.score([2, 3, 2, 1]) > machine.score([3, 4, 4, 1])
 
 
 def leaks(docs, items):
