@@ -17,7 +17,7 @@ from .plans.frame import column_name
 from .plans.model import Concept, Datasource, Model
 from .plans.planner import Planner, conjuncts
 from .sources.mock import mocked
-from .sources.readers import read_files, write_files
+from .sources.readers import read_files, read_parquet, write_files
 
 #: Where a model's imports are looked up; set by the engine's caller.
 STD = Path(__file__).parent / "std"
@@ -204,7 +204,7 @@ class Engine:
             if value in self.frames:
                 return self.frames[value]
             if self.tables and value not in self.written:
-                return self.spark.read.parquet(f"{self.tables}/{value}.parquet")
+                return read_parquet(self.spark, f"{self.tables}/{value}.parquet")
             return self.spark.table(value)
 
         return load

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 from typing import Any
 
 TOKEN = re.compile(
@@ -808,8 +809,10 @@ class Query:
     select: dict
 
 
-def parse(text: str) -> list[Statement]:
-    return Parser(text).statements()
+@lru_cache(256)
+def parse(text: str) -> tuple[Statement, ...]:
+    """The statements of a text, kept for texts that come again; callers don't change them."""
+    return tuple(Parser(text).statements())
 
 
 def parse_expression(text: str) -> Node:

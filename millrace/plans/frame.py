@@ -43,18 +43,18 @@ def join(a: Frame, b: Frame, on: list[str], minimal, lookup: frozenset[str] = fr
     keep_a = "a" not in lookup and any(k in b.partial or k in a.nulls | a.padded for k in on)
     keep_b = "b" not in lookup and any(k in a.partial or k in b.nulls | b.padded for k in on)
     how = "full" if keep_a and keep_b else "left" if keep_a else "right" if keep_b else "inner"
-    right = b.df.select(*(F.col(c).alias(f"r__{c}") for c in b.columns.values()))
-    pair = lambda k: (a.col(k), F.col(f"r__{b.columns[k]}"))
+    # Expressions as text: each Column would be several calls to the JVM.
+    right = b.df.selectExpr(*(f"`{c}` as `r__{c}`" for c in b.columns.values()))
+    pair = lambda k: (f"`{a.columns[k]}`", f"`r__{b.columns[k]}`")
     values = (a.nulls & b.nulls) - a.padded - b.padded
-    same = [x.eqNullSafe(y) if k in values else x == y for k in on for x, y in [pair(k)]]
-    out = a.df.join(right, reduce(lambda x, y: x & y, same), how)
+    out = a.df.join(right, F.expr(" and ".join(f"{pair(k)[0]} {'<=>' if k in values else '='} {pair(k)[1]}" for k in on)), how)
     take = {}
     for c, name in {**b.columns, **a.columns}.items():
         if c in on:
             x, y = pair(c)
-            take[c] = (F.coalesce(x, y) if how == "full" else y if how == "right" else x).alias(name)
+            take[c] = f"{f'coalesce({x}, {y})' if how == 'full' else y if how == 'right' else x} as `{name}`"
         else:
-            take[c] = (F.col(name) if c in a.columns else F.col(f"r__{name}")).alias(name)
+            take[c] = f"`{name}`" if c in a.columns else f"`r__{name}` as `{name}`"
     names = {c: a.columns.get(c) or b.columns[c] for c in take}
     keys = a.unique if b.unique <= frozenset(on) else b.unique if a.unique <= frozenset(on) else a.unique | b.unique
     shared = frozenset(on)
@@ -70,7 +70,7 @@ def join(a: Frame, b: Frame, on: list[str], minimal, lookup: frozenset[str] = fr
         padded |= frozenset(b.columns) - shared - frozenset(a.columns)
     if how in ("right", "full"):
         padded |= frozenset(a.columns) - shared
-    return Frame(out.select(*take.values()), names, minimal(keys), partial, carried(a.nulls, b.nulls), padded)
+    return Frame(out.selectExpr(*take.values()), names, minimal(keys), partial, carried(a.nulls, b.nulls), padded)
 
 
 def cross(a: Frame, b: Frame) -> Frame:
@@ -81,14 +81,33 @@ def cross(a: Frame, b: Frame) -> Frame:
     return replace(many, df=many.df.crossJoin(F.broadcast(one.df)), columns={**one.columns, **many.columns})  # one row
 
 
-def align(left: DataFrame, right: DataFrame, on: list[str], how: str = "full") -> DataFrame:
-    """Null-safe join of results on columns of equal names, which are coalesced."""
+def align(left: DataFrame, right: DataFrame, on: list[str], plain: frozenset[str] = frozenset()) -> DataFrame:
+    """left with the columns of right, which has a row at most for each value of the columns on; null-safe but on plain ones, which are never null."""
+    if not on:
+        return left.crossJoin(F.broadcast(right))  # results without keys have one row
+    other = right.selectExpr(*(f"`{c}` as `r__{c}`" if c in on else f"`{c}`" for c in right.columns))
+    cond = " and ".join(f"`{c}` {'=' if c in plain else '<=>'} `r__{c}`" for c in on)
+    return left.join(other, F.expr(cond), "left").drop(*(f"r__{c}" for c in on))
+
+
+def merged(parts: list[DataFrame], on: list[str]) -> DataFrame:
+    """Results that have a row for each value of the columns on, and columns of their own, as one: a row for each value that any has.
+
+    They are stacked and grouped: null keys meet without a null-safe join, and what is hashed by the keys stays so.
+    """
+    if not on:
+        return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # one row each
+    own = [c for p in parts for c in p.columns if c not in on]
+    held = [p.selectExpr(*(f"`{c}`" for c in on), *(f"`{c}`" if c in p.columns else f"null as `{c}`" for c in own)) for p in parts]
+    return reduce(DataFrame.unionAll, held).groupBy(*on).agg(*(F.expr(f"first(`{c}`, true) as `{c}`") for c in own))
+
+
+def full(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Null-safe full join of results on columns of equal names, which are coalesced."""
     if not on:
         return left.crossJoin(F.broadcast(right))  # results without keys have one row
     other = right.select(*(F.col(c).alias(f"r__{c}" if c in on else c) for c in right.columns))
     cond = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"r__{c}")) for c in on))
-    if how == "full":  # a row that only one side has is told by a marker, not by its keys, which may be null
-        left, other = left.withColumn("__l", F.lit(True)), other
-        out = left.join(other, cond, "full")
-        return out.select(*(F.when(F.col("__l"), F.col(c)).otherwise(F.col(f"r__{c}")).alias(c) if c in on else F.col(c) for c in left.columns if c != "__l"), *(c for c in right.columns if c not in on))
-    return left.join(other, cond, how).drop(*(f"r__{c}" for c in on))
+    left = left.withColumn("__l", F.lit(True))  # a row that only one side has is told by a marker, not by its keys, which may be null
+    out = left.join(other, cond, "full")
+    return out.select(*(F.when(F.col("__l"), F.col(c)).otherwise(F.col(f"r__{c}")).alias(c) if c in on else F.col(c) for c in left.columns if c != "__l"), *(c for c in right.columns if c not in on))

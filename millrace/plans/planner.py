@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions import scalar
 from ..lang.parser import LanguageError, Node
-from .frame import Frame, align, column_name, cross, join
+from .frame import Frame, align, column_name, cross, full, join, merged
 from .model import Concept, Datasource, Model
 from .search import cheapest_tree
 
@@ -218,13 +218,14 @@ class Planner:
             df = df.where(self.compile_physical(self.physical(d.where, d), df))
         cols = {}
         for c, (expr, _) in d.columns.items():
-            if expr == ("raw",):
-                continue
-            e = F.expr(expr[1]) if isinstance(expr, tuple) else self.compile_physical(expr, df)
             kind = self.model.concepts[c].type
-            if kind and kind in ("int", "bigint", "float", "double", "number") and not isinstance(expr, tuple):
-                e = e.cast(scalar.spark_type(kind))
-            cols[c] = e.alias(column_name(c))
+            to = scalar.spark_type(kind) if kind in ("int", "bigint", "float", "double", "number") and not isinstance(expr, tuple) else None
+            if isinstance(expr, Node) and expr.kind == "ref":  # as text: a Column would be several calls to the JVM
+                e = F.expr(f"cast(`{expr.name}` as {to}) as `{column_name(c)}`" if to else f"`{expr.name}` as `{column_name(c)}`")
+            else:
+                e = F.expr(expr[1]) if isinstance(expr, tuple) else self.compile_physical(expr, df)
+                e = (e.cast(to) if to else e).alias(column_name(c))
+            cols[c] = e
         partial = frozenset(c for c in d.columns if "~" in d.columns[c][1])
         out = df.select(*cols.values())
         may = frozenset(f.name for f in out.schema if f.nullable) if d.rowset else frozenset()
@@ -317,12 +318,11 @@ class Planner:
             elif n.kind == "agg":
                 keys = list(n.extra[0]) if n.extra else grain
                 got = self.aggregates([n], keys, where)
-                df, names = frame.df, []
-                for i, k in enumerate(keys):
-                    names.append(f"__k{i}")
-                    df = df.withColumn(f"__k{i}", self.compile(k, df, frame.columns))
-                right = got.select(*(F.col(f"k{i}").alias(f"__k{i}") for i in range(len(keys))), F.col("a0").alias(column_name(name)))
-                df = align(df, right, names, "left").drop(*names)
+                names = [f"__k{i}" for i in range(len(keys))]
+                df = frame.df.withColumns({k: self.compile(x, frame.df, frame.columns) for k, x in zip(names, keys, strict=True)}) if names else frame.df
+                right = got.selectExpr(*(f"k{i} as __k{i}" for i in range(len(keys))), f"a0 as `{column_name(name)}`")
+                solid = frozenset(c for c, k in zip(names, keys, strict=True) if self.solid(frame, k))
+                df = align(df, right, names, solid).drop(*names)
                 if n.name in COUNTS:
                     df = df.withColumn(column_name(name), F.coalesce(column_name(name), F.lit(0)))
                 frame = replace(frame, df=df, columns={**frame.columns, name: column_name(name)})
@@ -333,6 +333,10 @@ class Planner:
         swap = lambda y: put[y] if y in put else y if y.kind in ("agg", "scalar", "win") else y.map(swap)
         return frame, swap(x)
 
+    def solid(self, frame: Frame, x: Node) -> bool:
+        """Whether a column is a key that is declared to have no nulls and that no outer join has filled in."""
+        return x.kind == "ref" and x.name in frame.columns and x.name not in frame.nulls | frame.padded and self.model.concepts[x.name].purpose == "key" and not any("?" in d.columns[x.name][1] or d.rowset for d in self.model.datasources.values() if x.name in d.columns)
+
     def keep(self, frame: Frame, atom: Node) -> Frame:
         """The rows for which an atom is true; memberships at the top become semi and anti joins."""
         no = atom.kind == "call" and atom.name == "not"
@@ -417,9 +421,7 @@ class Planner:
         grain |= frozenset(k for n in inner if n.extra for x in n.extra[0] for k in self.grain_of(x))
         grain = self.model.minimal(grain)
         frame = self.to_grain(frame, grain)
-        df = frame.df
-        for i, k in enumerate(columns):
-            df = df.withColumn(f"k{i}", self.compile(k, df, frame.columns))
+        df = frame.df.withColumns({f"k{i}": self.compile(k, frame.df, frame.columns) for i, k in enumerate(columns)}) if columns else frame.df
         names = [f"k{i}" for i in range(len(keys))]
         if by is None:
             grouped = df.groupBy(*names)
@@ -785,7 +787,7 @@ class Planner:
             def beside(df: DataFrame, got: DataFrame, of: list[Node]) -> DataFrame:
                 """Columns at some of the keys, for the rows in which none of these is rolled up: a null key is no subtotal."""
                 at = [up[keys.index(k)] for k in of if k in keys]
-                return align(df, got.withColumns({c: F.lit(0).cast("bigint") for c in at}), [columns[k] for k in of] + at, "left")
+                return align(df, got.withColumns({c: F.lit(0).cast("bigint") for c in at}), [columns[k] for k in of] + at)
 
             if more:  # outputs outside the grouping come back by its keys
                 rest = self.distinct([*keys, *more], where)
@@ -807,21 +809,16 @@ class Planner:
         whole = [(k, v) for k, v in streams.items() if set(k[0]) == set(grain)]
         parts = [(k, v) for k, v in streams.items() if set(k[0]) != set(grain)]
         made = count()
-        df: DataFrame | None = None
-        for (keys, _, _), own in whole:
-            got = self.aggregates(own, list(keys), where)
-            got = got.select(*(F.col(f"k{i}").alias(columns[k]) for i, k in enumerate(keys)), *(F.col(f"a{i}").alias(f"x{next(made)}") for i in range(len(own))))
-            for n, c in zip(own, got.columns[len(keys) :], strict=True):
-                columns[n] = c
-            df = got if df is None else align(df, got, [columns[g] for g in grain], "full")
-        if df is None:
-            df = self.distinct(grain, where)
+
+        def stream(keys: tuple, own: list[Node]) -> DataFrame:
+            for n in own:
+                columns[n] = f"x{next(made)}"
+            return self.aggregates(own, list(keys), where).selectExpr(*(f"k{i} as `{columns[k]}`" for i, k in enumerate(keys)), *(f"a{i} as `{columns[n]}`" for i, n in enumerate(own)))
+
+        results = [stream(keys, own) for (keys, _, _), own in whole]
+        df = self.distinct(grain, where) if not results else results[0] if len(results) == 1 else merged(results, [columns[g] for g in grain])
         for (keys, _, _), own in parts:
-            got = self.aggregates(own, list(keys), where)
-            got = got.select(*(F.col(f"k{i}").alias(columns[k]) for i, k in enumerate(keys)), *(F.col(f"a{i}").alias(f"x{next(made)}") for i in range(len(own))))
-            for n, c in zip(own, got.columns[len(keys) :], strict=True):
-                columns[n] = c
-            df = align(df, got, [columns[k] for k in keys], "left")
+            df = align(df, stream(keys, own), [columns[k] for k in keys])
         zero = [columns[n] for n in aggs if n.name in COUNTS]
         if len(streams) > 1 and zero:
             df = df.fillna(0, subset=zero)
@@ -861,7 +858,7 @@ class Planner:
         left = frame.df
         for d, k in zip(shared, keys, strict=True):
             left = left.withColumn(k, F.col(put[d].name))
-        return Frame(align(left, df, keys, "left").drop(*keys), {**frame.columns, name: column_name(name)}, frame.unique), Node("ref", name)
+        return Frame(align(left, df, keys).drop(*keys), {**frame.columns, name: column_name(name)}, frame.unique), Node("ref", name)
 
     def window(self, n: Node, df: DataFrame, columns: dict, grain: list[str] = ()) -> Column:
         part, order = n.extra
@@ -902,7 +899,7 @@ class Planner:
             if out is None:
                 out = df
             else:
-                out = align(out, df.drop(*(c for c in df.columns if c in out.columns and c not in on)), on, "full")
+                out = full(out, df.drop(*(c for c in df.columns if c in out.columns and c not in on)), on)
         columns = {c.replace("__", "."): c for c in out.columns} | {c: c for c in out.columns}
         for name, x in q["derive"]:
             out = out.withColumn(column_name(name), self.compile(x, out, columns))
