@@ -142,10 +142,17 @@ class Engine:
 
     def recursion(self, name: str, lineage: Node) -> None:
         node, parent = (self.planner.expand(a) for a in lineage.args)
-        frame = self.planner.rows({node.name, parent.name})
-        roots = terminal_ancestors(frame.df, frame.columns[node.name], frame.columns[parent.name])
+        found: list[DataFrame] = []
+
+        def load() -> DataFrame:
+            """The walk is made when rows are first asked for, once."""
+            if not found:
+                frame = self.planner.rows({node.name, parent.name})
+                found.append(terminal_ancestors(frame.df, frame.columns[node.name], frame.columns[parent.name]))
+            return found[0]
+
         self.model.add(Concept(name, "property", None, frozenset([node.name])))
-        self.model.datasources[f"{name}.walk"] = Datasource(f"{name}.walk", {node.name: (Node("ref", "node"), "~"), name: (Node("ref", "root"), "?")}, frozenset([node.name]), lambda: roots)
+        self.model.datasources[f"{name}.walk"] = Datasource(f"{name}.walk", {node.name: (Node("ref", "node"), "~"), name: (Node("ref", "root"), "?")}, frozenset([node.name]), load)
 
     def stacked(self, name: str, lineage: Node) -> None:
         """A key whose values are those of several keys."""

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lang.parser import LanguageError
+
 #: Names of types in the language and in Spark.
-TYPES = {"string": "string", "bytes": "binary", "bool": "boolean", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double", "number": "double", "numeric": "decimal(20,5)", "decimal": "decimal(20,5)", "date": "date", "datetime": "timestamp_ntz", "timestamp": "timestamp", "unix_seconds": "bigint", "any": "string", "geography": "struct<x:double,y:double>"}
+TYPES = {"string": "string", "bytes": "binary", "bool": "boolean", "int": "bigint", "bigint": "bigint", "float": "double", "double": "double", "number": "double", "numeric": "decimal(20,5)", "decimal": "decimal(20,5)", "date": "date", "datetime": "timestamp_ntz", "timestamp": "timestamp", "unix_seconds": "bigint", "any": "string", "geography": "struct<x:double,y:double,wkt:string>"}
 #: strftime fields and their Java patterns.
-STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD", "%p": "a", "%I": "hh", "%f": "SSSSSS", "%-d": "d", "%-m": "M"}
+STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%j": "DDD", "%p": "a", "%I": "hh", "%f": "SSSSSS", "%F": "yyyy-MM-dd", "%T": "HH:mm:ss", "%R": "HH:mm", "%D": "MM/dd/yy", "%-d": "d", "%-m": "M", "%-H": "H", "%-I": "h", "%-M": "m", "%-S": "s", "%-j": "D", "%%": "%"}
 PARTS = ("year", "quarter", "month", "week", "day", "hour", "minute", "second")
 
 
@@ -33,9 +36,12 @@ def type_of(df: DataFrame, c: Column) -> T.DataType:
 
 
 def pattern(fmt: str) -> str:
+    """A strftime format as a Java one; a field that has no counterpart is an error."""
     out = ""
-    for piece in re.split(r"(%-?[A-Za-z])", fmt):
-        out += STRFTIME[piece] if piece in STRFTIME else "".join(f"'{c}'" if c.isalpha() else c for c in piece)
+    for piece in re.split(r"(%-?.)", fmt):
+        if piece.startswith("%") and piece not in STRFTIME:
+            raise LanguageError(f"{piece} isn't a known field of a time format")
+        out += STRFTIME[piece] if piece in STRFTIME else "".join(f"'{c}'" if c.isalpha() else "''" if c == "'" else c for c in piece)
     return out
 
 
@@ -133,6 +139,63 @@ def digest(c: Column, how: str) -> Column:
     return {"md5": lambda: F.md5(c), "sha1": lambda: F.sha1(c), "sha256": lambda: F.sha2(c, 256), "sha512": lambda: F.sha2(c, 512)}[how]()
 
 
+def index(df: DataFrame, c: Column, i: Column) -> Column:
+    """A map's value for a key, or an array's element, from 1, from the end if negative; null where there is none."""
+    return F.try_element_at(c, F.nullif(i, F.lit(0)) if isinstance(type_of(df, c), T.ArrayType) else i)
+
+
+def grain(*parts: Column) -> Column:
+    """A hash of values, nulls among them; each part's length stands before it, so no two rows of values are written alike."""
+    text = lambda x: F.concat(F.length(x.cast("string")).cast("string"), F.lit(":"), x.cast("string"))
+    return F.md5(F.concat_ws("", *(F.coalesce(text(x), F.lit("-")) for x in parts)))
+
+
+def point(x: Column, y: Column) -> Column:
+    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(None).cast("string").alias("wkt"))
+
+
+def shape(wkt: Column) -> Column:
+    """A geography from its text: a point, or another shape (multipoint, linestring, polygon without holes) by its centroid and text."""
+    kind = F.upper(F.regexp_extract(wkt, r"^\s*([A-Za-z]+)", 1))
+    inner = F.regexp_extract(wkt, r"\(+([^()]*)\)", 1)
+    at = lambda p, k: F.get(F.split(F.trim(p), r"\s+"), k).cast("double")
+    ps = F.transform(F.split(inner, ","), lambda p: F.struct(at(p, 0).alias("x"), at(p, 1).alias("y")))
+    add = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
+    pairs = F.zip_with(F.slice(ps, F.lit(1), F.greatest(F.size(ps) - 1, F.lit(0))), F.slice(ps, 2, 1 << 30), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    cross = lambda s: s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]
+    length = lambda s: F.sqrt(F.pow(s["b"]["x"] - s["a"]["x"], 2) + F.pow(s["b"]["y"] - s["a"]["y"], 2))
+
+    def centre(k: str) -> Column:
+        mean = add(ps, lambda p: p[k]) / F.size(ps)
+        line = F.try_divide(add(pairs, lambda s: (s["a"][k] + s["b"][k]) / 2 * length(s)), add(pairs, length))
+        area = F.try_divide(add(pairs, lambda s: (s["a"][k] + s["b"][k]) * cross(s)), 3 * add(pairs, cross))
+        return F.when(kind == "LINESTRING", line).when(kind == "POLYGON", area).otherwise(mean)
+
+    known = kind.isin("POINT", "MULTIPOINT", "LINESTRING", "POLYGON") & ~F.regexp_like(wkt, F.lit(r"\)\s*,\s*\(.*,"))
+    made = F.struct(centre("x").alias("x"), centre("y").alias("y"), F.when(kind != "POINT", wkt).alias("wkt"))
+    return F.when(wkt.isNotNull(), F.when(known, made).otherwise(F.raise_error(F.concat(F.lit("no such shape: "), wkt))))
+
+
+def of_point(g: Column, value: Column) -> Column:
+    return F.when(g.getField("wkt").isNull(), value)
+
+
+#: Fixed value: the radius of the sphere of web mercator, in metres.
+MERCATOR = 6378137.0
+
+
+def reproject(g: Column, source: int, target: int) -> Column:
+    """A point in another reference system, axes as the authority orders them: latitude, longitude in 4326; easting, northing in 3857."""
+    x, y = g.getField("x"), g.getField("y")
+    if source == target:
+        return g
+    if (source, target) == (4326, 3857):
+        return F.when(g.isNotNull(), of_point(g, point(F.radians(y) * MERCATOR, F.ln(F.tan(F.lit(math.pi / 4) + F.radians(x) / 2)) * MERCATOR)))
+    if (source, target) == (3857, 4326):
+        return F.when(g.isNotNull(), of_point(g, point(F.degrees(2 * F.atan(F.exp(y / MERCATOR)) - math.pi / 2), F.degrees(x / MERCATOR))))
+    raise LanguageError(f"geo_transform knows EPSG 4326 and 3857, not {source} to {target}")
+
+
 def null_safe_in(x: Column, values: list[Column]) -> Column:
     out = F.lit(False)
     for v in values:
@@ -196,7 +259,6 @@ PLAIN = {
     "month_name": lambda c: F.date_format(c, "MMMM"),
     "day_name": lambda c: F.date_format(c, "EEEE"),
     "unix_to_timestamp": lambda n: F.timestamp_seconds(n),
-    "index": lambda a, i: F.try_element_at(a, i),
     "map_keys": F.map_keys,
     "map_values": F.map_values,
     "map": F.create_map,
@@ -204,16 +266,18 @@ PLAIN = {
     "array_distinct": lambda a: F.array_compact(F.array_distinct(a)),
     "array_to_string": lambda a, sep: F.array_join(a, sep) if isinstance(sep, str) else F.call_function("array_join", a, sep),
     "tuple": lambda *a: F.struct(*a),
-    "grain": lambda *a: F.md5(F.concat_ws("\x02", *(F.coalesce(F.concat(F.lit("v"), x.cast("string")), F.lit("n")) for x in a))),
-    "geo_point": lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")),
-    "geo_x": lambda p: p.getField("x"),
-    "geo_y": lambda p: p.getField("y"),
-    "geo_centroid": lambda p: p,
-    "geo_distance": lambda a, b: F.sqrt(F.pow(a.getField("x") - b.getField("x"), 2) + F.pow(a.getField("y") - b.getField("y"), 2)),
-    "geo_from_text": lambda s: F.struct(F.regexp_extract(s, r"POINT\s*\(\s*(\S+)\s+(\S+)\s*\)", 1).cast("double").alias("x"), F.regexp_extract(s, r"POINT\s*\(\s*(\S+)\s+([^\s)]+)\s*\)", 2).cast("double").alias("y")),
+    "grain": grain,
+    "geo_point": point,
+    "geo_x": lambda p: of_point(p, p.getField("x")),
+    "geo_y": lambda p: of_point(p, p.getField("y")),
+    "geo_centroid": lambda p: F.when(p.isNotNull(), point(p.getField("x"), p.getField("y"))),
+    "geo_distance": lambda a, b: of_point(a, of_point(b, F.sqrt(F.pow(a.getField("x") - b.getField("x"), 2) + F.pow(a.getField("y") - b.getField("y"), 2)))),
+    "geo_from_text": shape,
 }
 #: Functions that need the frame or literal arguments: (frame, columns, literal values).
 SPECIAL = {
+    "index": lambda df, c, v: index(df, *c),
+    "geo_transform": lambda df, c, v: reproject(c[0], int(v[1]), int(v[2])),
     "len": lambda df, c, v: length(df, c[0]),
     "length": lambda df, c, v: length(df, c[0]),
     "round": lambda df, c, v: F.round(c[0], v[1] if len(c) > 1 else 0),

@@ -334,8 +334,8 @@ class Planner:
         return frame, swap(x)
 
     def solid(self, frame: Frame, x: Node) -> bool:
-        """Whether a column is a key that is declared to have no nulls and that no outer join has filled in."""
-        return x.kind == "ref" and x.name in frame.columns and x.name not in frame.nulls | frame.padded and self.model.concepts[x.name].purpose == "key" and not any("?" in d.columns[x.name][1] or d.rowset for d in self.model.datasources.values() if x.name in d.columns)
+        """Whether a column is a key that is declared to have no nulls; what an outer join filled in is no value either."""
+        return x.kind == "ref" and x.name in frame.columns and x.name not in frame.nulls and self.model.concepts[x.name].purpose == "key" and not any("?" in d.columns[x.name][1] or d.rowset for d in self.model.datasources.values() if x.name in d.columns)
 
     def keep(self, frame: Frame, atom: Node) -> Frame:
         """The rows for which an atom is true; memberships at the top become semi and anti joins."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import io
+import json
 import subprocess
 import sys
 
@@ -41,12 +41,56 @@ def read_files(spark: SparkSession, paths: list[str], schema: str | None = None)
     return spark.read.parquet(*paths)
 
 
+def request(columns: list[str] = (), filters: list[tuple[str, str, object]] = (), limit: int | None = None) -> list[str]:
+    """What is asked of a program, as its arguments: a narrowing that it may leave to the engine."""
+    out = ["--columns", ",".join(columns)] if columns else []
+    for column, op, value in filters:
+        out += ["--filter", f"{column} {op} {json.dumps(value, default=str)}"]
+    return out + (["--limit", str(limit)] if limit is not None else [])
+
+
+def started(path: str, arguments: list[str]) -> subprocess.Popen:
+    command = [sys.executable, path] if path.endswith(".py") else [path]
+    return subprocess.Popen([*command, *arguments], stdout=subprocess.PIPE)
+
+
 def read_script(spark: SparkSession, path: str, arguments: list[str] = ()) -> DataFrame:
-    """The table that a program writes to its standard output as an Arrow stream; its size is bounded by the driver's memory."""
+    """The table that a program writes to its standard output as an Arrow stream.
+
+    The program runs in a task, which passes the stream on batch by batch; the driver only reads the stream's schema, of
+    a run that is asked for no rows and ended after it. Spark brings the program's file to the executors. A program that
+    refuses arguments is run without.
+    """
     import pyarrow as pa
+    from pyspark import SparkFiles
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    def opened(where: str, wanted: list[str]):
+        run = started(where, wanted)
+        try:
+            return run, pa.ipc.open_stream(run.stdout)
+        except pa.ArrowInvalid:
+            run.stdout.close()
+            if run.wait() == 0 or not wanted:
+                raise
+            return opened(where, [])
+
+    arguments, name = list(arguments), path.rsplit("/", 1)[-1]
+    spark.sparkContext.addFile(path)
+    run, stream = opened(path, [*arguments, "--limit", "0"])
+    schema = stream.schema
+    run.kill()
+    run.stdout.close()
+    run.wait()
+
+    def rows(_):
+        here, got = opened(SparkFiles.get(name), arguments)
+        with here:
+            yield from got
+        if here.returncode:
+            raise RuntimeError(f"{name} ended with {here.returncode}")
 
-    done = subprocess.run([sys.executable, path, *arguments], stdout=subprocess.PIPE, check=True)
-    return spark.createDataFrame(pa.ipc.open_stream(io.BytesIO(done.stdout)).read_all())
+    return spark.range(0, 1, 1, 1).mapInArrow(rows, from_arrow_schema(schema))
 
 
 def write_files(df: DataFrame, kind: str, path: str, options: dict | None = None, mode: str = "overwrite") -> None:
