@@ -450,7 +450,10 @@ class Planner:
         return replace(frame, df=frame.df.dropDuplicates(on), unique=grain)
 
     def aggregate(self, n: Node, df: DataFrame, frame: Frame, keys: list[Node]) -> Column:
-        row = len(n.args) == 1 and n.args[0].kind == "ref" and n.args[0].name in self.model.concepts and self.model.concepts[n.args[0].name].is_row
+        is_row = lambda x: x.kind == "ref" and x.name in self.model.concepts and self.model.concepts[x.name].is_row
+        if n.name == "count" and len(n.args) == 1 and n.args[0].kind == "filter" and is_row(n.args[0].args[0]):
+            return F.count(self.compile(Node("filter", None, (Node("lit", 1), n.args[0].args[1])), df, frame.columns))
+        row = len(n.args) == 1 and is_row(n.args[0])
         c = [F.lit(1) if row else self.compile(a, df, frame.columns) for a in n.args] if n.name not in ("grouping", "grouping_id") else []
         match n.name:
             case "count" if row:

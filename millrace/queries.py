@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .engine import Engine
+from .operators.durable import scratch
+from .sources.readers import read_parquet
+from .streaming.refresh import refresh
+
+TABLES = "region nation customer supplier part orders lineitem events".split()
 
 #: The model over the driver's tables. lineitem has no natural key: its rows are a bag.
 MODEL = """
@@ -143,8 +151,8 @@ add("grouping_sets", "select orders.status as status, orders.priority as priorit
     "select o_orderstatus as status, o_orderpriority as priority, round(sum(o_totalprice), 2) as s from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())")
 add("window_rank", "select nation.name as n_name, count(customer.id) as n, rank(nation.name) over (order by count(customer.id) desc) as r, dense_rank(nation.name) over (order by count(customer.id) desc) as d, row_number(nation.name) over (partition by region.name order by nation.name asc) as k;",
     "select n_name, n, rank() over (order by n desc) as r, dense_rank() over (order by n desc) as d, row_number() over (partition by r_name order by n_name) as k from (select n_name, r_name, count(distinct c_custkey) as n from nation join region on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey group by 1, 2)")
-add("window_lag", "where event.user = 7 select event.id as eid, lag(event.value, 1) over (order by event.id asc) as before, lead(event.value, 2) over (order by event.id asc) as later, round(sum(event.value) over (order by event.id asc), 4) as running;",
-    "select event_id as eid, lag(value) over (order by event_id) as before, lead(value, 2) over (order by event_id) as later, round(sum(value) over (order by event_id), 4) as running from events where user_id = 7")
+add("window_lag", "select event.id as eid, lag(event.value, 1) over (partition by event.user order by event.id asc) as before, lead(event.value, 2) over (partition by event.user order by event.id asc) as later, round(sum(event.value) over (partition by event.user order by event.id asc), 4) as running;",
+    "select event_id as eid, lag(value) over (partition by user_id order by event_id) as before, lead(value, 2) over (partition by user_id order by event_id) as later, round(sum(value) over (partition by user_id order by event_id), 4) as running from events")
 add("top_k_by", "select customer.segment as segment, customer.id as cid, customer.acctbal as bal, --rank(customer.id) over (partition by customer.segment order by customer.acctbal desc) as r having r <= 3;",
     "select c_mktsegment as segment, c_custkey as cid, c_acctbal as bal from customer qualify rank() over (partition by c_mktsegment order by c_acctbal desc) <= 3")
 add("order_limit", "select orders.id as oid, orders.total as total order by orders.total desc nulls last, orders.id limit 20;", "select o_orderkey as oid, o_totalprice as total from orders order by 2 desc, 1 limit 20")
@@ -162,11 +170,11 @@ add("union_join", "union join event.user = customer.id select customer.id as k,
     "select coalesce(a.k, b.k) as k, coalesce(n_events, 0) as n_events, coalesce(n_orders, 0) as n_orders from (select user_id as k, count(*) as n_events from events group by 1) a full join (select c_custkey as k, count(o_orderkey) as n_orders from customer left join orders on c_custkey = o_custkey group by 1) b on a.k = b.k")
 add("merge_partial", "merge event.user into ~customer.id; select customer.segment as segment, count(event.id) as n;", "select c_mktsegment as segment, count(event_id) as n from customer left join events on c_custkey = user_id group by 1")
 add("partial_key", "select doc.lang as lang, count(doc.id) as docs, count(doc.quality) as labelled, sum(doc.quality) as good;", "select lang, count(*) as docs, count(quality) as labelled, sum(quality)::bigint as good from documents left join labels using (doc_id) group by 1")
-add("unnest", "where vec.id < 20 select vec.id as vid, unnest(array_distinct([vec.label, 1, 2])) as x;", "select vec_id as vid, unnest(list_distinct([label, 1, 2])) as x from embeddings where vec_id < 20")
-add("arrays", "where vec.id < 50 select vec.id as vid, len(vec.embedding) as n, round(vec.embedding[1]::float, 5) as first_, generate_array(1, 4) as g, array_sum([1, 2, vec.label]) as s, array_to_string(['a', vec.label::string], '-') as t, array_sort([3, vec.label, 2], desc) as z;",
-    "select vec_id as vid, len(embedding) as n, round(embedding[1]::double, 5) as first_, generate_series(1, 4) as g, 3 + label as s, 'a-' || label as t, list_reverse_sort([3, label, 2]) as z from embeddings where vec_id < 50")
-add("lambdas", "def double(x) -> x * 2; def big(x) -> x > 2; where vec.id < 20 select vec.id as vid, array_transform([1, 2, vec.label], @double) as d, array_filter([1, 2, 3, vec.label], @big) as f;",
-    "select vec_id as vid, [2, 4, 2 * label] as d, list_filter([1, 2, 3, label], lambda x: x > 2) as f from embeddings where vec_id < 20")
+add("unnest", "select vec.id as vid, unnest(array_distinct([vec.label, 1, 2])) as x;", "select vec_id as vid, unnest(list_distinct([label, 1, 2])) as x from embeddings")
+add("arrays", "select vec.id as vid, len(vec.embedding) as n, round(vec.embedding[1]::float, 5) as first_, generate_array(1, 4) as g, array_sum([1, 2, vec.label]) as s, array_to_string(['a', vec.label::string], '-') as t, array_sort([3, vec.label, 2], desc) as z;",
+    "select vec_id as vid, len(embedding) as n, round(embedding[1]::double, 5) as first_, generate_series(1, 4) as g, 3 + label as s, 'a-' || label as t, list_reverse_sort([3, label, 2]) as z from embeddings")
+add("lambdas", "def double(x) -> x * 2; def big(x) -> x > 2; select vec.id as vid, array_transform([1, 2, vec.label], @double) as d, array_filter([1, 2, 3, vec.label], @big) as f;",
+    "select vec_id as vid, [2, 4, 2 * label] as d, list_filter([1, 2, 3, label], lambda x: x > 2) as f from embeddings")
 add("maps_structs", "where region.id >= 0 select region.id as rid, map_keys({'a': region.id, 'b': 2}) as k, map_values({'a': region.id, 'b': 2}) as v, {'a': region.id}['a'] as got, struct(region.id -> x, region.name -> y).y as nm;",
     "select r_regionkey as rid, ['a', 'b'] as k, [r_regionkey, 2] as v, r_regionkey as got, r_name as nm from region")
 add("strings", "select nation.id as nid, upper(nation.name) as u, lower(nation.name) as l, len(nation.name) as n, substring(nation.name, 2, 3) as sub, strpos(nation.name, 'A') as at, replace(nation.name, 'A', '_') as rep, trim('  ' || nation.name || ' ') as tr, split(nation.name, 'A') as sp, concat(nation.name, null, '!') as cc, concat_ws('-', nation.name, 'x') as ws, contains(nation.name, 'an') as c, nation.name like '%IA' as lk, nation.name ilike 'c%' as il, hash(nation.name, md5) as h, hex(nation.name) as hx;",
@@ -200,11 +208,239 @@ add("top_x", "import std.ranking as ranking; where @ranking.is_top_x_by(customer
 add("top_x_rest", "import std.report as report; import std.display as display; select region.name as r_name, count(customer.id) as n, @report.top_x_by_metric(region.name, count(customer.id), 2, 'rest') as label, @display.calc_percent(count(customer.id), count(customer.id) by *, 3)::float as share;",
     "select r_name, n, case when rank() over (order by n desc) <= 2 then r_name else 'rest' end as label, round(n / sum(n) over (), 3)::double as share from (select r_name, count(distinct c_custkey) as n from region left join nation on n_regionkey = r_regionkey left join customer on c_nationkey = n_nationkey group by 1)")
 add("made_up_rows", "mock datasources customer, orders; select count(customer.id) as customers, count(orders.id) as n_orders, max(orders.id) as last_;", "select 100 as customers, 100 as n_orders, 100 as last_")
-# The array, lambda, unnest and running-window operators over whole tables.
-add("unnest_whole", "select vec.id as vid, unnest(array_distinct([vec.label, 1, 2])) as x;", "select vec_id as vid, unnest(list_distinct([label, 1, 2])) as x from embeddings")
-add("arrays_whole", "select vec.id as vid, len(vec.embedding) as n, round(vec.embedding[1]::float, 5) as first_, generate_array(1, 4) as g, array_sum([1, 2, vec.label]) as s, array_to_string(['a', vec.label::string], '-') as t, array_sort([3, vec.label, 2], desc) as z;",
-    "select vec_id as vid, len(embedding) as n, round(embedding[1]::double, 5) as first_, generate_series(1, 4) as g, 3 + label as s, 'a-' || label as t, list_reverse_sort([3, label, 2]) as z from embeddings")
-add("lambdas_whole", "def double(x) -> x * 2; def big(x) -> x > 2; select vec.id as vid, array_transform([1, 2, vec.label], @double) as d, array_filter([1, 2, 3, vec.label], @big) as f;",
-    "select vec_id as vid, [2, 4, 2 * label] as d, list_filter([1, 2, 3, label], lambda x: x > 2) as f from embeddings")
-add("window_lag_by_user", "select event.id as eid, lag(event.value, 1) over (partition by event.user order by event.id asc) as before, lead(event.value, 2) over (partition by event.user order by event.id asc) as later, round(sum(event.value) over (partition by event.user order by event.id asc), 4) as running;",
-    "select event_id as eid, lag(value) over (partition by user_id order by event_id) as before, lead(value, 2) over (partition by user_id order by event_id) as later, round(sum(value) over (partition by user_id order by event_id), 4) as running from events")
+
+# More of the shapes that the tables allow.
+add("q4_priority", "where orders.date >= '1997-01-01'::datetime and orders.date < '1997-07-01'::datetime and orders.id in (select orders.id where line.quantity > 45) select orders.priority as o_orderpriority, order_count as n order by o_orderpriority;",
+    "select o_orderpriority, count(*) as n from orders where o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1997-07-01' and o_orderkey in (select l_orderkey from lineitem where l_quantity > 45) group by 1")
+add("q7_volume", "self import as twin; merge supplier.nation into ~twin.nation.id; where line.shipped between '1996-01-01'::datetime and '1997-12-31'::datetime and (twin.nation.name = 'FRANCE' and nation.name = 'GERMANY' or twin.nation.name = 'GERMANY' and nation.name = 'FRANCE') select twin.nation.name as supp_nation, nation.name as cust_nation, year(line.shipped) as l_year, round(revenue, 2) as revenue_ order by supp_nation, cust_nation, l_year;",
+    """select n1.n_name as supp_nation, n2.n_name as cust_nation, year(l_shipdate) as l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue_ from lineitem join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey
+    join customer on o_custkey = c_custkey join nation n1 on s_nationkey = n1.n_nationkey join nation n2 on c_nationkey = n2.n_nationkey where l_shipdate between timestamp '1996-01-01' and timestamp '1997-12-31'
+    and (n1.n_name = 'FRANCE' and n2.n_name = 'GERMANY' or n1.n_name = 'GERMANY' and n2.n_name = 'FRANCE') group by all""")
+add("q8_share", "self import as twin; merge supplier.nation into ~twin.nation.id; where region.name = 'EUROPE' and orders.date between '1995-01-01'::datetime and '1998-12-31'::datetime and line.revenue is not null select year(orders.date) as o_year, round(sum(line.revenue ? twin.nation.name = 'FRANCE') / sum(line.revenue), 6) as mkt_share order by o_year;",
+    """select year(o_orderdate) as o_year, round(sum(case when n1.n_name = 'FRANCE' then l_extendedprice * (1 - l_discount) end) / sum(l_extendedprice * (1 - l_discount)), 6) as mkt_share from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+    join nation n2 on c_nationkey = n2.n_nationkey join region on n2.n_regionkey = r_regionkey left join supplier on l_suppkey = s_suppkey left join nation n1 on s_nationkey = n1.n_nationkey where r_name = 'EUROPE' and o_orderdate between timestamp '1995-01-01' and timestamp '1998-12-31' group by 1""")
+add("q9_profit", "where part.name like '%e%' and line.price is not null select supplier.nation as s_nation, year(orders.date) as o_year, round(sum(line.revenue - line.quantity), 2) as profit order by s_nation, o_year desc;",
+    "select s_nationkey as s_nation, year(o_orderdate) as o_year, round(sum(l_extendedprice * (1 - l_discount) - l_quantity), 2) as profit from lineitem join part on l_partkey = p_partkey left join orders on l_orderkey = o_orderkey left join supplier on l_suppkey = s_suppkey where p_name like '%e%' group by 1, 2")
+add("q10_returned", "where line.flag = 'R' and orders.date >= '1997-01-01'::datetime select customer.id as c_custkey, customer.name as c_name, customer.acctbal as c_acctbal, nation.name as n_name, round(revenue, 2) as revenue_ order by revenue_ desc, c_custkey limit 20;",
+    """select c_custkey, c_name, c_acctbal, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue_ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey
+    where l_returnflag = 'R' and o_orderdate >= timestamp '1997-01-01' group by all order by revenue_ desc, c_custkey limit 20""")
+add("q12_modes", "where line.shipped >= '1997-01-01'::datetime and line.shipped < '1998-01-01'::datetime select line.status as l_linestatus, count(line.row ? orders.priority in ('1-URGENT', '2-HIGH')) as high, count(line.row ? orders.priority not in ('1-URGENT', '2-HIGH')) as low order by l_linestatus;",
+    "select l_linestatus, count(*) filter (o_orderpriority in ('1-URGENT', '2-HIGH')) as high, count(*) filter (o_orderpriority not in ('1-URGENT', '2-HIGH') or o_orderpriority is null) as low from lineitem left join orders on l_orderkey = o_orderkey where l_shipdate >= timestamp '1997-01-01' and l_shipdate < timestamp '1998-01-01' group by 1")
+add("q15_top_supplier", "with sold as where line.shipped >= '1997-01-01'::datetime and line.shipped < '1997-04-01'::datetime select supplier.id as sid, supplier.name as s_name, round(revenue, 2) as total; where sold.total = (select max(sold.total) as t) select sold.sid as s_suppkey, sold.s_name as s_name, sold.total as total_revenue;",
+    """with r as (select s_suppkey, s_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as total_revenue from lineitem join supplier on l_suppkey = s_suppkey where l_shipdate >= timestamp '1997-01-01' and l_shipdate < timestamp '1997-04-01' group by 1, 2)
+    select * from r where total_revenue = (select max(total_revenue) from r)""")
+add("q16_suppliers", "where part.size in (1, 5, 9, 14, 23, 36, 45, 49) and part.type not like 'PROMO%' and line.quantity is not null select part.brand as p_brand, part.type as p_type, part.size as p_size, count(supplier.id) as n order by n desc, p_brand, p_type, p_size;",
+    "select p_brand, p_type, p_size, count(distinct l_suppkey) as n from lineitem join part on l_partkey = p_partkey where p_size in (1, 5, 9, 14, 23, 36, 45, 49) and p_type not like 'PROMO%' group by 1, 2, 3")
+add("q17_small", "where part.size < 10 and line.quantity < 0.6 * avg(line.quantity) by part.id select round(sum(line.price) / 7.0, 4) as avg_yearly;",
+    "select round(sum(l_extendedprice) / 7.0, 4) as avg_yearly from lineitem l join part on l_partkey = p_partkey where p_size < 10 and l_quantity < 0.6 * (select avg(l_quantity) from lineitem m where m.l_partkey = l.l_partkey)")
+add("q19_disjunction", "where part.size between 1 and 5 and line.quantity between 1 and 11 or part.size between 1 and 10 and line.quantity between 10 and 20 or part.size between 1 and 15 and line.quantity between 20 and 30 select round(revenue, 2) as revenue_;",
+    "select round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue_ from lineitem join part on l_partkey = p_partkey where p_size between 1 and 5 and l_quantity between 1 and 11 or p_size between 1 and 10 and l_quantity between 10 and 20 or p_size between 1 and 15 and l_quantity between 20 and 30")
+add("q22_no_orders", "where customer.acctbal > (select avg(customer.acctbal ? customer.acctbal > 0) as a) and customer.id not in (where orders.id is not null select customer.id) select nation.name as n_name, count(customer.id) as n, round(sum(customer.acctbal), 2) as total;",
+    "select n_name, count(*) as n, round(sum(c_acctbal), 2) as total from customer left join nation on c_nationkey = n_nationkey where c_acctbal > (select avg(c_acctbal) from customer where c_acctbal > 0) and c_custkey not in (select o_custkey from orders) group by 1")
+
+# Joins that keep every row.
+LINKS = """key person int; property person.who string; key note int; property note.score int;
+datasource people (id: person, n: who) grain (person) query '''select c_custkey as id, c_name as n from customer''';
+datasource notes (id: note, p: {marks}person, s: score) grain (note) query '''select o_orderkey as id, case when o_orderkey % 7 = 0 then null else o_custkey end as p, o_orderkey % 100 as s from orders''';"""
+_NOTES = "(select o_orderkey as id, case when o_orderkey % 7 = 0 then null else o_custkey end as p, o_orderkey % 100 as s from orders)"
+
+
+def over_tables(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query over a model whose datasources are SQL over the tables, as views."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        for t in TABLES:
+            read_parquet(spark, f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        return engine(spark, sf_dir).query(text)
+
+    return run
+
+
+def add_made(name: str, make: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
+    QUERIES[name] = make
+    if sql:
+        ORACLES[name] = sql
+
+
+add_made("nullable_fk_rows", over_tables(LINKS.format(marks="?") + "select note as i, who as w;"), f"select id as i, c_name as w from {_NOTES} left join customer on p = c_custkey")
+add_made("nullable_fk_sum", over_tables(LINKS.format(marks="?") + "select who as w, sum(score) as s;"), f"select c_name as w, sum(s)::bigint as s from {_NOTES} left join customer on p = c_custkey group by 1")
+add_made("partial_nullable_fk", over_tables(LINKS.format(marks="~?") + "select who as w, sum(score) as s, count(note) as n;"), f"select c_name as w, sum(s)::bigint as s, count(id) as n from {_NOTES} full join customer on p = c_custkey group by 1")
+add_made("null_safe_keys", over_tables("key g int; key a int; key b int; datasource xs (a: a, g: ?g) grain (a) query '''select o_orderkey as a, nullif(o_orderkey % 5, 0) as g from orders'''; property g.m int; datasource gs (g: ?g, m: m) grain (g) query '''select * from values (1, 10), (2, 20), (null, 99) as t(g, m)'''; select g as g, m as m, count(a) as n;"),
+    "select g, m, count(a) as n from (select o_orderkey as a, nullif(o_orderkey % 5, 0) as g from orders) x full join (values (1, 10), (2, 20), (null, 99)) t(g2, m) on g is not distinct from g2 group by 1, 2")
+add("lookup_adds_no_rows", "where customer.segment = 'BUILDING' select orders.id as oid;", "select o_orderkey as oid from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'")
+add("join_by_expression", "subset join event.user + 1 = customer.id select customer.segment as segment, count(event.id) as n;", "select c_mktsegment as segment, count(event_id) as n from customer left join events on user_id + 1 = c_custkey group by 1")
+add("join_chain", "union join event.user = customer.id = supplier.id select customer.id as k, count(event.id) as n_events, count(orders.id) as n_orders, any(supplier.name) as s_name;",
+    """select coalesce(a.k, b.k, s_suppkey) as k, coalesce(n_events, 0) as n_events, coalesce(n_orders, 0) as n_orders, s_name from (select user_id as k, count(*) as n_events from events group by 1) a
+    full join (select c_custkey as k, count(o_orderkey) as n_orders from customer left join orders on c_custkey = o_custkey group by 1) b on a.k = b.k full join supplier on coalesce(a.k, b.k) = s_suppkey""")
+add("presence_probe", "where event.user is null subset join event.user = customer.id select customer.segment as segment, count(customer.id) as n;", "select c_mktsegment as segment, count(*) as n from customer where c_custkey not in (select user_id from events) group by 1")
+add("presence_flag", "union join event.user = customer.id select customer.id as k, event.user is not null as seen;", "select coalesce(c_custkey, u) as k, u is not null as seen from customer full join (select distinct user_id as u from events) on c_custkey = u")
+add_made("merge_wildcard", over_tables("key w.id int; property w.id.label string; datasource ws (i: w.id, l: w.label) grain (w.id) query '''select n_nationkey as i, n_name as l from nation'''; key v.id int; property v.id.size int; datasource vs (i: v.id, s: v.size) grain (v.id) query '''select n_nationkey as i, n_nationkey * 2 as s from nation'''; merge v.* into w.*; select w.id as i, w.label as l, v.size as s;"),
+    "select n_nationkey as i, n_name as l, n_nationkey * 2 as s from nation")
+
+# Summaries and slices.
+SUMMARY = """key day date; key cust int; key sale int; property sale.amount float; metric total <- sum(amount); metric buyers <- count(cust); metric biggest <- max(amount);
+datasource sales (s: sale, d: day, c: cust, a: amount) grain (sale) query '''select o_orderkey as s, cast(o_orderdate as date) as d, o_custkey as c, o_totalprice as a from orders''';
+datasource by_day (d: day, t: total, b: buyers, m: biggest) grain (day) query '''select cast(o_orderdate as date) as d, sum(o_totalprice) as t, count(distinct o_custkey) as b, max(o_totalprice) as m from orders group by 1''';"""
+add_made("summary_grand_total", over_tables(SUMMARY + "select round(total, 2) as t, biggest as m;"), "select round(sum(o_totalprice), 2) as t, max(o_totalprice) as m from orders")
+add_made("summary_distinct_count", over_tables(SUMMARY + "select buyers as b;"), "select count(distinct o_custkey) as b from orders")
+add_made("summary_exact_grain", over_tables(SUMMARY + "select day as d, buyers as b;"), "select o_orderdate::date as d, count(distinct o_custkey) as b from orders group by 1")
+add_made("summary_by_property", over_tables(SUMMARY + "property day.quarter int; datasource days (d: day, q: quarter) grain (day) query '''select distinct cast(o_orderdate as date) as d, quarter(o_orderdate) as q from orders'''; select quarter as q, round(total, 2) as t;"), "select quarter(o_orderdate) as q, round(sum(o_totalprice), 2) as t from orders group by 1")
+add_made("partial_summary", over_tables(SUMMARY.split("datasource by_day")[0] + "partial datasource late (d: day, t: total) grain (day) complete where day >= '1998-01-01'::date query '''select cast(o_orderdate as date) as d, sum(o_totalprice) as t from orders where o_orderdate >= '1998-01-01' group by 1'''; select round(total, 2) as t;"), "select round(sum(o_totalprice), 2) as t from orders")
+add_made("datasource_where", over_tables("key o int; property o.st string; datasource os (k: o, s: st) grain (o) where st = 'F' query '''select o_orderkey as k, o_orderstatus as s from orders'''; select o as k, st as s;"), "select o_orderkey as k, o_orderstatus as s from orders where o_orderstatus = 'F'")
+add_made("complete_where", over_tables("key o int; key st string; partial datasource done (k: o, s: st) grain (o, st) complete where st = 'F' query '''select o_orderkey as k, o_orderstatus as s from orders where o_orderstatus = 'F' '''; partial datasource open_ (k: o, s: st) grain (o, st) complete where st in ('O', 'P') query '''select o_orderkey as k, o_orderstatus as s from orders where o_orderstatus <> 'F' '''; where st = 'P' select o as k;"), "select o_orderkey as k from orders where o_orderstatus = 'P'")
+add_made("long_chain", over_tables("".join(f"key k{i} int; " for i in range(13)) + "".join(f"datasource d{i} (a: k{i}, b: k{i + 1}) grain (k{i}) query '''select n_nationkey + {i} as a, n_nationkey + {i + 1} as b from nation'''; " for i in range(12)) + "select k0 as first_, k12 as last_;"), "select n_nationkey as first_, n_nationkey + 12 as last_ from nation")
+
+# Groupings.
+add("rollup_outside", "select nation.id as nid, nation.name as n_name, count(customer.id) as n by rollup (nation.id);", "select nid, n_name, n from (select n_nationkey as nid, count(c_custkey) as n from nation left join customer on c_nationkey = n_nationkey group by rollup (n_nationkey)) left join nation on nid = n_nationkey")
+add("rollup_pinned", "select orders.status as st, orders.priority as pr, order_count as n, count(orders.id) by orders.status as of_status by rollup (orders.status, orders.priority);",
+    "select st, pr, n, of_status from (select o_orderstatus as st, o_orderpriority as pr, count(*) as n from orders group by rollup (1, 2)) left join (select o_orderstatus as s2, count(*) as of_status from orders group by 1) on st = s2")
+add("grain_match", "select orders.id as oid, sum(orders.total) as s, count(orders.id) as n, max(orders.date) as d;", "select o_orderkey as oid, o_totalprice as s, 1 as n, o_orderdate as d from orders")
+
+# Windows.
+add("window_aggregates", "select event.id as eid, count(event.value) over (partition by event.user order by event.id asc) as n, avg(event.id) over (partition by event.user order by event.id asc) as m, max(event.value) over (partition by event.type order by event.id asc) as hi, min(event.value) over (partition by event.type order by event.id asc) as lo;",
+    "select event_id as eid, count(value) over u as n, avg(event_id) over u as m, max(value) over t as hi, min(value) over t as lo from events window u as (partition by user_id order by event_id), t as (partition by event_type order by event_id)")
+add("window_unordered", "select customer.id as cid, round(sum(customer.acctbal) over (partition by customer.segment), 2) as s, count_distinct(customer.segment) over (partition by nation.id) as k;",
+    "select c_custkey as cid, round(sum(c_acctbal) over (partition by c_mktsegment), 2) as s, k from customer join (select c_nationkey as n, count(distinct c_mktsegment) as k from customer group by 1) on n = c_nationkey")
+add("window_legacy", "select customer.id as cid, rank customer.id over customer.segment order by customer.acctbal desc as r;", "select c_custkey as cid, rank() over (partition by c_mktsegment order by c_acctbal desc) as r from customer")
+add("window_of_window", "select nation.name as n_name, rank(nation.name) over (order by count(customer.id) desc) as r, max(rank(nation.name) over (order by count(customer.id) desc)) over (order by nation.name asc) as worst;",
+    "select n_name, r, max(r) over (order by n_name) as worst from (select n_name, rank() over (order by count(c_custkey) desc) as r from nation left join customer on c_nationkey = n_nationkey group by 1)")
+add("order_hidden", "select orders.id as oid order by orders.total desc nulls first, orders.id nulls auto limit 15;", "select oid from (select o_orderkey as oid, o_totalprice as t from orders order by t desc, oid limit 15)")
+add("limit_in_rowset", "with top as select orders.id as oid, orders.total as total order by orders.total desc, orders.id limit 25; select count(top.oid) as n, round(sum(top.total), 2) as s;", "select count(*) as n, round(sum(o_totalprice), 2) as s from (select * from orders order by o_totalprice desc, o_orderkey limit 25)")
+
+# Composition.
+add("typed_signature", "from union((where orders.status = 'F' select orders.id as a, orders.total as b), (where orders.status = 'P' select orders.id as c, orders.total as d)) -> (k key int, v float?) select count(k) as n, max(v) as v;",
+    "select count(*) as n, max(v) as v from (select o_orderkey, o_totalprice as v from orders where o_orderstatus in ('F', 'P'))")
+add("stacked_keys", "auto anyone <- union(customer.id, supplier.id); select anyone as a;", "select c_custkey as a from customer union select s_suppkey from supplier")
+add("rowset_arrow", "rowset big <- where orders.total > 350000 select orders.id as oid, customer.id as cid; select big.cid as cid, count(big.oid) as n;", "select o_custkey as cid, count(*) as n from orders where o_totalprice > 350000 group by 1")
+add("rowset_island", "with few as where nation.id < 5 select nation.id as nid; select nation.id as nid;", "select n_nationkey as nid from nation")
+add("constants", "const least <- 5; const rate <- 0.5::float; select part.id as pid, part.size * rate as half, part.size > least as big, rate as r;", "select p_partkey as pid, p_size * 0.5::double as half, p_size > 5 as big, 0.5::double as r from part")
+add("source_less", "select 1 + 2 as three, 'x' as letter;", "select 3 as three, 'x' as letter")
+add("partial_output", "select ~orders.id as oid, customer.id as cid;", "select o_orderkey as oid, c_custkey as cid from customer left join orders on c_custkey = o_custkey")
+add("in_array", "where part.size in [1, 2, 3] select part.id as pid, part.size in [1, part.size] as yes;", "select p_partkey as pid, true as yes from part where p_size in (1, 2, 3)")
+add("is_tests", "select orders.id as oid, orders.status is null as a, (orders.total > 100000) is true as b, (orders.total > 100000) is not true as c, nullif(orders.status, 'F') is 'O' as d;", "select o_orderkey as oid, o_orderstatus is null as a, o_totalprice > 100000 as b, not o_totalprice > 100000 as c, nullif(o_orderstatus, 'F') is not distinct from 'O' as d from orders")
+add("column_expressions", "key up.id int; property up.id.name string; property up.id.len_ int; datasource ups (n_nationkey + 100: up.id, lower(n_name): up.name, raw('''length(n_name) * 2'''): up.len_) grain (up.id) address nation; select up.id as i, up.name as n, up.len_ as l;", "select n_nationkey + 100 as i, lower(n_name) as n, length(n_name) * 2 as l from nation")
+add("table_function", "def table top_names(k) -> select nation.name where nation.id < k order by nation.name desc limit 2; select region.name as r_name, @top_names(20) as names;",
+    "select r_name, (select list(n_name order by n_name desc) from (select n_name from nation where n_regionkey = r_regionkey and n_nationkey < 20 order by n_name desc limit 2)) as names from region")
+add("custom_type", "type cents int; key c.id int; property c.id.paid cents; datasource cs (o_orderkey: c.id, o_custkey * 100: c.paid) grain (c.id) address orders; select c.id as i, c.paid::cents as p;", "select o_orderkey as i, o_custkey * 100 as p from orders")
+
+# Functions.
+add("trims", "select nation.id as nid, ltrim('  ' || nation.name || ' ') as l, rtrim('  ' || nation.name || ' ') as r, strpos(nation.name, 'ZZ') as none;", "select n_nationkey as nid, ltrim('  ' || n_name || ' ') as l, rtrim('  ' || n_name || ' ') as r, strpos(n_name, 'ZZ') as none from nation")
+add("times", "select event.id as eid, second(event.ts) as s, minute(event.ts) as m, hour(event.ts) as h, date(event.ts) as d, datetime(event.ts) as dt, timestamp(event.ts)::string as tz, format_time(event.ts, '%F %T') as f, parse_time(format_time(event.ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') as back, date_diff(event.ts, date_add(event.ts, hour, 5), hour) as five;",
+    "select event_id as eid, second(ts) as s, minute(ts) as m, hour(ts) as h, ts::date as d, ts as dt, regexp_replace(ts::varchar, '(\\.[0-9]*?)0+$', '\\\\1') as tz, strftime(ts, '%Y-%m-%d %H:%M:%S') as f, date_trunc('second', ts) as back, 5 as five from events")
+add("now", "select current_date() >= '2020-01-01'::date as d, current_datetime() > '2020-01-01'::datetime as t, current_timestamp() is not null as z, random() < 1 as r;", "select true as d, true as t, true as z, true as r")
+add("unix_times", "select region.id as rid, date_diff(unix_to_timestamp(0)::datetime, unix_to_timestamp(region.id * 86400)::datetime, day) as days;", "select r_regionkey as rid, r_regionkey::bigint as days from region")
+add("geo_shapes", "select part.id as pid, geo_y(geo_from_text('POINT(' || part.size::string || ' 3)')) as y, geo_x(geo_centroid(geo_from_text('POLYGON((0 0, 4 0, 4 2, 0 2, 0 0))'))) as cx, round(geo_x(geo_transform(geo_point(part.size, 10), 4326, 3857)), 3) as east, round(geo_x(geo_transform(geo_transform(geo_point(part.size, 10), 4326, 3857), 3857, 4326)), 9) as back;",
+    "select p_partkey as pid, 3::double as y, 2::double as cx, round(radians(10) * 6378137, 3) as east, p_size::double as back from part")
+add("grain_of_values", "select part.id as pid, grain(part.brand, part.size) = grain(part.brand, part.size) as same, grain('a', 'b') = grain('ab', '') as mixed, grain(null, 'a') = grain('a', null) as nulls;", "select p_partkey as pid, true as same, false as mixed, false as nulls from part")
+add("array_edges", "select region.id as rid, [1, 2][0] as none, [1, 2][-1] as last_, [1, 2][5] as beyond, {'a': 1}['b'] as no_key;", "select r_regionkey as rid, null::int as none, 2 as last_, null::int as beyond, null::int as no_key from region")
+
+
+# Sources, sinks and effects: written to the shared folder, read back.
+def files(name: str, statements: str, query: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Statements, with {at} a new folder, then a query."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e, at = engine(spark, sf_dir), scratch(spark, name)
+        e.run(statements.replace("{at}", at))
+        return e.query(query.replace("{at}", at))
+
+    return run
+
+
+_BACK = "key b.id int; property b.id.name string; property b.id.bal float; datasource back (cid: b.id, nm: b.name, bal: b.bal) grain (b.id) file `{at}.KIND`; select b.id as cid, b.name as nm, b.bal as bal;"
+_CUSTOMERS = "select c_custkey as cid, c_name as nm, c_acctbal as bal from customer"
+for _kind in ("csv", "tsv", "json", "parquet", "orc"):
+    add_made(f"copy_{_kind}", files(f"copy_{_kind}", f"copy into {_kind} '{{at}}.{_kind}' from select customer.id as cid, customer.name as nm, customer.acctbal as bal;", _BACK.replace("KIND", _kind)), _CUSTOMERS)
+add_made("many_files", files("many", "copy into parquet '{at}/a.parquet' from where customer.id < 100 select customer.id as cid, customer.name as nm, customer.acctbal as bal; copy into parquet '{at}/b.parquet' from where customer.id >= 100 select customer.id as cid, customer.name as nm, customer.acctbal as bal;", _BACK.replace("`{at}.KIND`", "[`{at}/a.parquet`, `{at}/b.parquet`]")), _CUSTOMERS)
+add_made("file_glob", files("glob", "copy into parquet '{at}/a.parquet' from where customer.id < 100 select customer.id as cid, customer.name as nm, customer.acctbal as bal; copy into parquet '{at}/b.parquet' from where customer.id >= 100 select customer.id as cid, customer.name as nm, customer.acctbal as bal;", _BACK.replace("{at}.KIND", "{at}/*.parquet")), _CUSTOMERS)
+
+
+def partitioned_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by slices, one of which is written again: the others stay, the one is replaced."""
+    e, table = engine(spark, sf_dir), f"slices_{uuid.uuid4().hex}"
+    e.run(f"persist a into {table} by orders.status from select orders.id, orders.total, orders.status;")
+    e.run(f"append b into {table} by orders.status from where orders.status = 'F' select orders.id, orders.total * 2 as orders.total, orders.status;")
+    return spark.table(table).select(F.col("orders__id").alias("oid"), F.col("orders__total").alias("total"), F.col("orders__status").alias("st"))
+
+
+def persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary written as a table, appended to nothing, then used by a query that asks for it."""
+    e, table = engine(spark, sf_dir), f"by_status_{uuid.uuid4().hex}"
+    e.run(f"persist kept into {table} from select orders.status, order_count;")
+    out = e.query("select orders.status as st, order_count as n;")
+    if table not in out._jdf.queryExecution().analyzed().toString():
+        raise RuntimeError("the written summary wasn't used")
+    return out
+
+
+def created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A datasource's table created with its data, unpublished until then."""
+    e, table = engine(spark, sf_dir), f"made_{uuid.uuid4().hex}"
+    e.run(f"datasource made (rid: region.id, nm: region.name) grain (region.id) address {table} state unpublished; create datasource made with data; publish datasource made;")
+    e.written.add(table)
+    return e.query("from made select region.id as rid, region.name as nm;")
+
+
+def appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an incremental key past what the table has, twice."""
+    e, table = engine(spark, sf_dir), f"feed_{uuid.uuid4().hex}"
+    e.run("datasource feed (event_id: event.id, value: event.value) grain (event.id) incremental by event.id address events;")
+    first, again = e.refresh("feed", table), e.refresh("feed", table)
+    return spark.table(table).select(F.count("*").alias("n"), F.lit(again).cast("long").alias("again"), (F.lit(first) == F.count("*")).alias("whole"))
+
+
+def refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written datasource that lags behind its root is rebuilt, once."""
+    e, table = engine(spark, sf_dir), f"daily_{uuid.uuid4().hex}"
+    e.run(f"root datasource raw (event_id: event.id, ts: event.ts, value: event.value) grain (event.id) address events; datasource daily (event_id: event.id, ts: event.ts) grain (event.id) freshness by event.ts within 0 seconds address {table};")
+    first = refresh(e)
+    e.written.add(table)
+    second = refresh(e)
+    return spark.table(table).select(F.count("*").alias("n"), F.lit(first["daily"]).alias("why"), F.lit(len(second)).cast("long").alias("again"))
+
+
+def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    return e.watermark("events", "event.id").select(F.col("high").alias("high"), F.col("checksum").isNotNull().alias("hashed"))
+
+
+def checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).query("validate datasources nation, orders;").where("check in ('grain', 'null')").select("datasource", "check", "subject", "failures")
+
+
+def program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program that writes the table nation as an Arrow stream, run in a task."""
+    text = f"import sys, pyarrow as pa, pyarrow.parquet as pq\nt = pq.read_table({sf_dir + '/nation.parquet'!r}, columns=['n_nationkey', 'n_name'])\nw = pa.ipc.new_stream(sys.stdout.buffer, t.schema)\nw.write_table(t)\nw.close()\n"
+    with tempfile.NamedTemporaryFile("w", suffix=".py", delete=False) as f:  # the driver's own: Spark brings it to the executors
+        f.write(text)
+    e = engine(spark, sf_dir)
+    e.run(f"key pn.id int; property pn.id.name string; datasource prog (n_nationkey: pn.id, n_name: pn.name) grain (pn.id) file `{f.name}`;")
+    return e.query("select pn.id as nid, pn.name as nm;")
+
+
+def sql_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, at = engine(spark, sf_dir), scratch(spark, "sql") + ".sql"
+    spark.createDataFrame([(f"select r_regionkey, upper(r_name) as nm from parquet.`{sf_dir}/region.parquet`",)], "value string").coalesce(1).write.text(at)
+    e.run(f"key sr.id int; property sr.id.name string; datasource regions_ (r_regionkey: sr.id, nm: sr.name) grain (sr.id) file `{at}`;")
+    return e.query("select sr.id as rid, sr.name as nm;")
+
+
+def frame_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.register_frame("my_frame", read_parquet(spark, f"{sf_dir}/nation.parquet").selectExpr("n_nationkey as k", "n_name as v"))
+    e.run("key fk.id int; property fk.id.v string; datasource fr (k: fk.id, v: fk.v) grain (fk.id) address my_frame;")
+    return e.query("select fk.id as k, fk.v as v;")
+
+
+add_made("persist_partitioned", partitioned_append, "select o_orderkey as oid, case when o_orderstatus = 'F' then o_totalprice * 2 else o_totalprice end as total, o_orderstatus as st from orders")
+add_made("persist_used", persisted, "select o_orderstatus as st, count(*) as n from orders group by 1")
+add_made("create_publish", created, "select r_regionkey as rid, r_name as nm from region")
+add_made("incremental", appended, "select count(*) as n, 0 as again, true as whole from events")
+add_made("refresh", refreshed, "select count(*) as n, 'missing' as why, 0 as again from events")
+add_made("watermark", watermarks, "select max(event_id) as high, true as hashed from events")
+add_made("validate", checked, "select * from (values ('nation', 'grain', 'nation.id', 0), ('nation', 'null', 'nation.id', 0), ('nation', 'null', 'nation.name', 0), ('nation', 'null', 'region.id', 0), ('orders', 'grain', 'orders.id', 0), ('orders', 'null', 'customer.id', 0), ('orders', 'null', 'orders.date', 0), ('orders', 'null', 'orders.id', 0), ('orders', 'null', 'orders.priority', 0), ('orders', 'null', 'orders.status', 0), ('orders', 'null', 'orders.total', 0)) t(datasource, \"check\", subject, failures)")
+add_made("script_scan", program, "select n_nationkey as nid, n_name as nm from nation")
+add_made("sql_file_scan", sql_file, "select r_regionkey as rid, upper(r_name) as nm from region")
+add_made("frame_scan", frame_source, "select n_nationkey as k, n_name as v from nation")
+add_made("raw_sql", lambda spark, sf_dir: engine(spark, sf_dir).query(f"raw_sql('select count(*) as n from parquet.`{sf_dir}/orders.parquet`');"), "select count(*) as n from orders")
+add_made("show", lambda spark, sf_dir: engine(spark, sf_dir).query("show datasources;").select("name"), "select unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'labels', 'embeddings']) as name")
