@@ -59,6 +59,31 @@ def implies(given: Node, wanted: Node) -> bool:
     return theirs is None and above and below
 
 
+#: Functions that are null where an argument is.
+STRICT = {"add", "subtract", "multiply", "negate", "abs", "floor", "ceil", "upper", "lower", "trim", "length", "len", "year", "month", "day", "date", "datetime"}
+
+
+def rejects_null(x: Node) -> set[str]:
+    """Concepts without which a condition can't be true."""
+
+    def within(y: Node) -> set[str]:
+        if y.kind == "ref":
+            return {y.name}
+        return set().union(*map(within, y.args)) if y.kind == "cast" or y.kind == "call" and y.name in STRICT else set()
+
+    if x.kind == "call" and x.name in ("=", "!=", "<", ">", "<=", ">=", "like", "ilike", "between"):
+        return set().union(*map(within, x.args))
+    if x.kind == "call" and x.name == "and":
+        return rejects_null(x.args[0]) | rejects_null(x.args[1])
+    if x.kind == "call" and x.name == "or":
+        return rejects_null(x.args[0]) & rejects_null(x.args[1])
+    if x.kind == "call" and x.name == "not" and x.args[0].kind == "call" and x.args[0].name in ("is_null", "like", "ilike", "between"):
+        return set().union(*map(within, x.args[0].args))
+    if x.kind == "in" and x.name == "list" and not any(y.kind != "lit" or y.name is None for y in x.args[1:]):
+        return within(x.args[0])
+    return set()
+
+
 def allowed(x: Node) -> tuple | None:
     """(concept, its values or None, lower and upper bound as (value, inclusive) or None) of a simple condition."""
     plain = lambda y: y.name if y.kind == "lit" and y.name is not None else None
@@ -196,8 +221,12 @@ class Planner:
             raise LanguageError(f"only partial datasources have {lost}, and the conditions don't keep to their slices")
         owners = {n: k - sliced for n, k in owners.items()}
 
+        sure = set().union(*map(rejects_null, where)) if where else set()
+        held = {k for k, d in have.items() if any(c in d.columns and owners.get(c, set()) <= {k} for c in sure)}
+
         def bound(n: str) -> set[str]:
-            return {k for k in owners[n] if n in have[k].columns and "~" not in have[k].columns[n][1]} if n in demanded else set()
+            """Where all values of n that the rows can have are: in complete bindings, and in a partial one whose own rows a condition asks for."""
+            return {k for k in owners[n] if n in have[k].columns and ("~" not in have[k].columns[n][1] or k in held)} if n in demanded else set()
 
         usable = {k: d for k, d in have.items() if k not in sliced}
         near = {k: [o for o in usable if o != k and self.linked(k, o)] for k in usable}
@@ -343,8 +372,9 @@ class Planner:
         inner = atom.args[0] if no else atom
         if inner.kind == "in" and inner.name in ("set", "select", "present") and not self.is_array(inner, frame):
             df, left, right = self.member_sides(frame.df, frame.columns, inner)
-            cond = reduce(lambda a, b: a & b, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right.columns, strict=True)))
-            df = df.join(right, cond, "left_anti" if no else "left_semi").drop(*left)
+            members = inner.args[0].args if inner.args[0].kind == "call" and inner.args[0].name == "tuple" else (inner.args[0],)
+            same = ("=" if self.solid(frame, m) else "<=>" for m in members)  # one side that is never null is enough
+            df = df.join(right, F.expr(" and ".join(f"`{a}` {op} `{b}`" for a, op, b in zip(left, same, right.columns, strict=True))), "left_anti" if no else "left_semi").drop(*left)
             return replace(frame, df=df)
         frame, atom = self.flagged(frame, atom)
         return replace(frame, df=frame.df.where(self.compile(atom, frame.df, frame.columns)))
@@ -371,7 +401,7 @@ class Planner:
             members = x.args[1].args if x.args[1].kind == "call" and x.args[1].name == "tuple" else (x.args[1],)
             right = self.result([(f"m{i}", m, False) for i, m in enumerate(members)], [], None, [])
         k = next(self.numbers)
-        return df, names, right.toDF(*(f"__s{k}_{i}" for i in range(len(right.columns)))).distinct()
+        return df, names, right.toDF(*(f"__s{k}_{i}" for i in range(len(right.columns))))
 
     def flagged(self, frame: Frame, atom: Node) -> tuple[Frame, Node]:
         """Memberships below the top as columns that are true or false."""
@@ -379,6 +409,7 @@ class Planner:
         for n in self.own(atom):
             if n.kind == "in" and n.name in ("set", "select", "present") and not self.is_array(n, frame):
                 df, left, right = self.member_sides(frame.df, frame.columns, n)
+                right = right.distinct()
                 flag = f"$v{next(self.numbers)}"
                 right = right.withColumn(column_name(flag), F.lit(True))
                 cond = reduce(lambda a, b: a & b, (F.col(a).eqNullSafe(F.col(b)) for a, b in zip(left, right.columns, strict=False)))

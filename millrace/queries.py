@@ -225,7 +225,7 @@ add("q10_returned", "where line.flag = 'R' and orders.date >= '1997-01-01'::date
     """select c_custkey, c_name, c_acctbal, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue_ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey
     where l_returnflag = 'R' and o_orderdate >= timestamp '1997-01-01' group by all order by revenue_ desc, c_custkey limit 20""")
 add("q12_modes", "where line.shipped >= '1997-01-01'::datetime and line.shipped < '1998-01-01'::datetime select line.status as l_linestatus, count(line.row ? orders.priority in ('1-URGENT', '2-HIGH')) as high, count(line.row ? orders.priority not in ('1-URGENT', '2-HIGH')) as low order by l_linestatus;",
-    "select l_linestatus, count(*) filter (o_orderpriority in ('1-URGENT', '2-HIGH')) as high, count(*) filter (o_orderpriority not in ('1-URGENT', '2-HIGH') or o_orderpriority is null) as low from lineitem left join orders on l_orderkey = o_orderkey where l_shipdate >= timestamp '1997-01-01' and l_shipdate < timestamp '1998-01-01' group by 1")
+    "select l_linestatus, count(case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1 end) as high, count(case when o_orderpriority not in ('1-URGENT', '2-HIGH') or o_orderpriority is null then 1 end) as low from lineitem left join orders on l_orderkey = o_orderkey where l_shipdate >= timestamp '1997-01-01' and l_shipdate < timestamp '1998-01-01' group by 1")
 add("q15_top_supplier", "with sold as where line.shipped >= '1997-01-01'::datetime and line.shipped < '1997-04-01'::datetime select supplier.id as sid, supplier.name as s_name, round(revenue, 2) as total; where sold.total = (select max(sold.total) as t) select sold.sid as s_suppkey, sold.s_name as s_name, sold.total as total_revenue;",
     """with r as (select s_suppkey, s_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as total_revenue from lineitem join supplier on l_suppkey = s_suppkey where l_shipdate >= timestamp '1997-01-01' and l_shipdate < timestamp '1997-04-01' group by 1, 2)
     select * from r where total_revenue = (select max(total_revenue) from r)""")
