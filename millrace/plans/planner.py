@@ -59,6 +59,25 @@ def implies(given: Node, wanted: Node) -> bool:
     return theirs is None and above and below
 
 
+def disjuncts(x: Node) -> list[Node]:
+    return disjuncts(x.args[0]) + disjuncts(x.args[1]) if x.kind == "call" and x.name == "or" else [x]
+
+
+def implied(x: Node) -> list[Node]:
+    """Of a disjunction, what it says of one concept alone: for each concept that every arm has a condition on, the arms' conditions on it."""
+    arms = disjuncts(x)
+    if len(arms) < 2 or any(n.kind in ("agg", "win", "scalar", "subselect", "in") and not (n.kind == "in" and n.name == "list") for n in x.walk()):
+        return []
+    of = [{} for _ in arms]
+    for arm, mine in zip(arms, of, strict=True):
+        for atom in conjuncts(arm):
+            names = {n.name for n in atom.walk() if n.kind == "ref"}
+            if len(names) == 1 and disjuncts(atom) == [atom]:
+                mine.setdefault(names.pop(), []).append(atom)
+    shared = set(of[0]).intersection(*of[1:])
+    return [reduce(lambda a, b: Node("call", "or", (a, b)), (both(mine[c]) for mine in of)) for c in sorted(shared)]
+
+
 #: Functions that are null where an argument is.
 STRICT = {"add", "subtract", "multiply", "negate", "abs", "floor", "ceil", "upper", "lower", "trim", "length", "len", "year", "month", "day", "date", "datetime"}
 
@@ -111,6 +130,8 @@ class Planner:
         #: Keys of a scoped join by their own names, with the datasources that bound them: null tests ask for presence there.
         self.probes: dict[str, list[str]] = {}
         self.held: dict[str, Datasource] = {}
+        #: Whether the select at hand may repeat rows, because only its set of rows matters.
+        self.loose = False
 
     # Names and lineage
 
@@ -313,6 +334,8 @@ class Planner:
         for a in atoms:
             need = need | self.roots(a) | ({r for k in grain for r in self.roots(k)} if any(n.kind == "agg" and not n.extra for n in self.own(a)) else set())
         frame = self.rows(need, atoms, demanded or None)
+        for a in [x for a in atoms for x in implied(a)]:  # narrower ones first: they reach the scans
+            frame = self.keep(frame, a)
         plain = [a for a in atoms if not any(n.kind in ("agg", "win", "scalar", "subselect") for n in self.own(a))]
         for a in plain:
             frame = self.keep(frame, a)
@@ -396,6 +419,7 @@ class Planner:
         if x.name == "present":
             right = x.extra[0].frame()
         elif x.name == "select":
+            self.loose = x.extra[0].select.get("limit") is None
             right = self.select(x.extra[0].select, nested=True)
         else:
             members = x.args[1].args if x.args[1].kind == "call" and x.args[1].name == "tuple" else (x.args[1],)
@@ -574,6 +598,7 @@ class Planner:
         if "items" not in q and "setop" in q:
             return self.setop(q["setop"])
         kept = self.eligible, self.scoped, dict(self.model.concepts), dict(self.model.datasources), dict(self.model.same)
+        loose, self.loose = self.loose, False
         outer, self.model.memo = (self.probes, self.held, self.model.memo), None
         try:
             self.scoped = dict(self.scoped)
@@ -593,7 +618,7 @@ class Planner:
             by = q["by"]
             if by:
                 by = (by[0], [[over(y) for y in s] for s in by[1]] if by[0] == "sets" else [over(x) for x in by[1]])
-            return self.result(items, where, having, order, q["limit"], by)
+            return self.result(items, where, having, order, q["limit"], by, loose)
         finally:
             self.eligible, self.scoped = kept[:2]
             self.model.concepts, self.model.datasources, self.model.same = kept[2:]
@@ -678,7 +703,7 @@ class Planner:
                         columns[c] = (e, marks)
                 self.model.datasources[d.name] = replace(d, columns=columns, grain=frozenset(map(swap, d.grain)))
 
-    def result(self, items: list, where: list, having: Node | None, order: list, limit: int | None = None, by: tuple | None = None) -> DataFrame:
+    def result(self, items: list, where: list, having: Node | None, order: list, limit: int | None = None, by: tuple | None = None, loose: bool = False) -> DataFrame:
         terms = [x for _, x, _ in items] + ([having] if having is not None else []) + [x for x, _, _ in order]
         shaped = lambda x: any(n.kind in ("agg", "win") for n in self.own(x))
         dims = [x for _, x, _ in items if not shaped(x) and x.kind not in ("scalar", "subselect")]
@@ -738,7 +763,7 @@ class Planner:
                     hidden.append(k)
         alone = {k for n in aggs if n.extra for k in n.extra[0]}
         grain = [*dims, *[h for h in hidden if not (h in alone and not dims and not self.needed_outside(h, terms))]]
-        df, columns = self.shape(grain, aggs, where, by, list(dims))
+        df, columns = self.shape(grain, aggs, where, by, list(dims), loose)
         # Everything below works on columns: grain expressions g0.. and aggregates.
         put = {x: Node("ref", c) for x, c in columns.items()}
 
@@ -805,7 +830,7 @@ class Planner:
         first = nulls == "first"
         return (c.desc_nulls_first() if first else c.desc_nulls_last()) if desc else (c.asc_nulls_first() if first else c.asc_nulls_last())
 
-    def shape(self, grain: list[Node], aggs: list[Node], where: list, by: tuple | None, dims: list[Node]) -> tuple[DataFrame, dict[Node, str]]:
+    def shape(self, grain: list[Node], aggs: list[Node], where: list, by: tuple | None, dims: list[Node], loose: bool = False) -> tuple[DataFrame, dict[Node, str]]:
         """The grain's distinct rows (g0, g1, ...) with every aggregate's column."""
         columns: dict[Node, str] = {g: f"g{i}" for i, g in enumerate(grain)}
         if by is not None:
@@ -850,7 +875,7 @@ class Planner:
             return self.aggregates(own, list(keys), where).selectExpr(*(f"k{i} as `{columns[k]}`" for i, k in enumerate(keys)), *(f"a{i} as `{columns[n]}`" for i, n in enumerate(own)))
 
         results = [stream(keys, own) for (keys, _, _), own in whole]
-        df = self.distinct(grain, where) if not results else results[0] if len(results) == 1 else merged(results, [columns[g] for g in grain])
+        df = self.distinct(grain, where, loose) if not results else results[0] if len(results) == 1 else merged(results, [columns[g] for g in grain])
         for (keys, _, _), own in parts:
             df = align(df, stream(keys, own), [columns[k] for k in keys])
         zero = [columns[n] for n in aggs if n.name in COUNTS]
@@ -858,7 +883,7 @@ class Planner:
             df = df.fillna(0, subset=zero)
         return df, columns
 
-    def distinct(self, grain: list[Node], where: list) -> DataFrame:
+    def distinct(self, grain: list[Node], where: list, loose: bool = False) -> DataFrame:
         """The distinct rows of the grain's expressions (R1); no distinct where the rows' own key is among them."""
         if not grain:
             return self.spark.range(1).select(F.lit(1).alias("__one"))
@@ -871,7 +896,7 @@ class Planner:
             frame, g = self.ready(frame, g, where, [])
             made.append(g)
         df = frame.df.select(*(self.compile(g, frame.df, frame.columns).alias(f"g{i}") for i, g in enumerate(made)))
-        return df if frame.unique and frame.unique <= refs and not frame.unique & frame.padded and not generated else df.distinct()
+        return df if loose or frame.unique and frame.unique <= refs and not frame.unique & frame.padded and not generated else df.distinct()
 
     def subselect(self, frame: Frame, n: Node, dims: list[Node], put: dict) -> tuple[Frame, Node]:
         """The values of an expression as an ordered array, for each value of the outputs that it shares rows with."""
@@ -924,16 +949,19 @@ class Planner:
 
     def multiselect(self, q: dict) -> DataFrame:
         """Selects that are joined in full on aligned columns, null-safely, each with all before it."""
-        out, known = None, [n for n, _ in q["align"]]
+        out, known, alone = None, [n for n, _ in q["align"]], True
         for arm in q["arms"]:
             df = self.select(arm, nested=True)
             put = {column_name(m): column_name(n) for n, ms in q["align"] for m in ms}
             df = df.select(*(F.col(c).alias(put.get(c, c)) for c in df.columns))
             on = [column_name(n) for n in known if column_name(n) in df.columns]
+            dims = [put.get(column_name(a), column_name(a)) for a, x, _ in arm.get("items", []) if not any(n.kind in ("agg", "win") for n in self.own(self.expand(x)))]
+            alone = alone and sorted(dims) == sorted(on) == sorted(map(column_name, known))  # a row for each value of the keys
             if out is None:
                 out = df
-            else:
-                out = full(out, df.drop(*(c for c in df.columns if c in out.columns and c not in on)), on)
+                continue
+            df = df.drop(*(c for c in df.columns if c in out.columns and c not in on))
+            out = merged([out, df], on) if alone else full(out, df, on)
         columns = {c.replace("__", "."): c for c in out.columns} | {c: c for c in out.columns}
         for name, x in q["derive"]:
             out = out.withColumn(column_name(name), self.compile(x, out, columns))

@@ -71,7 +71,7 @@ add(
     order by l_returnflag, l_linestatus;""",
     """select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice), 2) as sum_base_price, round(sum(l_extendedprice * (1 - l_discount)), 2) as sum_disc_price,
     round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) as sum_charge, round(avg(l_quantity), 4) as avg_qty, round(avg(l_extendedprice), 4) as avg_price, round(avg(l_discount), 4) as avg_disc, count(*) as count_order
-    from lineitem where l_shipdate <= timestamp '1998-09-02' group by all""",
+    from lineitem where l_shipdate <= timestamp '1998-09-02' group by all order by l_returnflag, l_linestatus""",
 )
 add(
     "q3_shipping",
@@ -85,7 +85,7 @@ add(
     """where region.name = 'ASIA' and nation.id = supplier.nation and orders.date between '1996-01-01'::datetime and '1998-12-31'::datetime
     select nation.name as n_name, round(revenue, 2) as revenue_ order by revenue_ desc;""",
     """select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue_ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey
-    join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA' and s_nationkey = n_nationkey and o_orderdate between timestamp '1996-01-01' and timestamp '1998-12-31' group by n_name""",
+    join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where r_name = 'ASIA' and s_nationkey = n_nationkey and o_orderdate between timestamp '1996-01-01' and timestamp '1998-12-31' group by n_name order by revenue_ desc""",
 )
 add(
     "q6_forecast",
@@ -109,7 +109,7 @@ add(
     "q18_large",
     """where sum(line.quantity) by orders.id > 200 select customer.name as c_name, orders.id as o_orderkey, orders.total as o_totalprice, sum(line.quantity) as qty order by o_totalprice desc, o_orderkey;""",
     """select c_name, o_orderkey, o_totalprice, sum(l_quantity) as qty from customer join orders on c_custkey = o_custkey join lineitem on o_orderkey = l_orderkey
-    where o_orderkey in (select l_orderkey from lineitem group by 1 having sum(l_quantity) > 200) group by all""",
+    where o_orderkey in (select l_orderkey from lineitem group by 1 having sum(l_quantity) > 200) group by all order by o_totalprice desc, o_orderkey""",
 )
 add("select_grain", "select orders.status, orders.priority;", "select distinct o_orderstatus as orders__status, o_orderpriority as orders__priority from orders")
 add("hidden_output", "select orders.status as status, --orders.priority;", "select o_orderstatus as status from (select distinct o_orderstatus, o_orderpriority from orders)")
@@ -211,26 +211,26 @@ add("made_up_rows", "mock datasources customer, orders; select count(customer.id
 
 # More of the shapes that the tables allow.
 add("q4_priority", "where orders.date >= '1997-01-01'::datetime and orders.date < '1997-07-01'::datetime and orders.id in (select orders.id where line.quantity > 45) select orders.priority as o_orderpriority, order_count as n order by o_orderpriority;",
-    "select o_orderpriority, count(*) as n from orders where o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1997-07-01' and o_orderkey in (select l_orderkey from lineitem where l_quantity > 45) group by 1")
+    "select o_orderpriority, count(*) as n from orders where o_orderdate >= timestamp '1997-01-01' and o_orderdate < timestamp '1997-07-01' and o_orderkey in (select l_orderkey from lineitem where l_quantity > 45) group by 1 order by 1")
 add("q7_volume", "self import as twin; merge supplier.nation into ~twin.nation.id; where line.shipped between '1996-01-01'::datetime and '1997-12-31'::datetime and (twin.nation.name = 'FRANCE' and nation.name = 'GERMANY' or twin.nation.name = 'GERMANY' and nation.name = 'FRANCE') select twin.nation.name as supp_nation, nation.name as cust_nation, year(line.shipped) as l_year, round(revenue, 2) as revenue_ order by supp_nation, cust_nation, l_year;",
     """select n1.n_name as supp_nation, n2.n_name as cust_nation, year(l_shipdate) as l_year, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue_ from lineitem join supplier on l_suppkey = s_suppkey join orders on l_orderkey = o_orderkey
     join customer on o_custkey = c_custkey join nation n1 on s_nationkey = n1.n_nationkey join nation n2 on c_nationkey = n2.n_nationkey where l_shipdate between timestamp '1996-01-01' and timestamp '1997-12-31'
-    and (n1.n_name = 'FRANCE' and n2.n_name = 'GERMANY' or n1.n_name = 'GERMANY' and n2.n_name = 'FRANCE') group by all""")
+    and (n1.n_name = 'FRANCE' and n2.n_name = 'GERMANY' or n1.n_name = 'GERMANY' and n2.n_name = 'FRANCE') group by all order by 1, 2, 3""")
 add("q8_share", "self import as twin; merge supplier.nation into ~twin.nation.id; where region.name = 'EUROPE' and orders.date between '1995-01-01'::datetime and '1998-12-31'::datetime and line.revenue is not null select year(orders.date) as o_year, round(sum(line.revenue ? twin.nation.name = 'FRANCE') / sum(line.revenue), 6) as mkt_share order by o_year;",
     """select year(o_orderdate) as o_year, round(sum(case when n1.n_name = 'FRANCE' then l_extendedprice * (1 - l_discount) end) / sum(l_extendedprice * (1 - l_discount)), 6) as mkt_share from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
-    join nation n2 on c_nationkey = n2.n_nationkey join region on n2.n_regionkey = r_regionkey left join supplier on l_suppkey = s_suppkey left join nation n1 on s_nationkey = n1.n_nationkey where r_name = 'EUROPE' and o_orderdate between timestamp '1995-01-01' and timestamp '1998-12-31' group by 1""")
+    join nation n2 on c_nationkey = n2.n_nationkey join region on n2.n_regionkey = r_regionkey left join supplier on l_suppkey = s_suppkey left join nation n1 on s_nationkey = n1.n_nationkey where r_name = 'EUROPE' and o_orderdate between timestamp '1995-01-01' and timestamp '1998-12-31' group by 1 order by 1""")
 add("q9_profit", "where part.name like '%e%' and line.price is not null select supplier.nation as s_nation, year(orders.date) as o_year, round(sum(line.revenue - line.quantity), 2) as profit order by s_nation, o_year desc;",
-    "select s_nationkey as s_nation, year(o_orderdate) as o_year, round(sum(l_extendedprice * (1 - l_discount) - l_quantity), 2) as profit from lineitem join part on l_partkey = p_partkey left join orders on l_orderkey = o_orderkey left join supplier on l_suppkey = s_suppkey where p_name like '%e%' group by 1, 2")
+    "select s_nationkey as s_nation, year(o_orderdate) as o_year, round(sum(l_extendedprice * (1 - l_discount) - l_quantity), 2) as profit from lineitem join part on l_partkey = p_partkey left join orders on l_orderkey = o_orderkey left join supplier on l_suppkey = s_suppkey where p_name like '%e%' group by 1, 2 order by 1 nulls last, 2 desc")
 add("q10_returned", "where line.flag = 'R' and orders.date >= '1997-01-01'::datetime select customer.id as c_custkey, customer.name as c_name, customer.acctbal as c_acctbal, nation.name as n_name, round(revenue, 2) as revenue_ order by revenue_ desc, c_custkey limit 20;",
     """select c_custkey, c_name, c_acctbal, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue_ from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey left join nation on c_nationkey = n_nationkey
     where l_returnflag = 'R' and o_orderdate >= timestamp '1997-01-01' group by all order by revenue_ desc, c_custkey limit 20""")
 add("q12_modes", "where line.shipped >= '1997-01-01'::datetime and line.shipped < '1998-01-01'::datetime select line.status as l_linestatus, count(line.row ? orders.priority in ('1-URGENT', '2-HIGH')) as high, count(line.row ? orders.priority not in ('1-URGENT', '2-HIGH')) as low order by l_linestatus;",
-    "select l_linestatus, count(case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1 end) as high, count(case when o_orderpriority not in ('1-URGENT', '2-HIGH') or o_orderpriority is null then 1 end) as low from lineitem left join orders on l_orderkey = o_orderkey where l_shipdate >= timestamp '1997-01-01' and l_shipdate < timestamp '1998-01-01' group by 1")
+    "select l_linestatus, count(case when o_orderpriority in ('1-URGENT', '2-HIGH') then 1 end) as high, count(case when o_orderpriority not in ('1-URGENT', '2-HIGH') or o_orderpriority is null then 1 end) as low from lineitem left join orders on l_orderkey = o_orderkey where l_shipdate >= timestamp '1997-01-01' and l_shipdate < timestamp '1998-01-01' group by 1 order by 1")
 add("q15_top_supplier", "with sold as where line.shipped >= '1997-01-01'::datetime and line.shipped < '1997-04-01'::datetime select supplier.id as sid, supplier.name as s_name, round(revenue, 2) as total; where sold.total = (select max(sold.total) as t) select sold.sid as s_suppkey, sold.s_name as s_name, sold.total as total_revenue;",
     """with r as (select s_suppkey, s_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as total_revenue from lineitem join supplier on l_suppkey = s_suppkey where l_shipdate >= timestamp '1997-01-01' and l_shipdate < timestamp '1997-04-01' group by 1, 2)
     select * from r where total_revenue = (select max(total_revenue) from r)""")
 add("q16_suppliers", "where part.size in (1, 5, 9, 14, 23, 36, 45, 49) and part.type not like 'PROMO%' and line.quantity is not null select part.brand as p_brand, part.type as p_type, part.size as p_size, count(supplier.id) as n order by n desc, p_brand, p_type, p_size;",
-    "select p_brand, p_type, p_size, count(distinct l_suppkey) as n from lineitem join part on l_partkey = p_partkey where p_size in (1, 5, 9, 14, 23, 36, 45, 49) and p_type not like 'PROMO%' group by 1, 2, 3")
+    "select p_brand, p_type, p_size, count(distinct l_suppkey) as n from lineitem join part on l_partkey = p_partkey where p_size in (1, 5, 9, 14, 23, 36, 45, 49) and p_type not like 'PROMO%' group by 1, 2, 3 order by n desc, 1, 2, 3")
 add("q17_small", "where part.size < 10 and line.quantity < 0.6 * avg(line.quantity) by part.id select round(sum(line.price) / 7.0, 4) as avg_yearly;",
     "select round(sum(l_extendedprice) / 7.0, 4) as avg_yearly from lineitem l join part on l_partkey = p_partkey where p_size < 10 and l_quantity < 0.6 * (select avg(l_quantity) from lineitem m where m.l_partkey = l.l_partkey)")
 add("q19_disjunction", "where part.size between 1 and 5 and line.quantity between 1 and 11 or part.size between 1 and 10 and line.quantity between 10 and 20 or part.size between 1 and 15 and line.quantity between 20 and 30 select round(revenue, 2) as revenue_;",
