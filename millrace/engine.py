@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from .lang.parser import LanguageError, Node, Statement, parse
 from .operators.recursion import terminal_ancestors
-from .operators.validate import datasource_checks
+from .operators.validate import datasource_checks, declared_joins
 from .plans.frame import column_name
 from .plans.model import Concept, Datasource, Model
 from .plans.planner import Planner, conjuncts
+from .runtime import Environment, Hooks, Policy, collect
 from .sources.mock import mocked
-from .sources.readers import read_files, read_parquet, write_files
+from .sources import introspect
+from .sources.readers import read_files, read_parquet, read_script, request, write_files, write_slices
 
 #: Where a model's imports are looked up; set by the engine's caller.
 STD = Path(__file__).parent / "std"
@@ -26,11 +28,15 @@ STD = Path(__file__).parent / "std"
 class Engine:
     """One model bound to a session. run() executes statements in order and returns the selects' DataFrames."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, tables: str | None = None, parameters: dict | None = None):
-        """root: the folder of imports; tables: the folder of <table>.parquet that plain addresses are first looked for in."""
+    def __init__(self, spark: SparkSession, root: str | None = None, tables: str | None = None, parameters: dict | None = None, hooks: Hooks | None = None, environment: str | None = None):
+        """root: the folder of imports; tables: the folder of <table>.parquet that plain addresses are first looked for in;
+        hooks: callbacks; environment: a prefix for the tables that are written, which are read in place of the others.
+        """
         self.spark, self.root, self.tables, self.parameters = spark, root, tables, parameters or {}
+        self.hooks = hooks or Hooks()
+        self.environment = Environment(spark, environment) if environment else None
         self.model = Model()
-        self.planner = Planner(spark, self.model)
+        self.planner = Planner(spark, self.model, self.hooks)
         self.frames: dict[str, DataFrame] = {}
         self.written: set[str] = set()
 
@@ -39,12 +45,41 @@ class Engine:
         self.frames[address] = df if isinstance(df, DataFrame) else self.spark.createDataFrame(df)
 
     def run(self, text: str) -> list[DataFrame]:
-        out = []
-        for s in parse(text):
-            got = getattr(self, f"do_{s.kind}")(**s.data)
-            if got is not None:
-                out.append(got)
-        return out
+        return [x for s in parse(text) if (x := self.execute(s)) is not None]
+
+    def execute(self, statement: Statement) -> DataFrame | None:
+        """One statement, parsed or made by the builder."""
+        self.hooks.call("statement", statement)
+        got = getattr(self, f"do_{statement.kind}")(**statement.data)
+        if got is not None:
+            self.hooks.call("result", statement, got)
+        return got
+
+    def collect(self, text: str, policy: Policy | None = None) -> list:
+        """The rows of a text's last select, under a time limit and with retries."""
+        return collect(self.query(text), policy or Policy())
+
+    def table(self, name: str) -> str:
+        """The name under which a table is written."""
+        return self.environment.write(name) if self.environment else name
+
+    def sample(self, datasource: str, rows: int = 10_000) -> DataFrame:
+        return introspect.sample(self.planner.scan(datasource).df, rows)
+
+    def summary(self, text: str) -> DataFrame:
+        """For each column of a select's result, without its limit: rows, nulls, distinct values, least and greatest."""
+        statement = parse(text)[-1]
+        whole = {k: None if k == "limit" else v for k, v in statement.data["select"].items()}
+        for s in parse(text)[:-1]:
+            self.execute(s)
+        return introspect.summary(self.planner.select(whole))
+
+    def scopes(self, text: str) -> DataFrame:
+        """name, kind, grain, population and datasources of each output of a text's last select."""
+        *before, last = parse(text)
+        for s in before:
+            self.execute(s)
+        return self.spark.createDataFrame(self.planner.scopes(last.data["select"]), "name string, kind string, grain array<string>, population string, datasources array<string>")
 
     def query(self, text: str) -> DataFrame:
         return self.run(text)[-1]
@@ -69,7 +104,8 @@ class Engine:
         where = next((p for p in places if p.exists()), None)
         if where is None:
             raise LanguageError(f"no model {path}")
-        inner = Engine(self.spark, str(where.parent), self.tables, self.parameters)
+        inner = Engine(self.spark, str(where.parent), self.tables, self.parameters, self.hooks)
+        inner.environment = self.environment
         inner.frames, inner.written = self.frames, self.written
         inner.run(where.read_text())
         if lost := [n for n in names or () if n not in inner.model.concepts and n not in inner.model.macros and n not in inner.model.types]:
@@ -175,7 +211,10 @@ class Engine:
             bound[self.model.canonical(concept)] = (column, marks)
         aggregates = {c: self.model.concepts[c].lineage for c in bound if self.model.concepts[c].lineage is not None and self.model.concepts[c].purpose == "metric"}
         keys = frozenset(self.model.canonical(g) for g in grain) if grain is not None else frozenset(k for c in bound for k in self.model.natural_keys(c))
-        self.model.datasources[name] = Datasource(name, bound, keys, self.loader(name, source), d.get("partial", False), d.get("where"), d.get("complete"), aggregates, write_to=d.get("write") or (source[1] if source and source[0] == "table" else source[1][0] if source and source[0] == "file" else None), incremental=d.get("incremental"), partition=d.get("partition") or [], published=d.get("published", True), root=d.get("root", False), freshness=d.get("freshness"), within=d.get("within", "0 second"), refresh=d.get("refresh"))
+        push = None
+        if source and source[0] == "file" and source[1][0].endswith(".py"):
+            push = lambda columns, filters: read_script(self.spark, source[1][0].replace("{tables}", self.tables or "."), request(columns, filters))
+        self.model.datasources[name] = Datasource(name, bound, keys, self.loader(name, source), d.get("partial", False), d.get("where"), d.get("complete"), aggregates, write_to=d.get("write") or (source[1] if source and source[0] == "table" else source[1][0] if source and source[0] == "file" else None), incremental=d.get("incremental"), partition=d.get("partition") or [], published=d.get("published", True), root=d.get("root", False), freshness=d.get("freshness"), within=d.get("within", "0 second"), refresh=d.get("refresh"), push=push)
         if d.get("partial") and d.get("complete") is not None:
             self.union_partitions(keys)
 
@@ -210,6 +249,8 @@ class Engine:
                 return read_files(self.spark, [v.replace("{tables}", self.tables or ".") for v in value])
             if value in self.frames:
                 return self.frames[value]
+            if self.environment and (own := self.environment.read(value)) != value:
+                return self.spark.table(own)
             if self.tables and value not in self.written:
                 return read_parquet(self.spark, f"{self.tables}/{value}.parquet")
             return self.spark.table(value)
@@ -256,19 +297,9 @@ class Engine:
 
     def do_persist(self, name: str, into: str | None, by: list, mode: str, select: dict) -> None:
         df = self.planner.select(select)
-        table = into or name
+        table = self.table(into or name)
         if by:
-            keys = [column_name(b) for b in by]
-            w = df.write.partitionBy(*keys).format("parquet")
-            if self.spark.catalog.tableExists(table):  # only the slices that the rows have are replaced
-                before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-                self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-                try:
-                    df.select(*self.spark.table(table).columns).write.mode("overwrite").insertInto(table)
-                finally:
-                    self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
-            else:
-                w.saveAsTable(table)
+            write_slices(self.spark, df, table, [column_name(b) for b in by])
         else:
             df.write.mode(mode).format("parquet").saveAsTable(table)
         self.bind_result(name, table, select)
@@ -305,9 +336,9 @@ class Engine:
             from .functions.scalar import spark_type
 
             df = self.spark.createDataFrame([], ", ".join(f"`{e.name}` {spark_type(self.model.concepts[c].type or 'string')}" for c, e in frame_columns.items()))
-        if mode == "ignore" and self.spark.catalog.tableExists(d.write_to):
+        if mode == "ignore" and self.spark.catalog.tableExists(self.table(d.write_to)):
             return
-        df.write.mode("overwrite" if mode == "overwrite" else "error").saveAsTable(d.write_to)
+        df.write.mode("overwrite" if mode == "overwrite" else "error").saveAsTable(self.table(d.write_to))
 
     def do_publish(self, name: str, on: bool) -> None:
         self.model.datasources[name].published = on
@@ -321,6 +352,8 @@ class Engine:
         return self.spark.createDataFrame([(df._jdf.queryExecution().toString(),)], "plan string")
 
     def do_validate(self, what: str, names: list) -> DataFrame:
+        if what == "joins":
+            return declared_joins(self.planner)
         return datasource_checks(self.planner, names if what == "datasources" else [])
 
     def do_call(self, program: str, select: dict | None) -> None:
@@ -355,7 +388,7 @@ class Engine:
         if "/" in d.write_to:
             write_files(df, d.write_to.rsplit(".", 1)[-1], d.write_to, mode=mode)
         else:
-            df.write.mode(mode).saveAsTable(d.write_to)
+            df.write.mode(mode).saveAsTable(self.table(d.write_to))
             self.written.add(d.write_to)
         if not d.published:
             self.model.datasources[name] = replace(d, published=True)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.frame import column_name
@@ -51,3 +52,49 @@ def datasource_checks(planner, names: list[str] = ()) -> DataFrame:
                     lost = f.df.select(f.col(k).alias("k")).where("k is not null").distinct().join(frame.df.select(frame.col(k).alias("k")), "k", "left_anti")
                     out.append(lost.agg(F.count("*").alias("failures")).select(F.lit(name).alias("datasource"), F.lit(f"domain of {other}").alias("check"), F.lit(k).alias("subject"), "failures"))
     return reduce(DataFrame.union, out)
+
+
+def declared_joins(planner) -> DataFrame:
+    """subset, whole, failures: for each declared relation between keys of different names, the values of the one that the other lacks (both directions where they are declared equal)."""
+    model, out = planner.model, []
+    for name, of in sorted(model.same.items()):
+        anchor = model.canonical(of)
+        sides = [d for d in sorted(model.datasources.values(), key=lambda d: d.name) if anchor in d.columns and not d.rowset]
+        for part in (d for d in sides if "~" in d.columns[anchor][1]):
+            for whole in (d for d in sides if "~" not in d.columns[anchor][1]):
+                out.append(missing_values(planner, part, whole, anchor, name))
+        full = [d for d in sides if "~" not in d.columns[anchor][1]]
+        out += [missing_values(planner, a, b, anchor, name) for a in full for b in full if a is not b]
+    if not out:
+        return planner.spark.createDataFrame([], "subset string, whole string, relation string, failures long")
+    return reduce(DataFrame.union, out)
+
+
+def missing_values(planner, part, whole, key: str, relation: str) -> DataFrame:
+    a, b = planner.scan(part.name), planner.scan(whole.name)
+    lost = a.df.select(a.col(key).alias("k")).where("k is not null").distinct().join(b.df.select(b.col(key).alias("k")), "k", "left_anti")
+    return lost.agg(F.count("*").alias("failures")).select(F.lit(part.name).alias("subset"), F.lit(whole.name).alias("whole"), F.lit(f"{relation} in {key}").alias("relation"), "failures")
+
+
+def differences(got: DataFrame, want: DataFrame, tolerance: float = 1e-9, ordered: bool = False) -> DataFrame:
+    """Rows of either side that the other lacks, with their number there (n_got, n_want); empty if the results match.
+
+    Columns go by position. Floats are compared after rounding to as many digits as a relative tolerance keeps; with
+    ordered, the rows' places count, too.
+    """
+    if len(got.columns) != len(want.columns):
+        raise ValueError(f"{len(got.columns)} columns against {len(want.columns)}")
+    names = [f"c{i}" for i in range(len(got.columns))]
+    digits = max(1, round(-math.log10(tolerance)))
+
+    def plain(df: DataFrame) -> DataFrame:
+        kinds = [f.dataType.typeName() for f in df.schema]
+        df = df.toDF(*names)
+        cols = [F.format_string(f"%.{digits}g", F.col(c).cast("double")) if k in ("double", "float", "decimal") else F.col(c).cast("string") for c, k in zip(names, kinds, strict=True)]
+        at = [F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place")] if ordered else []
+        return df.select(*(x.alias(c) for x, c in zip(cols, names, strict=True)), *at)
+
+    keys = [*names, "place"] if ordered else names
+    both = plain(got).withColumn("side", F.lit(1)).unionByName(plain(want).withColumn("side", F.lit(0)))
+    counts = both.groupBy(*keys).agg(F.sum("side").alias("n_got"), F.sum(1 - F.col("side")).alias("n_want"))
+    return counts.where("n_got != n_want")

@@ -50,6 +50,8 @@ class Datasource:
     freshness: str | None = None
     within: str = "0 second"
     refresh: str | None = None
+    #: For programs: the table, narrowed to columns and by (column, operator, value) conditions that rows are tested for again.
+    push: Callable[[list, list], DataFrame] | None = None
 
     def is_partial(self, concept: str) -> bool:
         return self.partial or "~" in self.columns.get(concept, (None, ""))[1]

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar
+from ..lang.render import expr as render
 from ..lang.parser import LanguageError, Node
 from .frame import Frame, align, column_name, cross, full, join, merged
 from .model import Concept, Datasource, Model
@@ -122,8 +123,8 @@ def allowed(x: Node) -> tuple | None:
 
 
 class Planner:
-    def __init__(self, spark: SparkSession, model: Model):
-        self.spark, self.model = spark, model
+    def __init__(self, spark: SparkSession, model: Model, hooks=None):
+        self.spark, self.model, self.hooks = spark, model, hooks
         self.numbers = count()
         self.eligible: set[str] | None = None
         self.scoped: dict[str, str] = {}
@@ -198,7 +199,9 @@ class Planner:
             return Frame(self.spark.range(1).select(F.lit(True).alias("one__row")), {}, frozenset())
         demanded = need if demanded is None else demanded
         parts = self.components(need, list(where), demanded)
-        return reduce(cross, (self.joined(p, demanded) for p in parts))
+        if self.hooks:
+            self.hooks.call("sources", [n for p in parts for n in p])
+        return reduce(cross, (self.joined(p, demanded, list(where)) for p in parts))
 
     def components(self, need: set[str], where: list[Node], demanded: set[str]) -> list[list[str]]:
         chosen = self.cover(need, where, demanded)
@@ -261,9 +264,20 @@ class Planner:
                 return sorted({*found, *single})
         raise LanguageError(f"nothing connects {sorted(need)}; a cross join is not made silently")
 
-    def scan(self, name: str) -> Frame:
+    def asked(self, d: Datasource, where: list[Node]) -> tuple[list[str], list[tuple]]:
+        """What a program is asked for: the columns that are bound, and the simple conditions on them."""
+        columns = sorted({n.name for e, _ in d.columns.values() if isinstance(e, Node) for n in e.walk() if n.kind == "ref"})
+        filters = []
+        for a in where:
+            if a.kind == "call" and a.name in ("=", "<", ">", "<=", ">=") and a.args[0].kind == "ref" and a.args[1].kind == "lit" and a.args[0].name in d.columns:
+                bound = d.columns[a.args[0].name][0]
+                if isinstance(bound, Node) and bound.kind == "ref":
+                    filters.append((bound.name, a.name, a.args[1].name))
+        return columns, filters
+
+    def scan(self, name: str, where: list[Node] = ()) -> Frame:
         d = self.model.datasources[name]
-        df = d.load()
+        df = d.push(*self.asked(d, where)) if d.push else d.load()
         if d.where is not None:
             df = df.where(self.compile_physical(self.physical(d.where, d), df))
         cols = {}
@@ -300,17 +314,17 @@ class Planner:
             return F.col(x.name)
         return self.compile(x, df, {r.name: r.name for r in x.walk() if r.kind == "ref"})
 
-    def joined(self, names: list[str], demanded: set[str]) -> Frame:
+    def joined(self, names: list[str], demanded: set[str], where: list[Node] = ()) -> Frame:
         """The datasources joined from the finest to the coarsest."""
         order = sorted(names, key=lambda n: (-len(self.model.closure(self.model.datasources[n].grain) & frozenset(k for o in names for k in self.model.datasources[o].grain)), n))
-        out = self.scan(order[0])
+        out = self.scan(order[0], where)
         rest = order[1:]
         while rest:
             for n in rest:
                 d = self.model.datasources[n]
                 on = [k for k in out.columns if k in d.columns and not self.model.concepts[k].is_row and (self.model.concepts[k].purpose == "key" or k in d.grain)]
                 if on:
-                    frame = self.scan(n)
+                    frame = self.scan(n, where)
                     out = join(out, frame, on, self.model.minimal, self.lookups(out, frame, on, demanded))
                     rest.remove(n)
                     break
@@ -624,6 +638,30 @@ class Planner:
             self.model.concepts, self.model.datasources, self.model.same = kept[2:]
             self.probes, self.held, self.model.memo = outer
 
+    def scopes(self, q: dict) -> list[tuple]:
+        """For each output: its name, what it is, the keys that it has a value for, the conditions its rows have passed, and the datasources of its rows."""
+        stages = [conjuncts(self.expand(w)) for w in q["where"]]
+        atoms = [a for s in stages for a in s]
+        items = [(a, self.expand(x)) for a, x, _ in q["items"]]
+        shaped = lambda x: next((n for n in self.own(x) if n.kind in ("agg", "win", "scalar", "subselect")), None)
+        dims = [x for _, x in items if shaped(x) is None]
+        result = sorted(self.model.minimal(frozenset(k for d in dims for k in self.grain_of(d))))
+        population = " and ".join(render(a) for a in atoms) or "all rows"
+        out = []
+        for name, x in items:
+            n = shaped(x)
+            if n is None:
+                kind, grain, need = "dimension", sorted(self.model.minimal(self.grain_of(x))), self.roots(x)
+            elif n.kind == "agg":
+                kind = "aggregate"
+                grain = sorted({k for y in n.extra[0] for k in self.grain_of(y)}) if n.extra else result
+                need = {r for y in (*n.args, *(n.extra[0] if n.extra else dims)) for r in self.roots(y)}
+            else:
+                kind, grain, need = {"win": "window", "scalar": "value of a select", "subselect": "array"}[n.kind], result, {r for y in (*n.args, *dims) for r in self.roots(y)}
+            every = need | {r for a in atoms for r in self.roots(a)}
+            out.append((name, kind, grain, population, self.cover(every, atoms, need) if every else []))
+        return out
+
     def scoped_join(self, kind: str, chain: list[Node]) -> None:
         """subset join: the first is contained in the last, which anchors; union join: neither contains the other."""
         names = [self.join_key(x) for x in chain]

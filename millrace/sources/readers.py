@@ -105,3 +105,15 @@ def write_files(df: DataFrame, kind: str, path: str, options: dict | None = None
         w.parquet(path)
     else:
         raise ValueError(f"can't write {kind}")
+
+
+def write_slices(spark: SparkSession, df: DataFrame, table: str, keys: list[str]) -> None:
+    """Writes rows to a table by slices of keys: the slices that the rows have are replaced, the others stay."""
+    if not spark.catalog.tableExists(table):
+        df.write.partitionBy(*keys).format("parquet").saveAsTable(table)
+        return
+    at = next(r[1] for r in spark.sql(f"describe formatted {table}").collect() if r[0] == "Location")
+    df = df.select(*spark.table(table).columns)
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(at)
+    spark.sql(f"msck repair table {table}")
+    spark.catalog.refreshTable(table)
