@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.scalar import spark_type
 from .lang.parser import LanguageError, Node, Statement, parse
 from .operators.recursion import terminal_ancestors
 from .operators.validate import datasource_checks, declared_joins
@@ -246,7 +247,7 @@ class Engine:
             if kind == "query":
                 return self.spark.sql(value)
             if kind == "file":
-                return read_files(self.spark, [v.replace("{tables}", self.tables or ".") for v in value])
+                return read_files(self.spark, [v.replace("{tables}", self.tables or ".") for v in value], types=self.declared(name))
             if value in self.frames:
                 return self.frames[value]
             if self.environment and (own := self.environment.read(value)) != value:
@@ -257,6 +258,17 @@ class Engine:
 
         return load
 
+    def declared(self, name: str) -> dict[str, str | None]:
+        """The types of a datasource's columns, None for a column whose concept has none or that is part of an expression."""
+        out: dict[str, str | None] = {}
+        for c, (e, _) in self.model.datasources[name].columns.items():
+            if isinstance(e, Node) and e.kind == "ref":
+                kind = self.model.concepts[c].type
+                out[e.name] = spark_type(kind) if kind and kind not in ("rowid", "any") else None
+            else:
+                out["*"] = None
+        return out
+
     def do_merge(self, into: str, partial: bool, **d) -> None:
         a = d["from"]
         if a.endswith(".*"):
@@ -333,8 +345,6 @@ class Engine:
         if data:
             df = self.planner.result([(e.name, Node("ref", c), False) for c, e in frame_columns.items()], [], None, [])
         else:
-            from .functions.scalar import spark_type
-
             df = self.spark.createDataFrame([], ", ".join(f"`{e.name}` {spark_type(self.model.concepts[c].type or 'string')}" for c, e in frame_columns.items()))
         if mode == "ignore" and self.spark.catalog.tableExists(self.table(d.write_to)):
             return

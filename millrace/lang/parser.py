@@ -69,6 +69,9 @@ class Statement:
 class Parser:
     def __init__(self, text: str):
         self.tokens: list[tuple[str, str]] = []
+        #: Comments, each with the place of the token after it; the place of each statement's first token.
+        self.comments: list[tuple[int, str]] = []
+        self.begins: list[int] = []
         at = 0
         while at < len(text):
             m = TOKEN.match(text, at)
@@ -77,6 +80,8 @@ class Parser:
             at = m.end()
             if m.lastgroup != "skip":
                 self.tokens.append((m.lastgroup, m[0]))
+            elif not m[0].isspace():
+                self.comments.append((len(self.tokens), m[0].rstrip()))
         self.tokens.append(("end", ""))
         self.at = 0
 
@@ -540,7 +545,9 @@ class Parser:
         while self.peek() != "<end>":
             if self.accept(";"):
                 continue
+            first = self.at
             out.append(self.statement())
+            self.begins.append(first)
             if self.peek() != "<end>":
                 self.expect(";")
         return out

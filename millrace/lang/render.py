@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from .parser import Node, Statement, TypeName, parse
+from .parser import Node, Parser, Statement, TypeName, parse
 
 #: How tightly operators bind, the loosest first.
 BINDS = {"or": 1, "and": 2, "not": 3, "=": 5, "!=": 5, "<": 5, ">": 5, "<=": 5, ">=": 5, "like": 5, "ilike": 5, "between": 5, "is_null": 5, "is_not_distinct": 5, "add": 6, "subtract": 6, "concat_strict": 6, "multiply": 7, "divide": 7, "mod": 7, "power": 8}
@@ -250,5 +250,14 @@ def render(statements: list[Statement]) -> str:
 
 
 def formatted(text: str) -> str:
-    """text in the one layout, its comments left out."""
-    return render(parse(text))
+    """text in the one layout. A comment stands before the statement that it stood before or in; the last ones at the end."""
+    parser = Parser(text)
+    made = parser.statements()
+    out, left = [], list(parser.comments)
+    for s, after in zip(made, [*parser.begins[1:], None], strict=True):
+        end = len(parser.tokens) - 1 if after is None else after
+        # a comment right before the next statement comes after the semicolon, whose token is the one before
+        here = [c for at, c in left if at < end]
+        left = left[len(here) :]
+        out += [c + "\n" for c in here] + [statement_text(s) + ";\n"]
+    return "".join(out + [c + "\n" for _, c in left])

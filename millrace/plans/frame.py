@@ -40,6 +40,7 @@ def join(a: Frame, b: Frame, on: list[str], minimal, lookup: frozenset[str] = fr
     meet; what an outer join filled in never does. lookup ("a", "b"): sides whose rows without a partner hold nothing
     that is asked for, which are not preserved.
     """
+    every, on = on, [k for k in on if k in minimal(frozenset(on))]  # keys that others determine need no comparison
     keep_a = "a" not in lookup and any(k in b.partial or k in a.nulls | a.padded for k in on)
     keep_b = "b" not in lookup and any(k in a.partial or k in b.nulls | b.padded for k in on)
     how = "full" if keep_a and keep_b else "left" if keep_a else "right" if keep_b else "inner"
@@ -50,14 +51,14 @@ def join(a: Frame, b: Frame, on: list[str], minimal, lookup: frozenset[str] = fr
     out = a.df.join(right, F.expr(" and ".join(f"{pair(k)[0]} {'<=>' if k in values else '='} {pair(k)[1]}" for k in on)), how)
     take = {}
     for c, name in {**b.columns, **a.columns}.items():
-        if c in on:
+        if c in every:
             x, y = pair(c)
             take[c] = f"{f'coalesce({x}, {y})' if how == 'full' else y if how == 'right' else x} as `{name}`"
         else:
             take[c] = f"`{name}`" if c in a.columns else f"`r__{name}` as `{name}`"
     names = {c: a.columns.get(c) or b.columns[c] for c in take}
     keys = a.unique if b.unique <= frozenset(on) else b.unique if a.unique <= frozenset(on) else a.unique | b.unique
-    shared = frozenset(on)
+    shared = frozenset(every)
     narrow = lambda k: how != "full" if k in a.partial & b.partial else not keep_b if k in a.partial else not keep_a
     partial = frozenset(k for k in a.partial | b.partial if k not in shared or narrow(k))
     from_a, from_b = how != "right", how in ("right", "full")

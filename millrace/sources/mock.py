@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
+import string
 from dataclasses import replace
+from itertools import count
+from re import _parser as re_parser
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import spark_type
-from ..lang.parser import Node
+from ..lang.parser import LanguageError, Node
 from ..plans.frame import column_name
 from ..plans.model import Concept, Datasource, Model
 
 
 def mocked(spark: SparkSession, model: Model, d: Datasource, rows: int) -> Datasource:
     """d over `rows` made-up rows. Keys of its grain number the rows (as digits where there are several); other keys are
-    drawn evenly from 1 to rows; a property is a function of its keys. Values keep to what their type allows, except
-    that patterns aren't followed.
+    drawn evenly from 1 to rows; a property is a function of its keys. Values keep to what their type allows.
     """
     row, keys = F.col("id"), sorted(k for k in d.grain if k in d.columns)
     side = next(n for n in range(1, rows + 2) if n ** max(len(keys), 1) >= rows)
@@ -49,6 +51,9 @@ def value(c: Concept, number: Column, key: bool) -> Column:
         if kind == "bigint":
             return (F.pmod(number, F.lit(int(high) - int(low) + 1)) + int(low)).cast(kind)
         return (F.pmod(number, F.lit(1001)) / 1000 * (high - low) + low).cast(kind)
+    match = next((x[1] for x in c.domain if x[0] == "match"), None)
+    if match and kind == "string":
+        return patterned(match, F.xxhash64(number))
     small = number if key else F.pmod(number, F.lit(1000))
     if kind.startswith("array"):
         return F.array(value(Concept(c.address, c.purpose, kind[6:-1]), number, key))
@@ -65,3 +70,58 @@ def value(c: Concept, number: Column, key: bool) -> Column:
     if kind == "double" or kind.startswith("decimal"):
         return (small / (1 if key else 4)).cast(kind)
     return F.lit(None).cast(kind)
+
+
+#: Characters that stand for a class in made-up text.
+CLASSES = {"CATEGORY_DIGIT": string.digits, "CATEGORY_WORD": string.ascii_lowercase + string.digits, "CATEGORY_SPACE": " "}
+#: Repetitions made of an open repeat, beyond its least.
+MORE = 4
+
+
+def patterned(pattern: str, seed: Column) -> Column:
+    """A text that a regular expression matches, a function of a number: literals, classes, groups, choices and repeats."""
+    places = count()
+
+    def pick(n: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(next(places)), seed), F.lit(n))
+
+    def letters(items) -> str:
+        out = ""
+        for op, x in items:
+            if str(op) == "LITERAL":
+                out += chr(x)
+            elif str(op) == "RANGE":
+                out += "".join(map(chr, range(x[0], x[1] + 1)))
+            elif str(op) == "CATEGORY" and str(x) in CLASSES:
+                out += CLASSES[str(x)]
+            elif str(op) == "NEGATE":
+                return "".join(ch for ch in string.ascii_letters + string.digits if ch not in letters(items[1:]))
+            else:
+                raise LanguageError(f"no text is made for {pattern}")
+        return out
+
+    def one(op, x) -> Column:
+        match str(op):
+            case "LITERAL":
+                return F.lit(chr(x))
+            case "IN":
+                chars = letters(x)
+                return F.substring(F.lit(chars), (pick(len(chars)) + 1).cast("int"), F.lit(1))
+            case "ANY":
+                return F.lit("x")
+            case "AT":
+                return F.lit("")
+            case "SUBPATTERN":
+                return every(x[-1])
+            case "BRANCH":
+                return F.element_at(F.array(*map(every, x[1])), (pick(len(x[1])) + 1).cast("int"))
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                least, most = x[0], min(x[1], x[0] + MORE)
+                times = pick(most - least + 1) + least
+                return F.concat_ws("", *(every(x[2]) if i < least else F.when(F.lit(i) < times, every(x[2])) for i in range(most)))
+        raise LanguageError(f"no text is made for {pattern}")
+
+    def every(items) -> Column:
+        return F.concat_ws("", *(one(op, x) for op, x in items))
+
+    return every(re_parser.parse(pattern))

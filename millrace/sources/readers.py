@@ -24,12 +24,21 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
-def read_files(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
-    """Files of one kind, told by the first one's suffix. Text files without a schema have theirs inferred."""
+def read_files(spark: SparkSession, paths: list[str], schema: str | None = None, types: dict[str, str] | None = None) -> DataFrame:
+    """Files of one kind, told by the first one's suffix.
+
+    Text files without a schema get the given types of columns, where all that are asked for have one (only the header
+    is read ahead then); else theirs are inferred, which reads the files twice.
+    """
     kind = paths[0].rsplit(".", 1)[-1].lower()
     if kind in ("csv", "tsv"):
         r = spark.read.option("header", True).option("sep", "\t" if kind == "tsv" else ",")
-        return (r.schema(schema) if schema else r.option("inferSchema", True)).csv(paths)
+        if schema:
+            return r.schema(schema).csv(paths)
+        if types and all(types.values()):
+            names = r.csv(paths).columns
+            return r.schema(", ".join(f"`{n}` {types.get(n, 'string')}" for n in names)).csv(paths)
+        return r.option("inferSchema", True).csv(paths)
     if kind == "json":
         return (spark.read.schema(schema) if schema else spark.read).json(paths)
     if kind == "orc":

@@ -121,3 +121,44 @@ def test_command_line(spark, tmp_path, capsys):
     assert "5" in capsys.readouterr().out
     main(["fmt", str(f)])
     assert f.read_text() == "parameter n int default 1;\nselect\n    n + 1 as two;\n"
+
+
+def test_comments_stay():
+    text = "# first\nkey a int; // of b\nselect a, # inner\n1 as one;\n/* end */"
+    once = formatted(text)
+    assert once == formatted(once) and all(c in once for c in ("# first", "// of b", "# inner", "/* end */"))
+    assert once.index("# first") < once.index("key a") < once.index("// of b") < once.index("select") < once.index("/* end */")
+
+
+def test_made_up_text_follows_patterns(spark):
+    import re
+
+    e = Engine(spark)
+    e.run("key k int; property k.code string['[A-Z]{2}-\\\\d{3,5}(x|yz)?']; datasource t (k: k, c: code) grain (k) address t; mock datasources t;")
+    rows = [r[0] for r in e.query("select k, code;").select("code").collect()]
+    assert len(rows) == 100 and len(set(rows)) > 90 and all(re.fullmatch(r"[A-Z]{2}-\d{3,5}(x|yz)?", r) for r in rows)
+
+
+def test_typed_text_files_are_read_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,d,x\n1,2024-01-02,0.5\n2,2024-01-03,1.5\n")
+    e = Engine(spark)
+    e.run(f"key k int; property k.d date; property k.x float; datasource t (k: k, d: d, x: x) grain (k) file `{tmp_path}/a.csv`;")
+    df = e.query("select k, d, x;")
+    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "date", "double"] and df.count() == 2
+
+
+def test_top_k_is_cut_before_rows_meet(spark):
+    df = queries.QUERIES["top_x"](spark, "/root/testdata/sf0.001")
+    assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_commands(spark, tmp_path, capsys):
+    (tmp_path / "tables").mkdir()
+    spark.range(5).selectExpr("id as k", "id * 2 as v").coalesce(1).write.parquet(str(tmp_path / "tables" / "t.parquet"))
+    model = tmp_path / "m.preql"
+    main(["ingest", str(model), "--tables", str(tmp_path / "tables")], spark)
+    assert "key t.k int;" in model.read_text()
+    model.write_text(model.read_text() + "select t.k, t.v;")
+    for command, word in (("scopes", "dimension"), ("summary", "non_null"), ("state", "t: new")):
+        main([command, str(model), "--tables", str(tmp_path / "tables")], spark)
+        assert word in capsys.readouterr().out
