@@ -19,8 +19,9 @@ from .plans.model import Concept, Datasource, Model
 from .plans.planner import Planner, conjuncts
 from .runtime import Environment, Hooks, Policy, collect
 from .sources.mock import mocked
+from . import charts
 from .sources import introspect
-from .sources.readers import read_files, read_parquet, read_script, request, write_files, write_slices
+from .sources.readers import read_files, read_parquet, read_script, request, write_files, write_slices, write_text
 
 #: Where a model's imports are looked up; set by the engine's caller.
 STD = Path(__file__).parent / "std"
@@ -336,7 +337,35 @@ class Engine:
             return
         self.model.datasources[name] = Datasource(name, columns, self.planner.model.minimal(frozenset(dims)) if not aggregates else frozenset(dims), lambda: self.spark.table(table), aggregates=aggregates, write_to=table)
 
+    def layer(self, layer: dict) -> tuple[dict, DataFrame]:
+        """A chart's layer: the column of each role, and its rows; without a select of its own, one of the bindings."""
+        if layer["select"] is not None:
+            return {r: x.name if x.kind == "ref" else a for r, x, a in layer["bindings"]}, self.planner.select({**layer["select"], "order": layer["order"] or layer["select"]["order"], "limit": layer["limit"] or layer["select"]["limit"]})
+        items = [(a or (x.name if x.kind == "ref" else r), x, False) for r, x, a in layer["bindings"]]
+        q = {"from": None, "where": [], "joins": [], "items": list(dict((i[0], i) for i in items).values()), "by": None, "having": None, "order": layer["order"], "limit": layer["limit"]}
+        return {r: n for (r, _, _), (n, _, _) in zip(layer["bindings"], items, strict=True)}, self.planner.select(q)
+
+    def do_chart(self, layers: list, places: list, flags: list, scales: dict) -> DataFrame:
+        """The rows of a chart's first layer; draw() makes the picture."""
+        return self.layer(layers[0])[1]
+
+    def draw(self, chart: dict) -> str:
+        """A chart as SVG."""
+        made = []
+        for x in chart["layers"]:
+            roles, df = self.layer(x)
+            names = {column_name(n): n for n in roles.values()}
+            made.append({"type": x["type"], "roles": roles, "rows": [{names.get(k, k): v for k, v in r.asDict().items()} for r in df.limit(charts.MOST + 1).collect()]})
+        title = ", ".join(dict.fromkeys(n for x in made for n in x["roles"].values())) if "show_title" in chart["flags"] else None
+        return charts.draw(made, chart["places"], chart["scales"], "hide_legend" not in chart["flags"], title)
+
     def do_copy(self, format: str, path: str, options: dict, select: dict) -> None:  # noqa: A002
+        if "chart" in select:
+            picture = self.draw(select["chart"])
+            if format not in ("svg", "html"):
+                raise LanguageError(f"charts are written as svg or html, not {format}")
+            write_text(self.spark, picture if format == "svg" else f"<!DOCTYPE html><html><body>{picture}</body></html>\n", path)
+            return
         write_files(self.planner.select(select), format, path, options)
 
     def do_create(self, name: str, mode: str, data: bool) -> None:

@@ -669,7 +669,11 @@ class Parser:
             if self.accept("("):
                 options = dict(self.listed(lambda: (self.name(), self.expect("="), self.primary().name)[::2]))
             self.expect("from")
+            if self.peek() == "chart" and self.peek(1) in ("layer", "place", "set"):
+                return Statement("copy", {"format": kind, "path": path, "options": options, "select": {"chart": self.chart()}})
             return Statement("copy", {"format": kind, "path": path, "options": options, "select": self.select()})
+        if word == "chart" and after in ("layer", "place", "set"):
+            return Statement("chart", self.chart())
         if word == "create":
             self.take()
             mode = "error"
@@ -706,6 +710,41 @@ class Parser:
             return Statement("select", {"select": {"setop": self.setop()}})
         return Statement("select", {"select": self.select()})
 
+    def chart(self) -> dict:
+        """Layers of bindings (role, expression, name), lines at values, switches and scales."""
+        self.expect("chart")
+        out: dict = {"layers": [], "places": [], "flags": [], "scales": {}}
+        while self.peek() in ("layer", "place", "set"):
+            what = self.take().lower()
+            if what == "layer":
+                kind = self.name().lower()
+                self.expect("(")
+                bindings = self.listed(lambda: (self.name().lower(), self.expect("<-"), self.expression(), self.name() if self.accept("as") else None))
+                layer = {"type": kind, "bindings": [(r, x, a) for r, _, x, a in bindings], "select": None, "order": [], "limit": None}
+                if self.accept("from"):
+                    inside = self.accept("(")
+                    layer["select"] = self.select()
+                    if inside:
+                        self.expect(")")
+                if self.accept("order", "by"):
+                    layer["order"] = self.order()
+                if self.accept("limit"):
+                    layer["limit"] = int(self.take())
+                out["layers"].append(layer)
+            elif what == "place":
+                kind = self.name().lower()
+                self.expect("at")
+                out["places"].append((kind, self.literal(), self.name() if self.accept("as") else None))
+            else:
+                name = self.name().lower()
+                if self.accept(":"):
+                    out["scales"][name] = self.name().lower()
+                else:
+                    out["flags"].append(name)
+        if not out["layers"]:
+            raise LanguageError("a chart needs a layer")
+        return out
+
     def model_path(self) -> str:
         """A dotted path; leading dots are kept."""
         dots = ""

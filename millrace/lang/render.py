@@ -194,6 +194,16 @@ def datasource_text(d: dict) -> str:
     return "\n".join(parts)
 
 
+def chart_text(d: dict) -> str:
+    out = ["chart"]
+    for x in d["layers"]:
+        bound = ", ".join(f"{r} <- {expr(e)}" + (f" as {a}" if a else "") for r, e, a in x["bindings"])
+        out.append(f"layer {x['type']} ({bound})" + (f" from (\n{select_text(x['select'])})" if x["select"] else "") + (f" order by {order_text(x['order'])}" if x["order"] else "") + (f" limit {x['limit']}" if x["limit"] is not None else ""))
+    out += [f"place {k} at {text_of(v)}" + (f" as {a}" if a else "") for k, v, a in d["places"]]
+    out += [f"set {f}" for f in d["flags"]] + [f"set {k}: {v}" for k, v in d["scales"].items()]
+    return "\n".join(out)
+
+
 def statement_text(s: Statement) -> str:
     d = s.data
     match s.kind:
@@ -225,6 +235,10 @@ def statement_text(s: Statement) -> str:
             return f"{d['mode']} {d['name']}" + (f" into {d['into']}" if d["into"] else "") + (f" by {', '.join(d['by'])}" if d["by"] else "") + f" from\n{select_text(d['select'])}"
         case "rebuild":
             return f"{d['mode']} {d['name']}" + (f" where {expr(d['where'])}" if d["where"] is not None else "")
+        case "chart":
+            return chart_text(d)
+        case "copy" if "chart" in d["select"]:
+            return f"copy into {d['format']} {text_of(d['path'])} from\n{chart_text(d['select']['chart'])}"
         case "copy":
             options = " (" + ", ".join(f"{k} = {text_of(v)}" for k, v in d["options"].items()) + ")" if d["options"] else ""
             return f"copy into {d['format']} {text_of(d['path'])}{options} from\n{select_text(d['select'])}"

@@ -6,13 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import builder as b
 from .engine import Engine
 from .operators.durable import scratch
+from .operators.validate import differences
+from .runtime import Hooks
+from .sources.introspect import model_of
 from .sources.readers import read_parquet
-from .streaming.refresh import refresh
+from .streaming.refresh import ingest, refresh, refresh_slices, stale, windowed
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -444,3 +448,130 @@ add_made("sql_file_scan", sql_file, "select r_regionkey as rid, upper(r_name) as
 add_made("frame_scan", frame_source, "select n_nationkey as k, n_name as v from nation")
 add_made("raw_sql", lambda spark, sf_dir: engine(spark, sf_dir).query(f"raw_sql('select count(*) as n from parquet.`{sf_dir}/orders.parquet`');"), "select count(*) as n from orders")
 add_made("show", lambda spark, sf_dir: engine(spark, sf_dir).query("show datasources;").select("name"), "select unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'labels', 'embeddings']) as name")
+
+
+def summed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each column of a result: rows, nulls, least and greatest (the approximate number of values isn't compared)."""
+    return engine(spark, sf_dir).summary("select orders.id as oid, orders.status as st, orders.priority as pr limit 3;").select("column", "rows", "non_null", "nulls", F.col("min").alias("lo"), F.col("max").alias("hi"))
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of a datasource: as many rows as were asked for, each of them one of its rows."""
+    few = engine(spark, sf_dir).sample("orders", 100)
+    return few.select(F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"), "orders__id").groupBy("n").agg(F.count_distinct("orders__id").alias("different"))
+
+
+def by_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partitioned datasource of which one slice was lost: only that one is written again."""
+    e, table = engine(spark, sf_dir), f"sliced_{uuid.uuid4().hex}"
+    e.run(f"datasource sliced (oid: orders.id, total: orders.total, st: orders.status) grain (orders.id) partition by orders.status address {table};")
+    first = refresh_slices(e, "sliced")
+    spark.sql(f"alter table {table} drop partition (st = 'F')")
+    again = refresh_slices(e, "sliced")
+    return spark.table(table).groupBy("st").agg(F.count("*").alias("n"), F.round(F.sum("total"), 2).alias("total")).withColumns({"slices": F.lit(len(first)).cast("long"), "again": F.lit(",".join(f"{k[0]}:{w}" for k, w in sorted(again.items())))})
+
+
+def keys_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written datasource that is as new as its root, but lacks some of its keys."""
+    e, table = engine(spark, sf_dir), f"hashed_{uuid.uuid4().hex}"
+    e.run(f"root datasource raw (event_id: event.id, ts: event.ts) grain (event.id) address events; datasource copied (event_id: event.id, ts: event.ts) grain (event.id) freshness by event.ts address {table};")
+    newest = read_parquet(spark, f"{sf_dir}/events.parquet").select("event_id", "ts")
+    newest.where(F.col("event_id") % 10 != 3).union(newest.orderBy(F.col("ts").desc()).limit(1)).distinct().write.saveAsTable(table)
+    e.written.add(table)
+    return spark.createDataFrame([(n, why) for n, why in stale(e).items()], "name string, why string")
+
+
+def drifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A written datasource whose table has another type and lacks a column."""
+    e, table = engine(spark, sf_dir), f"drift_{uuid.uuid4().hex}"
+    e.run(f"root datasource raw (r_regionkey: region.id, r_name: region.name) grain (region.id) address region; datasource old (rid: region.id, nm: region.name) grain (region.id) freshness by region.id address {table};")
+    read_parquet(spark, f"{sf_dir}/region.parquet").selectExpr("cast(r_regionkey as string) as rid").write.saveAsTable(table)
+    e.written.add(table)
+    return spark.createDataFrame([(n, why) for n, why in stale(e).items()], "name string, why string")
+
+
+def in_an_environment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written in an environment is read there, then put in use."""
+    table, name = f"env_{uuid.uuid4().hex}", f"e{uuid.uuid4().hex[:8]}"
+    text = f"datasource kept (rid: region.id, nm: region.name) grain (region.id) address {table} state unpublished; create datasource kept with data; publish datasource kept;"
+    e = Engine(spark, tables=sf_dir, environment=name)
+    e.run(MODEL + text)
+    inside = e.query("from kept select region.id as rid, region.name as nm;").collect()
+    e.environment.promote()
+    return spark.table(table).select("rid", "nm", F.lit(len(inside)).cast("long").alias("before"))
+
+
+def by_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A statement made by Python calls."""
+    return engine(spark, sf_dir).execute(b.select(b.c("customer.segment").as_("segment"), b.count("customer.id").as_("n"), b.total("customer.acctbal").cast("int").as_("bal"), where=b.c("nation.id") < 20, order=[b.c("segment")]))
+
+
+def scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).scopes("where orders.status = 'F' select customer.segment as segment, count(orders.id) as n, sum(orders.total) by * as every;").select("name", "kind", F.concat_ws(",", "grain").alias("grain"), F.concat_ws(",", "datasources").alias("sources"))
+
+
+def joins_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    e.run("merge event.user into ~customer.id;")
+    return e.query("validate joins;").groupBy("subset", "whole").agg(F.sum("failures").alias("failures"))
+
+
+def compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two ways to one result, compared row by row."""
+    e = engine(spark, sf_dir)
+    return differences(e.query("select customer.segment as s, sum(customer.acctbal) as b;"), read_parquet(spark, f"{sf_dir}/customer.parquet").groupBy("c_mktsegment").agg(F.sum("c_acctbal")), 1e-8).agg(F.count("*").alias("n"))
+
+
+def hooked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The datasources that rows came from, as a callback heard of them."""
+    seen: list = []
+    e = Engine(spark, tables=sf_dir, hooks=Hooks(sources=[seen.append]))
+    e.run(MODEL)
+    e.query("select nation.name as n, count(orders.id) as c;")
+    return spark.createDataFrame([(n,) for n in sorted({n for names in seen for n in names})], "source string")
+
+
+def windows_of_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed aggregates of the streaming module, over the whole table as a batch."""
+    events = read_parquet(spark, f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    return windowed(events, "ts", "1 day", "1 hour", ["event_type"], n=F.count("*"), total=F.round(F.sum("value"), 2)).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table taken in as a stream of files, twice from one state: each file once."""
+    table, state = f"taken_{uuid.uuid4().hex}", scratch(spark, "state")
+    at = scratch(spark, "arrivals")
+    read_parquet(spark, f"{sf_dir}/events.parquet").write.parquet(at)
+    schema = spark.read.parquet(at).schema.simpleString()[7:-1].replace(":", " ")
+    for _ in range(2):
+        ingest(spark, at, table, state, schema)
+    return spark.table(table).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model made from the tables alone answers a question over two of them."""
+    tables = {t: read_parquet(spark, f"{sf_dir}/{t}.parquet") for t in ("nation", "customer")}
+    tables["customer"] = tables["customer"].withColumnRenamed("c_nationkey", "n_nationkey")
+    e = Engine(spark)
+    for n, df in tables.items():
+        e.register_frame(n, df)
+    e.run(model_of(spark, tables))
+    return e.query("select nation.n_name as n_name, count(customer.c_custkey) as n;")
+
+
+add_made("summary", summed_up, "select 'oid' as \"column\", count(*) as rows, count(*) as non_null, 0 as nulls, min(o_orderkey)::varchar as lo, max(o_orderkey)::varchar as hi from orders union all select 'st', count(*), count(o_orderstatus), 0, min(o_orderstatus), max(o_orderstatus) from orders union all select 'pr', count(*), count(o_orderpriority), 0, min(o_orderpriority), max(o_orderpriority) from orders")
+add_made("sample", sampled, "select 100 as n, 100 as different")
+add_made("partition_refresh", by_slices, "select o_orderstatus as st, count(*) as n, round(sum(o_totalprice), 2) as total, (select count(distinct o_orderstatus) from orders) as slices, 'F:missing' as again from orders group by 1")
+add_made("key_hashes", keys_compared, "select 'copied' as name, 'keys differ from raw' as why")
+add_made("schema_drift", drifted, "select 'old' as name, 'schema: rid is string, not bigint, lacks nm' as why")
+add_made("environment", in_an_environment, "select r_regionkey as rid, r_name as nm, (select count(*) from region) as before from region")
+add_made("by_calls", by_calls, "select c_mktsegment as segment, count(*) as n, round_even(sum(c_acctbal), 0)::bigint as bal from customer where c_nationkey < 20 group by 1")
+add_made("scopes", scopes, "select * from (values ('segment', 'dimension', 'customer.id', 'customer,orders'), ('n', 'aggregate', 'customer.id', 'customer,orders'), ('every', 'aggregate', '', 'orders')) t(name, kind, grain, sources)")
+add_made("validate_joins", joins_validated, "select 'events' as subset, 'customer' as whole, count(distinct user_id) as failures from events where user_id not in (select c_custkey from customer) union all select 'orders', 'customer', count(distinct o_custkey) from orders where o_custkey not in (select c_custkey from customer)")
+add_made("compare_rows", compared, "select 0 as n")
+add_made("hooks", hooked, "select unnest(['customer', 'nation', 'orders']) as source")
+add_made("time_windows", windows_of_time, "select date_trunc('day', ts)::timestamp as start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
+add_made("file_stream", streamed, "select event_type, count(*) as n from events group by 1")
+add_made("model_of_tables", inferred, "select n_name, count(c_custkey) as n from nation left join customer on c_nationkey = n_nationkey group by 1")
+add("chart_rows", "chart layer bar (x_axis <- customer.segment as segment, y_axis <- count(customer.id) as n);", "select c_mktsegment as segment, count(*) as n from customer group by 1")
+add("made_up_patterns", "key pn.k int; property pn.k.code string['[A-Z]{3}-\\\\d{2}']; datasource pt (k: pn.k, c: pn.code) grain (pn.k) address pt; mock datasources pt; select count(pn.k) as n, bool_and(regexp_contains(pn.code, '^[A-Z]{3}-[0-9]{2}$')) as all_;", "select 100 as n, true as all_")

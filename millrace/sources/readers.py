@@ -126,3 +126,13 @@ def write_slices(spark: SparkSession, df: DataFrame, table: str, keys: list[str]
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(at)
     spark.sql(f"msck repair table {table}")
     spark.catalog.refreshTable(table)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small file, in whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
