@@ -50,6 +50,24 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def sweep(spark: SparkSession, hours: float = 24) -> int:
+    """Deletes this module's files in the shared folder that were last written over so many hours ago; returns how many entries.
+
+    Operators delete what they are done with themselves. What a lazy result still reads stays until someone sweeps: call
+    this when no result made before then is needed any more.
+    """
+    jvm, gone = spark.sparkContext._jvm, 0
+    top = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/millrace")
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(top):
+        limit = jvm.System.currentTimeMillis() - int(hours * 3_600_000)
+        for entry in fs.listStatus(top):
+            if entry.getModificationTime() < limit:
+                fs.delete(entry.getPath(), True)
+                gone += 1
+    return gone
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, even where body uses it inside another lambda."""
     return F.element_at(F.transform(F.array(value), body), 1)

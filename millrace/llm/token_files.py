@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import default_tokenizer, transducer
-from .common import scratch, stored
+from .common import remove, scratch
 
 SAMPLE, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 4096, 64 << 10
 BLOCK_DOCS, BLOCK_BYTES, GROUP_BYTES = 4096, 1 << 20, 2 << 20
@@ -109,10 +109,13 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         if frames:
             yield block()
 
-    encoded = stored(docs.mapInArrow(encode, "doc_id long, n long, frame binary"), "frames")  # not encoded again for the range bounds
+    frames_at = scratch(spark, "frames")  # not encoded again for the range bounds
+    docs.mapInArrow(encode, "doc_id long, n long, frame binary").write.parquet(frames_at)
+    encoded = spark.read.schema("doc_id long, n long, frame binary").parquet(frames_at)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = encoded.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     placed.withColumn("part", F.spark_partition_id()).mapInArrow(pack, BLOCK).write.option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/blocks")
+    remove(spark, frames_at)
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
     # one row per part, of which there are as many as shuffle partitions
     sums = [(r[0], r[1]) for r in blocks.groupBy("part").agg(F.max(F.element_at("token_at", -1))).orderBy("part").collect()]

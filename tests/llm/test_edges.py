@@ -8,7 +8,7 @@ import pandas
 import pytest
 
 from millrace.llm import bpe, chat_format, decontamination, html_extract, licence_scan, line_dedup, lm_score, quality, simhash_dedup, token_files
-from millrace.llm.common import components, scratch
+from millrace.llm.common import components, scratch, stored, sweep
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, fp long, component_id long, kept boolean, n_lines long, kept_text string, n_tokens long, bucket long, h string"
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -280,3 +280,10 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     want = {(n, find(n)) for n in root if any(n in e and e[0] != e[1] for e in edges)}
     assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+
+
+def test_old_files_are_swept(spark):
+    held = stored(spark.range(3), "sweep")
+    sweep(spark, hours=1)
+    assert held.count() == 3
+    assert sweep(spark, hours=-1) >= 1 and sweep(spark, hours=-1) == 0
