@@ -492,6 +492,8 @@ class Planner:
         frame = self.to_grain(frame, grain)
         df = frame.df.withColumns({f"k{i}": self.compile(k, frame.df, frame.columns) for i, k in enumerate(columns)}) if columns else frame.df
         names = [f"k{i}" for i in range(len(keys))]
+        if by is None and put and frame.unique and not frame.unique & frame.padded and frame.unique <= {k.name for k in keys if k.kind == "ref"}:
+            return df.select(*names, *(self.of_one(n, df, frame).alias(f"a{i}") for i, n in enumerate(put)))  # a row is a group
         if by is None:
             grouped = df.groupBy(*names)
         elif by[0] == "sets":
@@ -546,6 +548,30 @@ class Planner:
             case name:
                 return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev_samp, "variance": F.var_samp, "bool_or": F.bool_or, "bool_and": F.bool_and}[name](c[0])
 
+    def of_one(self, n: Node, df: DataFrame, frame: Frame) -> Column:
+        """An aggregate of a group of one row, of the type that it has for any group."""
+        if n.name in ("grouping", "grouping_id"):
+            return F.lit(0).cast("bigint")
+        if n.name == "count_distinct" and len(n.args) > 1:
+            return F.lit(1).cast("bigint")
+        is_row = lambda x: x.kind == "ref" and x.name in self.model.concepts and self.model.concepts[x.name].is_row
+        one = lambda x: Node("lit", 1) if is_row(x) else Node("filter", None, (one(x.args[0]), x.args[1])) if x.kind == "filter" else x
+        c = self.compile(one(n.args[0]) if n.name in COUNTS else n.args[0], df, frame.columns)
+        match n.name:
+            case "count" | "count_distinct":
+                return F.when(c.isNotNull(), 1).otherwise(0).cast("bigint")
+            case "stddev" | "variance":
+                return F.lit(None).cast("double")
+            case "array_agg":
+                return F.array(c)
+            case "sum" | "avg":
+                kind = scalar.type_of(df, c)
+                if isinstance(kind, T.DecimalType):
+                    more = (10, 0) if n.name == "sum" else (4, 4)
+                    return c.cast(T.DecimalType(min(38, kind.precision + more[0]), min(37, kind.scale + more[1])))
+                return c.cast("bigint" if n.name == "sum" and isinstance(kind, T.IntegralType) else "double")
+        return c
+
     def from_summary(self, aggs: list[Node], keys: list[Node], where: list[list[Node]]) -> DataFrame | None:
         """The aggregates from the cheapest datasource that may answer with those it has: at its own grain, or summed up.
 

@@ -273,3 +273,35 @@ def test_outputs_outside_a_rollup(spark):
     e.run("key g int; property g.n string; key r int; property r.v int; datasource gs (g: g, n: ?n) grain (g) query '''select * from values (1, 'one'), (2, null) as t(g, n)'''; datasource rs (r: r, g: ?g, v: v) grain (r) query '''select * from values (1, 1, 1), (2, 2, 2), (3, null, 4) as t(r, g, v)''';")
     assert got(e.query("select g, n, sum(v) as s by rollup (g);")) == sorted([(1, "one", 1), (2, None, 2), (None, None, 4), (None, None, 7)], key=repr)
     assert got(e.query("select g, sum(v) as s, sum(v) by g as own by rollup (g);")) == sorted([(1, 1, 1), (2, 2, 2), (None, 4, 4), (None, 7, None)], key=repr)
+
+
+def test_a_group_of_one_row_is_no_group(engine):
+    df = engine.query("select post.id, sum(post.score) as s, count(post.tag) as t, count(post.id ? post.score > 1) as big, avg(post.score) as m, stddev(post.score) as d, array_agg(post.tag) as a, max(post.tag) as hi;")
+    assert got(df) == [(10, 1, 1, 0, 1.0, None, ["x"], "x"), (11, 2, 0, 1, 2.0, None, [None], None), (12, 4, 1, 1, 4.0, None, ["y"], "y"), (13, 8, 0, 1, 8.0, None, [None], None)]
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [f.dataType.simpleString() for f in df.schema][:3] == ["bigint", "bigint", "bigint"]
+
+
+def test_rowsets_are_islands(engine):
+    """A rowset's base concepts are no path from it to anything."""
+    engine.run("with few as where post.score < 5 select post.id as pid, user.id as uid;")
+    assert got(engine.query("select few.pid;")) == [(10,), (11,), (12,)]
+    with pytest.raises(LanguageError, match="connects"):
+        engine.query("select few.pid, user.name;")
+    assert got(engine.query("subset join few.uid = user.id select few.pid, user.name;")) == [(10, "a"), (11, "a"), (12, "b"), (None, "b")]
+
+
+def test_keys_that_others_determine_are_not_compared(spark):
+    e = Engine(spark)
+    e.run("key a int; key b int; key c int; property c.v int; datasource ab (a: a, b: b) grain (a) query '''select id as a, id % 2 as b from range(4)'''; datasource cs (c: c, a: a, b: b, v: v) grain (c) query '''select id as c, id % 4 as a, id % 2 as b, id as v from range(8)'''; property a.n string; datasource names (a: a, b: b, n: n) grain (a) query '''select id as a, id % 2 as b, cast(id as string) as n from range(4)''';")
+    df = e.query("select c, n;")
+    assert df.count() == 8 and "b#" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].split("\n")[0]
+
+
+def test_partitions_of_folders_are_pruned(spark, tmp_path):
+    spark.range(20).selectExpr("id as k", "id % 4 as part").write.partitionBy("part").parquet(str(tmp_path / "t.parquet"))
+    e = Engine(spark)
+    e.run(f"key k int; property k.part int; datasource t (k: k, part: part) grain (k) partition by part file `{tmp_path}/t.parquet`;")
+    df = e.query("where part = 2 select k;")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[0] for r in df.collect()) == [2, 6, 10, 14, 18] and "(part#" in plan.split("PartitionFilters: ")[1].split("]")[0]
