@@ -292,6 +292,16 @@ class Parser:
             return Node("lit", {"true": True, "false": False, "null": None}[word])
         if word == "case":
             return self.case()
+        if word == "filter" and self.tokens[self.at + 1][0] == "name" and self.peek(2) == "where":
+            self.take()
+            x = Node("ref", self.name())
+            self.expect("where")
+            return Node("filter", None, (x, self.expression()))
+        if word == "group" and self.tokens[self.at + 1][0] == "name" and self.peek(2) == "by":
+            self.take()
+            x = Node("ref", self.name())
+            self.expect("by")
+            return Node("agg", "any", (x,), (tuple(self.names_or_list()),))
         if word in ("rank", "lag", "lead", "row_number", "dense_rank") and self.peek(1) != "(":
             return self.old_window()
         self.take()
@@ -403,7 +413,7 @@ class Parser:
             if self.accept("nulls"):
                 nulls = self.take().lower()
             out.append((x, desc, nulls))
-            if not self.accept(","):
+            if not self.accept(",") or self.peek() in ("limit", ")", ";", "<end>"):
                 return out
 
     # Selects
@@ -436,10 +446,11 @@ class Parser:
             x = self.expression()
             alias = self.name() if self.accept("as") or self.accept("->") else None
             q["items"].append((alias or (x.name if x.kind == "ref" else f"col{len(q['items']) + 1}"), x, hidden))
-            if not self.accept(",") or self.peek() in ("having", "order", "limit", ";", "merge"):
+            if not self.accept(",") or self.peek() in ("having", "order", "limit", ";", "merge", "where", ")", "<end>") or self.peek() in ("subset", "union") and self.peek(1) == "join" or self.grouping():
                 break
         while True:
-            if self.accept("by"):
+            if self.grouping():
+                self.take()
                 kind = self.take().lower()
                 if kind == "grouping":
                     self.expect("sets")
@@ -465,6 +476,9 @@ class Parser:
             return self.aligned(arms)
         return q
 
+    def grouping(self) -> bool:
+        return self.peek() == "by" and self.peek(1) in ("rollup", "cube", "grouping")
+
     def joined(self, q: dict) -> bool:
         """A join clause, which stands before or after the outputs."""
         if self.peek() in ("left", "right", "full", "inner", "cross") and self.peek(1) in ("join", "outer"):
@@ -496,7 +510,7 @@ class Parser:
             name = self.name()
             self.expect(":")
             align.append((name, [self.name()]))
-            while self.accept(","):
+            while self.accept(",") and self.tokens[self.at][0] == "name" and self.peek() not in ("and", "derive", "order", "limit", "having", "where"):
                 align[-1][1].append(self.name())
             if not self.accept("and"):
                 break
@@ -534,6 +548,7 @@ class Parser:
                 self.accept("key") or self.accept("property")
                 kind = self.type()
                 self.accept("?")
+            self.metadata()
             return name, kind
 
         return {"op": kind, "arms": arms, "names": self.listed(output)}
@@ -681,7 +696,7 @@ class Parser:
                 mode = "ignore"
             elif self.accept("or", "replace"):
                 mode = "overwrite"
-            self.expect("datasource")
+            self.accept("datasource") or self.expect("datasources")
             return Statement("create", {"name": self.name(), "mode": mode, "data": self.accept("with", "data")})
         if word in ("publish", "unpublish"):
             self.take()
@@ -777,11 +792,19 @@ class Parser:
             keys = [None]  # the part before the last dot, if it is a concept
         kind = None
         if self.peek() not in ("<-", ";", "<end>"):
-            kind = self.type()
+            kind = self.type() if self.peek() != "metadata" else None
             self.accept("?")
+        self.metadata()
         lineage = self.expression() if self.accept("<-") else None
+        self.metadata()
         return Statement("concept", {"purpose": purpose, "name": name, "keys": keys, "type": kind, "lineage": lineage})
 
+    def metadata(self) -> None:
+        """Descriptions of a concept, which say nothing to the planner."""
+        if self.peek() == "metadata" and self.peek(1) == "(":
+            self.at += 2
+            self.listed(lambda: (self.name(), self.expect("="), self.primary()))
+
     def datasource(self) -> Statement:
         flags = set()
         while self.peek() in ("root", "partial", "~"):
@@ -791,6 +814,9 @@ class Parser:
         self.expect("(")
 
         def binding():
+            marks = ""
+            while self.peek() in ("~", "?"):  # before a column that is named as its concept
+                marks += self.take()
             if self.peek() == "raw":
                 self.take()
                 self.expect("(")
@@ -798,7 +824,6 @@ class Parser:
                 self.expect(")")
             else:
                 column = self.expression()
-            marks = ""
             if not self.accept(":"):
                 return column, column.name, marks
             while self.peek() in ("~", "?"):

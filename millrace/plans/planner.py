@@ -437,7 +437,8 @@ class Planner:
             right = self.select(x.extra[0].select, nested=True)
         else:
             members = x.args[1].args if x.args[1].kind == "call" and x.args[1].name == "tuple" else (x.args[1],)
-            right = self.result([(f"m{i}", m, False) for i, m in enumerate(members)], [], None, [])
+            rule = [members[0].args[1]] if len(members) == 1 and members[0].kind == "filter" else []  # what a filter leaves out is no member
+            right = self.result([(f"m{i}", m.args[0] if rule else m, False) for i, m in enumerate(members)], [conjuncts(r) for r in rule], None, [])
         k = next(self.numbers)
         return df, names, right.toDF(*(f"__s{k}_{i}" for i in range(len(right.columns))))
 
@@ -768,6 +769,9 @@ class Planner:
                 self.model.datasources[d.name] = replace(d, columns=columns, grain=frozenset(map(swap, d.grain)))
 
     def result(self, items: list, where: list, having: Node | None, order: list, limit: int | None = None, by: tuple | None = None, loose: bool = False) -> DataFrame:
+        items, where, having, order = self.narrowed(items, where, having, order)
+        if by is not None and by[0] != "sets" and not by[1]:  # by rollup (): over all outputs that aren't aggregates
+            by = (by[0], [x for _, x, _ in items if not any(n.kind in ("agg", "win") for n in self.own(x))])
         terms = [x for _, x, _ in items] + ([having] if having is not None else []) + [x for x, _, _ in order]
         shaped = lambda x: any(n.kind in ("agg", "win") for n in self.own(x))
         dims = [x for _, x, _ in items if not shaped(x) and x.kind not in ("scalar", "subselect")]
@@ -877,6 +881,26 @@ class Planner:
             df = df.distinct()
         return df.limit(limit) if limit is not None else df
 
+    def narrowed(self, items: list, where: list, having: Node | None, order: list) -> tuple:
+        """Filtered concepts that are outputs as a condition on the rows: where they share one condition, there is no
+        aggregate, and whatever else is an output is a key of what is filtered. Else other rows show null for them.
+        """
+        every = [x for _, x, _ in items]
+        filters = [x for x in every if x.kind == "filter"]
+        terms = [*every, *([having] if having is not None else []), *(x for x, _, _ in order)]
+        if len({x.args[1] for x in filters}) != 1 or any(n.kind in ("agg", "win") for x in terms for n in self.own(x) if x.kind != "filter"):
+            return items, where, having, order
+        cond = filters[0].args[1]
+        if any(n.kind in ("win", "scalar", "subselect") or n.kind == "in" and n.name in ("set", "select", "present") for n in self.own(cond)):
+            return items, where, having, order
+        content = {r for x in filters for r in self.roots(x.args[0])}
+        keys = {k for r in content for k in self.model.natural_keys(r)} - {x.args[0].name for x in filters if x.args[0].kind == "ref"}
+        if any(x.kind != "ref" or x.name not in keys for x in every if x.kind != "filter"):
+            return items, where, having, order
+        bare = lambda x: x.args[0] if x in filters else x.map(bare)
+        last = [*(where[-1] if where else []), *conjuncts(cond)]
+        return [(a, bare(x), h) for a, x, h in items], [*where[:-1], last], bare(having) if having is not None else None, [(bare(x), d, n) for x, d, n in order]
+
     def needed_outside(self, h: Node, terms: list[Node]) -> bool:
         def look(x: Node) -> bool:
             if x == h:

@@ -305,3 +305,17 @@ def test_partitions_of_folders_are_pruned(spark, tmp_path):
     df = e.query("where part = 2 select k;")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert sorted(r[0] for r in df.collect()) == [2, 6, 10, 14, 18] and "(part#" in plan.split("PartitionFilters: ")[1].split("]")[0]
+
+
+def test_filtered_concepts_as_outputs(engine):
+    engine.run("auto good <- filter post.id where post.score > 1; auto liked <- post.id ? count(vote.id) by post.id > 1;")
+    assert got(engine.query("select good;")) == [(11,), (12,), (13,)]
+    assert got(engine.query("select post.id, (post.tag ? post.score > 1) as t;")) == [(11, None), (12, "y"), (13, None)]
+    assert got(engine.query("select post.score as s, (post.tag ? post.score > 1) as t;")) == [(1, None), (2, None), (4, "y"), (8, None)]
+    assert got(engine.query("select liked;")) == [(10,)]
+    assert got(engine.query("where post.id not in good select post.id;")) == [(10,)]
+    assert got(engine.query("select user.id as u, count(filter post.id where post.score > 1) as n;")) == [(1, 1), (2, 1), (3, 0), (None, 1)]
+
+
+def test_rollup_over_all_outputs(engine):
+    assert got(engine.query("select user.name as n, post.tag as t, sum(post.score) as s, by rollup ();")) == got(engine.query("select user.name as n, post.tag as t, sum(post.score) as s by rollup (user.name, post.tag);"))
