@@ -5,6 +5,7 @@ from __future__ import annotations
 import subprocess
 import sys
 from dataclasses import replace
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,8 @@ class Engine:
         self.environment = Environment(spark, environment) if environment else None
         self.model = Model()
         self.planner = Planner(spark, self.model, self.hooks)
+        #: Keys made of several keys: those, and the properties made of theirs.
+        self.stacks: dict[str, tuple] = {}
         self.frames: dict[str, DataFrame] = {}
         self.written: set[str] = set()
 
@@ -173,9 +176,12 @@ class Engine:
         if lineage is not None and lineage.kind == "call" and lineage.name == "recurse_edge":
             self.recursion(name, lineage)
             return
-        if lineage is not None and lineage.kind == "call" and lineage.name == "union" :
+        if lineage is not None and lineage.kind == "call" and lineage.name == "union":
             self.stacked(name, lineage)
             return
+        if lineage is not None and lineage.kind == "call" and lineage.name in ("unnest", "date_spine") and not self.planner.roots(made := self.planner.expand(lineage)):
+            self.listed(name, type, made)
+            return
         self.model.add(Concept(name, purpose, type, frozenset(keys) if keys is not None else None, lineage, domain))
 
     def recursion(self, name: str, lineage: Node) -> None:
@@ -192,15 +198,32 @@ class Engine:
         self.model.add(Concept(name, "property", None, frozenset([node.name])))
         self.model.datasources[f"{name}.walk"] = Datasource(f"{name}.walk", {node.name: (Node("ref", "node"), "~"), name: (Node("ref", "root"), "?")}, frozenset([node.name]), load)
 
+    def listed(self, name: str, type: str | None, made: Node) -> None:  # noqa: A002
+        """A key whose values are the elements of an array that no table is needed for."""
+        one = self.spark.range(1)
+        df = one.select(self.planner.compile(made, one, {}).alias("v")).distinct()
+        self.model.add(Concept(name, "key", type))
+        self.model.datasources[f"{name}.values"] = Datasource(f"{name}.values", {name: (Node("ref", "v"), "?")}, frozenset([name]), lambda: df)
+
     def stacked(self, name: str, lineage: Node) -> None:
-        """A key whose values are those of several keys."""
-        arms = [self.planner.result([("v", self.planner.expand(a), False)], [], None, []) for a in lineage.args]
-        df = arms[0]
-        for a in arms[1:]:
-            df = df.union(a)
-        df = df.distinct()
-        self.model.add(Concept(name, "key", None))
-        self.model.datasources[f"{name}.stack"] = Datasource(f"{name}.stack", {name: (Node("ref", "v"), "")}, frozenset([name]), lambda: df)
+        """A key whose values are those of several keys, or a property of such a key: for each of its keys a property."""
+        args = [self.planner.expand(a) for a in lineage.args]
+        own = [self.model.natural_keys(a.name) if a.kind == "ref" else frozenset() for a in args]
+        base = next((k for k, (keys, _) in self.stacks.items() if len(keys) == len(args) and all(x == {k.name} and a != k for x, a, k in zip(own, args, keys, strict=True))), None)
+        if base is None:
+            self.stacks[name] = (args, [])
+            self.model.add(Concept(name, "key", None))
+        else:
+            self.stacks[base][1].append((name, args))
+            self.model.add(Concept(name, "property", None, frozenset([base])))
+        key = base or name
+        keys, more = self.stacks[key]
+
+        def load() -> DataFrame:
+            arms = [self.planner.result([("v", k, False), *((f"p{j}", xs[i], False) for j, (_, xs) in enumerate(more))], [], None, []) for i, k in enumerate(keys)]
+            return reduce(DataFrame.union, arms).distinct()
+
+        self.model.datasources[f"{key}.stack"] = Datasource(f"{key}.stack", {key: (Node("ref", "v"), ""), **{n: (Node("ref", f"p{j}"), "") for j, (n, _) in enumerate(more)}}, frozenset([key]), load)
 
     def do_def(self, name: str, params: list, body: Node) -> None:
         self.model.macros[name] = (params, body)
@@ -277,7 +300,8 @@ class Engine:
                 if c.startswith(a[:-1]) and into[:-1] + c[len(a) - 1 :] in self.model.concepts:
                     self.planner.relate(c, into[:-1] + c[len(a) - 1 :], partial)
             return
-        self.planner.relate(self.model.address(a), self.model.address(into), partial)
+        key = lambda n: self.planner.join_key(Node("ref", n))  # noqa: E731  a derived one is bound where its concepts are
+        self.planner.relate(key(a), key(into), partial)
 
     def do_rowset(self, name: str, select: dict) -> None:
         df = self.planner.select(select, nested=True)
@@ -290,7 +314,9 @@ class Engine:
         if grain == []:
             self.single(name, df)
         else:
-            self.planner.register(name, df, f"rowset.{name}", None, grain)
+            kept = [(a, self.model.address(x.name)) for a, x, h in select.get("items", []) if not h and x.kind == "ref" and a == x.name]
+            echo = {base: column_name(a) for a, base in kept if self.model.concepts[base].purpose == "key" and self.model.concepts[base].lineage is None}
+            self.planner.register(name, df, f"rowset.{name}", None, grain, echo)
 
     def single(self, name: str, df: DataFrame) -> None:
         columns = {}

@@ -50,6 +50,8 @@ class Datasource:
     freshness: str | None = None
     within: str = "0 second"
     refresh: str | None = None
+    #: For rowsets: keys of the model that it was made with, by its column; they join it where they are asked for beside it.
+    echo: dict[str, str] = field(default_factory=dict)
     #: For programs: the table, narrowed to columns and by (column, operator, value) conditions that rows are tested for again.
     push: Callable[[list, list], DataFrame] | None = None
 

@@ -162,6 +162,10 @@ class Planner:
                 raise LanguageError(f"@{x.name} needs {missing}")
             put = lambda n: values[n.name] if n.kind == "ref" and n.name in values else n.map(put)
             return self.expand(put(body), seen)
+        if x.kind == "agg" and x.name == "any" and x.extra and len(x.args) == 1 and x.args[0].kind == "ref":
+            inner = self.expand(x.args[0], seen)
+            if inner.kind == "agg" and not inner.extra:  # an aggregate grouped to keys is that aggregate at those keys
+                return Node("agg", inner.name, inner.args, (tuple(self.expand(k, seen) for k in x.extra[0]),))
         if x.kind == "call" and x.name in ("array_transform", "array_filter"):
             params, body = self.model.macros[x.args[1].name]
             return Node("call", x.name, (self.expand(x.args[0], seen),), (params[0][0], body))
@@ -198,10 +202,17 @@ class Planner:
         if not need:
             return Frame(self.spark.range(1).select(F.lit(True).alias("one__row")), {}, frozenset())
         demanded = need if demanded is None else demanded
-        parts = self.components(need, list(where), demanded)
-        if self.hooks:
-            self.hooks.call("sources", [n for p in parts for n in p])
-        return reduce(cross, (self.joined(p, demanded, list(where)) for p in parts))
+        kept = self.model.datasources, self.model.memo
+        shown = {n: replace(d, columns={**d.columns, **{k: (Node("ref", c), "~") for k, c in d.echo.items() if k in need}}) for n, d in kept[0].items() if d.echo.keys() & need and d.columns.keys() & need}
+        if shown:  # rowsets beside keys that they were made with
+            self.model.datasources, self.model.memo = {**kept[0], **shown}, {}
+        try:
+            parts = self.components(need, list(where), demanded)
+            if self.hooks:
+                self.hooks.call("sources", [n for p in parts for n in p])
+            return reduce(cross, (self.joined(p, demanded, list(where)) for p in parts))
+        finally:
+            self.model.datasources, self.model.memo = kept
 
     def components(self, need: set[str], where: list[Node], demanded: set[str]) -> list[list[str]]:
         chosen = self.cover(need, where, demanded)
@@ -650,8 +661,9 @@ class Planner:
             for kind, chain in q["joins"]:
                 self.scoped_join(kind, chain)
             self.model.memo = {}
-            where = [conjuncts(self.expand(self.presence(w))) for w in q["where"]]
-            items = [(a, self.expand(self.presence(x)), h) for a, x, h in q["items"]]
+            own = {a: x for a, x, _ in q["items"]}
+            where = [conjuncts(self.expand(self.presence(self.named(w, own)))) for w in q["where"]]
+            items = [(a, self.expand(self.presence(self.named(x, {k: v for k, v in own.items() if k != a}))), h) for a, x, h in q["items"]]
             aliases = {a: x for a, x, _ in items}
             over = lambda x: aliases[x.name] if x.kind == "ref" and x.name in aliases else x.map(over) if x.kind != "ref" else self.expand(x)
             having = over(self.presence(q["having"])) if q["having"] is not None else None
@@ -726,6 +738,17 @@ class Planner:
             self.model.datasources = {**self.model.datasources, f"rows{name}": Datasource(f"rows{name}", {**columns, name: (Node("ref", column_name(name)), "?")}, frame.unique, lambda: df, rowset=True)}
         return name
 
+    def named(self, x: Node, own: dict[str, Node]) -> Node:
+        """x with names of a select's outputs, where the model has no such concept, replaced by what they stand for."""
+        if x.kind != "ref":
+            return x.map(lambda y: self.named(y, own))
+        try:
+            self.model.address(x.name)
+        except LanguageError:
+            if x.name in own:
+                return self.named(own[x.name], {k: v for k, v in own.items() if k != x.name})
+        return x
+
     def presence(self, x: Node) -> Node:
         """Null tests of a joined key as tests of presence: whether the side that the key names has the row's value."""
         if x.kind == "call" and x.name == "is_null" and x.args[0].kind == "ref":
@@ -1060,7 +1083,7 @@ class Planner:
             out = out.orderBy(*(self.direction(self.compile(x, out, columns), d, n) for x, d, n in q["order"]))
         return out.limit(q["limit"]) if q["limit"] is not None else out
 
-    def register(self, prefix: str, df: DataFrame, name: str, names: list | None = None, grain: list[str] | None = None) -> None:
+    def register(self, prefix: str, df: DataFrame, name: str, names: list | None = None, grain: list[str] | None = None, echo: dict | None = None) -> None:
         """Makes the columns of a result concepts of their own (prefix.column), bound by one source."""
         columns = {}
         grain_addresses = []
@@ -1077,7 +1100,7 @@ class Planner:
         for a in columns:
             if bag or a not in grain_addresses:
                 self.model.concepts[a] = Concept(a, "property" if bag else self.model.concepts[a].purpose, None, frozenset([row]) if bag else frozenset(grain_addresses))
-        self.model.datasources = {**self.model.datasources, name: Datasource(name, columns, frozenset([row]) if bag else frozenset(grain_addresses), lambda: df, rowset=True)}
+        self.model.datasources = {**self.model.datasources, name: Datasource(name, columns, frozenset([row]) if bag else frozenset(grain_addresses), lambda: df, rowset=True, echo=echo or {})}
 
     # Expressions
 

@@ -319,3 +319,37 @@ def test_filtered_concepts_as_outputs(engine):
 
 def test_rollup_over_all_outputs(engine):
     assert got(engine.query("select user.name as n, post.tag as t, sum(post.score) as s, by rollup ();")) == got(engine.query("select user.name as n, post.tag as t, sum(post.score) as s by rollup (user.name, post.tag);"))
+
+
+def test_rowsets_beside_the_keys_they_were_made_with(engine):
+    engine.run("rowset even <- select post.id, post.score where post.score % 2 = 0; with named as select post.id, post.tag as label;")
+    assert got(engine.query("select post.id, even.post.score;")) == [(10, None), (11, 2), (12, 4), (13, 8)]
+    assert got(engine.query("select post.id, even.post.score, named.label where post.score > 1;")) == [(11, 2, None), (12, 4, "y"), (13, 8, None)]
+    with pytest.raises(LanguageError, match="connects"):  # two rowsets meet in nothing that isn't asked for
+        engine.query("select even.post.score, named.label;")
+
+
+def test_keys_from_lists(spark):
+    e = Engine(spark)
+    e.run("const prime <- unnest([2, 3, 5, 7, 11, 13]); def cubed(x) -> x * x * x + 1; auto place <- row_number prime; const truth <- unnest([true, null, false]);")
+    assert sorted(map(tuple, e.query("where cube % 7 = 0 select prime, @cubed(prime) as cube, cube * 2 as twice;").collect())) == [(3, 28, 56), (5, 126, 252), (13, 2198, 4396)]
+    assert got(e.query("select place where place = 1;")) == [(1,)]
+    assert got(e.query("select truth where not truth;")) == [(False,)]
+
+
+def test_merges_of_derived_keys(spark):
+    e = Engine(spark)
+    e.run("key p int; property p.n string; property p.last <- split(n, ',')[1]; key full string; property full.worth float; property full.r_last <- split(full, ' ')[2]; datasource ps (p: p, n: n) grain (p) query '''select * from values (1, 'Smith, John'), (2, 'Jones, Mary'), (3, 'Brown, Sam') as t(p, n)'''; datasource rich (f: full, w: worth) grain (full) query '''select * from values ('Andrew Smith', 100.0D), ('Betty Jones', 200.0D) as t(f, w)'''; merge r_last into ~last;")
+    assert got(e.query("where full is not null and n is not null select n, full;")) == [("Jones, Mary", "Betty Jones"), ("Smith, John", "Andrew Smith")]
+
+
+def test_stacked_keys_with_properties(spark):
+    e = Engine(spark)
+    e.run("key a int; property a.an string; key b int; property b.bn string; auto every <- union(a, b); auto name <- union(an, bn); datasource xa (x: a, y: an) grain (a) query '''select * from values (2, 'test'), (1, 'fun') as t(x, y)'''; datasource xb (x: b, y: bn) grain (b) query '''select * from values (4, 'bravo'), (5, 'alpha') as t(x, y)''';")
+    assert got(e.query("select every, name;")) == [(1, "fun"), (2, "test"), (4, "bravo"), (5, "alpha")]
+
+
+def test_aggregates_grouped_to_keys(engine):
+    engine.run("metric total <- sum(post.score); auto by_user <- group total by user.id;")
+    assert got(engine.query("select user.id as u, by_user as t;")) == [(1, 3), (2, 4), (3, None), (None, 8)]
+    assert got(engine.query("where post.score = max(post.score) by * and user.id is null select post.id, max(post.score) by * as m;")) == [(13, 8)]
