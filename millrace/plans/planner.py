@@ -192,6 +192,10 @@ class Planner:
     def grain_of(self, x: Node) -> frozenset[str]:
         return frozenset(k for r in self.roots(x) for k in self.model.natural_keys(r))
 
+    def grain_of_argument(self, x: Node) -> frozenset[str]:
+        """A filtered value is one of what is filtered, however fine the condition is."""
+        return self.grain_of(x.args[0] if x.kind == "filter" and self.roots(x.args[0]) else x)
+
     # Rows
 
     def rows(self, need: set[str], where: list[Node] = (), demanded: set[str] | None = None) -> Frame:
@@ -487,7 +491,8 @@ class Planner:
         if summary is not None:
             return summary
         frame = self.filtered(need, where, keys)
-        grain = frozenset(k for x in (*keys, *args) for k in self.grain_of(x))
+        grain = frozenset(k for x in keys for k in self.grain_of(x)) | frozenset(k for x in args for k in self.grain_of_argument(x))
+        finest = frozenset(k for x in (*keys, *args) for k in self.grain_of(x))
         put = []
         columns = []
         for k in keys:
@@ -499,9 +504,14 @@ class Planner:
                 frame, a = self.ready(frame, a, where, keys)
                 new.append(a)
             put.append(Node(n.kind, n.name, tuple(new), n.extra))
-        grain |= frozenset(k for n in inner if n.extra for x in n.extra[0] for k in self.grain_of(x))
-        grain = self.model.minimal(grain)
-        frame = self.to_grain(frame, grain)
+        more = frozenset(k for n in inner if n.extra for x in n.extra[0] for k in self.grain_of(x))
+        grain, finest = self.model.minimal(grain | more), self.model.minimal(finest | more)
+        known = self.model.closure(grain)
+        fine = [n for n in aggs for a in n.args if a.kind == "filter" and self.roots(a.args[0]) and not self.roots(a.args[1]) <= known]
+        counted = all(n.name in COUNTS and len(n.args) == 1 and n.args[0].args[0].kind == "ref" and self.model.natural_keys(n.args[0].args[0].name) == {n.args[0].args[0].name} for n in fine)
+        frame = self.to_grain(frame, finest if fine else grain)
+        if fine and not counted and all(k in frame.columns for k in grain):
+            frame, put, columns = self.collapsed(frame, grain, put, columns)
         df = frame.df.withColumns({f"k{i}": self.compile(k, frame.df, frame.columns) for i, k in enumerate(columns)}) if columns else frame.df
         names = [f"k{i}" for i in range(len(keys))]
         if by is None and put and frame.unique and not frame.unique & frame.padded and frame.unique <= {k.name for k in keys if k.kind == "ref"}:
@@ -516,6 +526,24 @@ class Planner:
         columns = [self.aggregate(n, df, frame, keys).alias(f"a{i}") for i, n in enumerate(put)]
         return grouped.agg(*columns) if columns else grouped.agg(F.count("*").alias("a")).drop("a")
 
+    def collapsed(self, frame: Frame, grain: frozenset[str], aggs: list[Node], keys: list[Node]) -> tuple[Frame, list[Node], list[Node]]:
+        """A row for each value of keys and grain, with the aggregates' arguments: a filtered one where any row passes."""
+        made = {f"k{i}": self.compile(k, frame.df, frame.columns) for i, k in enumerate(keys)}
+        values, put = {}, []
+        for i, n in enumerate(aggs):
+            if n.name in ("grouping", "grouping_id"):  # of keys, not of rows
+                put.append(n)
+                continue
+            args = []
+            for j, a in enumerate(n.args):
+                values[f"__x{i}_{j}"] = self.compile(a, frame.df, frame.columns)
+                args.append(Node("ref", f"$x{i}_{j}"))
+            put.append(Node(n.kind, n.name, tuple(args), n.extra))
+        by = [*made, *(frame.columns[k] for k in sorted(grain))]
+        df = frame.df.withColumns({**made, **values}).groupBy(*by).agg(*(F.any_value(c, F.lit(True)).alias(c) for c in values))
+        columns = {k: frame.columns[k] for k in grain} | {f"$x{c[3:]}": c for c in values} | {f"$k{i}": f"k{i}" for i in range(len(keys))}
+        return Frame(df, columns, frozenset(["$collapsed"])), put, [Node("ref", f"$k{i}") for i in range(len(keys))]
+
     def to_grain(self, frame: Frame, grain: frozenset[str]) -> Frame:
         """Distinct rows of a grain, with no work where the frame is known to have it."""
         if frame.unique == grain or not frame.unique or frame.unique <= grain:
@@ -971,7 +999,7 @@ class Planner:
         streams: dict[tuple, list[Node]] = {}
         for n in aggs:
             keys = tuple(n.extra[0]) if n.extra else tuple(grain)
-            arg_grain = self.model.minimal(frozenset(k for x in (*keys, *n.args) for k in self.grain_of(x)))
+            arg_grain = self.model.minimal(frozenset(k for x in keys for k in self.grain_of(x)) | frozenset(k for x in n.args for k in self.grain_of_argument(x)))
             if set(keys) == set(grain):
                 keys = tuple(grain)
             inner = tuple(sorted(repr(x) for a in n.args for x in self.own(a) if x.kind in ("agg", "scalar", "win")))

@@ -131,6 +131,14 @@ add("aggregates_all", "select event.type as kind, count(event.id) as n, count_di
 add("array_agg_any", "select region.name as r_name, array_sort(array_agg(nation.name)) as nations, any(region.id) as rid;", "select r_name, list_sort(list(n_name)) as nations, any_value(r_regionkey) as rid from region join nation on n_regionkey = r_regionkey group by 1")
 add("filtered_aggregate", "select orders.status as status, count(orders.id ? orders.total > 200000) as big, round(sum(orders.total ? orders.priority in ('1-URGENT', '2-HIGH')), 2) as urgent;",
     "select o_orderstatus as status, count(*) filter (o_totalprice > 200000) as big, round(sum(o_totalprice) filter (o_orderpriority in ('1-URGENT', '2-HIGH')), 2) as urgent from orders group by 1")
+add("filtered_measure", "select orders.status as status, round(sum(orders.total ? line.quantity > 45), 2) as s, count(orders.id ? line.quantity > 45) as n;",
+    "select o_orderstatus as status, round(sum(o_totalprice) filter (o_orderkey in (select l_orderkey from lineitem where l_quantity > 45)), 2) as s, count(*) filter (o_orderkey in (select l_orderkey from lineitem where l_quantity > 45)) as n from orders group by 1")
+add("filtered_output", "select (orders.id ? orders.status = 'P') as oid;", "select o_orderkey as oid from orders where o_orderstatus = 'P'")
+add("rollup_filtered", "select orders.status as status, round(sum(orders.total ? line.quantity > 45), 2) as s by rollup (orders.status);",
+    "select o_orderstatus as status, round(sum(o_totalprice) filter (o_orderkey in (select l_orderkey from lineitem where l_quantity > 45)), 2) as s from orders group by rollup (o_orderstatus)")
+add("rowset_beside", "with big as where orders.total > 350000 select orders.id, orders.total as total; select orders.id as oid, big.total as t;", "select o_orderkey as oid, case when o_totalprice > 350000 then o_totalprice end as t from orders")
+add("list_keys", "const size_ <- unnest([1, 2, 3, 50]); where size_ < 10 select size_ as s, size_ * size_ as sq;", "select s, s * s as sq from (values (1), (2), (3)) t(s)")
+add("merge_derived", "auto parity <- event.user % 25; merge parity into ~nation.id; select nation.name as n_name, count(event.id) as n;", "select n_name, count(event_id) as n from nation left join events on user_id % 25 = n_nationkey group by 1")
 add("where_aggregate", "where count(orders.id) by customer.id > 12 select customer.id as cid, customer.name as c_name;", "select c_custkey as cid, c_name from customer where c_custkey in (select o_custkey from orders group by 1 having count(*) > 12)")
 add("staged_where", "where orders.status = 'F' then where count(orders.id) by customer.id >= 6 select customer.id as cid, count(orders.id) as n;",
     "select o_custkey as cid, count(*) as n from orders where o_orderstatus = 'F' and o_custkey in (select o_custkey from orders where o_orderstatus = 'F' group by 1 having count(*) >= 6) group by 1")

@@ -353,3 +353,53 @@ def test_aggregates_grouped_to_keys(engine):
     engine.run("metric total <- sum(post.score); auto by_user <- group total by user.id;")
     assert got(engine.query("select user.id as u, by_user as t;")) == [(1, 3), (2, 4), (3, None), (None, 8)]
     assert got(engine.query("where post.score = max(post.score) by * and user.id is null select post.id, max(post.score) by * as m;")) == [(13, 8)]
+
+
+GROUPS = """key r int; property r.thing int; property r.way string; property r.kind string; property r.sort string; property r.size int;
+datasource rows_ (r: r, t: thing, w: way, k: ?kind, s: ?sort, z: size) grain (r) query '''select * from values (1, 100, 'S', 'A', 'x', 10), (2, 100, 'W', 'A', 'y', 20), (3, 200, 'W', 'B', 'x', 5), (4, 300, 'S', null, null, 3) as t(r, t, w, k, s, z)''';"""
+
+
+@pytest.fixture()
+def grouped(spark):
+    e = Engine(spark)
+    e.run(GROUPS)
+    return e
+
+
+@pytest.mark.parametrize("cond, want", [
+    ("count(r ? way = 'S') > 0", [(100,), (300,)]),
+    ("count(r ? way = 'S') by thing > 0", [(100,), (300,)]),
+    ("count(r ? way = 'S') by * > 0", [(100,), (200,), (300,)]),
+    ("way = 'S'", [(100,), (300,)]),
+    ("some_bare", [(100,), (300,)]),
+    ("some_global", [(100,), (200,), (300,)]),
+])
+def test_aggregates_in_conditions_take_the_selects_grain(grouped, cond, want):
+    grouped.run("auto some_bare <- count(r ? way = 'S') > 0; auto some_global <- count(r ? way = 'S') by * > 0;")
+    assert got(grouped.query(f"where {cond} select thing;")) == want
+
+
+def test_aggregates_in_conditions_without_a_grain(grouped):
+    assert got(grouped.query("where count(r) > 0 select thing, way;")) == [(100, "S"), (100, "W"), (200, "W"), (300, "S")]
+    assert got(grouped.query("where count(r ? way = 'S') > 0 select count(r) as c;")) == [(4,)]
+
+
+def test_filtered_aggregates_at_their_own_key(spark):
+    e = Engine(spark)
+    e.run("key o int; key i int; property <o, i>.flag bool; datasource ls (o: o, i: i, f: flag) grain (o, i) query '''select * from values (1, 1, false), (1, 2, true), (2, 1, false), (3, 1, true), (3, 2, true) as t(o, i, f)''';")
+    assert got(e.query("select o, count(o ? flag) by o as v;")) == [(1, 1), (2, 0), (3, 1)]
+    assert got(e.query("select o, sum(o ? flag) by o as v;")) == [(1, 1), (2, None), (3, 3)]
+    assert got(e.query("select o, max(o ? flag) by o as v;")) == [(1, 1), (2, None), (3, 3)]
+    assert got(e.query("select count(o ? flag) as v;")) == [(2,)]
+
+
+def test_windows_over_groupings(grouped):
+    grouped.run("auto total <- sum(size); auto lvl <- grouping(kind) + grouping(sort); auto parent <- case when grouping(sort) = 0 then kind else null end; auto rank_a <- rank(kind, sort) over (partition by lvl, parent order by total desc); auto rank_b <- rank(kind) over (partition by lvl order by total desc);")
+    rows = [tuple(r) for r in grouped.query("select kind, sort, total, lvl, rank_a, rank_b by rollup (kind, sort) order by lvl asc, kind asc, sort asc;").collect()]
+    assert rows == [("A", "x", 10, 0, 2, 2), ("A", "y", 20, 0, 1, 1), ("B", "x", 5, 0, 1, 3), (None, None, 3, 0, 1, 4), ("A", None, 30, 1, 1, 1), ("B", None, 5, 1, 2, 2), (None, None, 3, 1, 3, 3), (None, None, 38, 2, 1, 1)]
+
+
+def test_filtered_measures_count_once(engine):
+    """A post's score counts once, however many of its votes pass."""
+    assert got(engine.query("select sum(post.score ? vote.weight = 1) as s, sum(post.score) as every;")) == [(3, 15)]
+    assert got(engine.query("select user.name as n, sum(post.score ? vote.weight = 1) as s;")) == [("a", 3), ("b", None), (None, None)]
