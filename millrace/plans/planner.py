@@ -509,7 +509,8 @@ class Planner:
         known = self.model.closure(grain)
         fine = [n for n in aggs for a in n.args if a.kind == "filter" and self.roots(a.args[0]) and not self.roots(a.args[1]) <= known]
         counted = all(n.name in COUNTS and len(n.args) == 1 and n.args[0].args[0].kind == "ref" and self.model.natural_keys(n.args[0].args[0].name) == {n.args[0].args[0].name} for n in fine)
-        frame = self.to_grain(frame, finest if fine else grain)
+        if not all(self.repeats_dont_count(n, frame) for n in aggs):
+            frame = self.to_grain(frame, finest if fine else grain)
         if fine and not counted and all(k in frame.columns for k in grain):
             frame, put, columns = self.collapsed(frame, grain, put, columns)
         df = frame.df.withColumns({f"k{i}": self.compile(k, frame.df, frame.columns) for i, k in enumerate(columns)}) if columns else frame.df
@@ -526,6 +527,13 @@ class Planner:
         columns = [self.aggregate(n, df, frame, keys).alias(f"a{i}") for i, n in enumerate(put)]
         return grouped.agg(*columns) if columns else grouped.agg(F.count("*").alias("a")).drop("a")
 
+    def repeats_dont_count(self, n: Node, frame: Frame) -> bool:
+        """Whether an aggregate is the same over rows that occur several times: counts of keys are of different ones."""
+        if n.name in ("count_distinct", "min", "max", "bool_or", "bool_and", "any", "grouping", "grouping_id"):
+            return True
+        root = n.args[0].args[0] if n.name == "count" and n.args[0].kind == "filter" else n.args[0]
+        return n.name == "count" and root.kind == "ref" and root.name in self.model.concepts and not self.model.concepts[root.name].is_row and self.model.natural_keys(root.name) == {root.name} and frame.unique != {root.name}
+
     def collapsed(self, frame: Frame, grain: frozenset[str], aggs: list[Node], keys: list[Node]) -> tuple[Frame, list[Node], list[Node]]:
         """A row for each value of keys and grain, with the aggregates' arguments: a filtered one where any row passes."""
         made = {f"k{i}": self.compile(k, frame.df, frame.columns) for i, k in enumerate(keys)}
