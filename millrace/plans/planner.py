@@ -23,6 +23,8 @@ from .model import Concept, Datasource, Model
 from .search import cheapest_tree
 
 COUNTS = ("count", "count_distinct")
+#: How the names of sources begin that hold all values of the keys of union joins.
+UNITED = "united:"
 
 
 def conjuncts(x: Node | None) -> list[Node]:
@@ -133,6 +135,8 @@ class Planner:
         self.held: dict[str, Datasource] = {}
         #: Whether the select at hand may repeat rows, because only its set of rows matters.
         self.loose = False
+        #: Whether rows at hand may lack values of united keys, because those are added to the result.
+        self.narrow = False
 
     # Names and lineage
 
@@ -233,7 +237,7 @@ class Planner:
         return [sorted(g) for g in groups]
 
     def usable(self) -> dict:
-        return {n: d for n, d in self.model.datasources.items() if d.published and not d.aggregates and (self.eligible is None or n in self.eligible or d.rowset)}
+        return {n: d for n, d in self.model.datasources.items() if d.published and not d.aggregates and (self.eligible is None or n in self.eligible or d.rowset) and not (self.narrow and n.startswith(UNITED))}
 
     def linked(self, a: str, b: str) -> list[str]:
         """The keys on which two datasources can be joined."""
@@ -291,7 +295,9 @@ class Planner:
         return columns, filters
 
     def scan(self, name: str, where: list[Node] = ()) -> Frame:
-        d = self.model.datasources[name]
+        return self.scan_of(self.model.datasources[name], where)
+
+    def scan_of(self, d: Datasource, where: list[Node] = ()) -> Frame:
         df = d.push(*self.asked(d, where)) if d.push else d.load()
         if d.where is not None:
             df = df.where(self.compile_physical(self.physical(d.where, d), df))
@@ -453,7 +459,9 @@ class Planner:
         else:
             members = x.args[1].args if x.args[1].kind == "call" and x.args[1].name == "tuple" else (x.args[1],)
             rule = [members[0].args[1]] if len(members) == 1 and members[0].kind == "filter" else []  # what a filter leaves out is no member
+            narrow, self.narrow = self.narrow, False
             right = self.result([(f"m{i}", m.args[0] if rule else m, False) for i, m in enumerate(members)], [conjuncts(r) for r in rule], None, [])
+            self.narrow = narrow
         k = next(self.numbers)
         return df, names, right.toDF(*(f"__s{k}_{i}" for i in range(len(right.columns))))
 
@@ -687,6 +695,7 @@ class Planner:
             return self.setop(q["setop"])
         kept = self.eligible, self.scoped, dict(self.model.concepts), dict(self.model.datasources), dict(self.model.same)
         loose, self.loose = self.loose, False
+        narrow, self.narrow = self.narrow, False
         outer, self.model.memo = (self.probes, self.held, self.model.memo), None
         try:
             self.scoped = dict(self.scoped)
@@ -694,8 +703,7 @@ class Planner:
                 self.eligible = set(q["from"])
             if q.get("setop"):
                 self.register("", self.setop(q["setop"]), f"setop{next(self.numbers)}", q["setop"]["names"])
-            for kind, chain in q["joins"]:
-                self.scoped_join(kind, chain)
+            self.unite([self.scoped_join(kind, chain) for kind, chain in q["joins"]])
             self.model.memo = {}
             own = {a: x for a, x, _ in q["items"]}
             where = [conjuncts(self.expand(self.presence(self.named(w, own)))) for w in q["where"]]
@@ -712,6 +720,7 @@ class Planner:
             self.eligible, self.scoped = kept[:2]
             self.model.concepts, self.model.datasources, self.model.same = kept[2:]
             self.probes, self.held, self.model.memo = outer
+            self.narrow = narrow
 
     def scopes(self, q: dict) -> list[tuple]:
         """For each output: its name, what it is, the keys that it has a value for, the conditions its rows have passed, and the datasources of its rows."""
@@ -737,8 +746,11 @@ class Planner:
             out.append((name, kind, grain, population, self.cover(every, atoms, need) if every else []))
         return out
 
-    def scoped_join(self, kind: str, chain: list[Node]) -> None:
-        """subset join: the first is contained in the last, which anchors; union join: neither contains the other."""
+    def scoped_join(self, kind: str, chain: list[Node]) -> tuple[str, set[str]]:
+        """subset join: the first is contained in the last, which anchors; union join: neither contains the other.
+
+        Gives the anchor and, of a union join, the datasources that together have all its values.
+        """
         names = [self.join_key(x) for x in chain]
         anchor = names[-1]
         for x, n in zip(chain, names, strict=True):
@@ -746,12 +758,41 @@ class Planner:
                 own = [d.name for d in sorted(self.model.datasources.values(), key=lambda d: (n in d.grain, d.name)) if n in d.columns and d.published]
                 self.probes = {**self.probes, n: own, x.name: own}
         self.held = {**self.held, **{k: self.model.datasources[v[0]] for k, v in self.probes.items() if v and k not in self.held}}
+        united: set[str] = set()
+        for n in names if kind == "union" else ():
+            own = [d for d in self.usable().values() if n in d.columns]
+            if sure := [d for d in own if not d.is_partial(n)]:
+                own = [min(sure, key=lambda d: (len(d.grain | {n}), d.name))]
+            united |= {d.name for d in own}
+            if self.model.concepts[n].purpose != "key":  # values that aren't keys may be null
+                for d in list(self.model.datasources.values()):
+                    if n in d.columns:
+                        self.mark(d, n, "?")
         for n in names[:-1]:
             self.relate(n, anchor, partial=True)
         if kind == "union":
             for d in list(self.model.datasources.values()):
                 if anchor in d.columns:
-                    self.mark_partial(d, anchor)
+                    self.mark(d, anchor, "~")
+        return anchor, united
+
+    def unite(self, joins: list[tuple[str, set[str]]]) -> None:
+        """Sources of all values of the keys of union joins; keys that the same datasources bind have one, of their combinations."""
+        own: dict[str, set[str]] = {}
+        for key, names in joins:
+            if names:
+                own.setdefault(self.model.canonical(key), set()).update(names)
+        for names in {frozenset(n) for n in own.values()}:
+            keys = sorted(k for k, n in own.items() if n == names)
+            held = [d for d in (self.model.datasources[n] for n in sorted(names)) if all(k in d.columns for k in keys)]
+            marks = {k: "".join(m for m in "?" if any(m in d.columns[k][1] for d in held)) for k in keys}
+
+            def load(held=held, keys=keys) -> DataFrame:
+                frames = map(self.scan_of, held)
+                return reduce(DataFrame.union, (f.df.select(*map(f.col, keys)) for f in frames)).distinct()
+
+            name = UNITED + ",".join(keys)
+            self.model.datasources = {**self.model.datasources, name: Datasource(name, {k: (Node("ref", column_name(k)), marks[k]) for k in keys}, frozenset(keys), load, rowset=True)}
 
     def join_key(self, x: Node) -> str:
         """The concept that a side of a join names; an expression becomes a key of its own, bound where its concepts are."""
@@ -806,9 +847,9 @@ class Planner:
         twice = x.kind == "call" and x.name == "not" and x.args[0].kind == "call" and x.args[0].name == "not" and x.args[0].args[0].name == "present"
         return x.args[0].args[0] if twice else x
 
-    def mark_partial(self, d, concept: str) -> None:
+    def mark(self, d, concept: str, sign: str) -> None:
         e, marks = d.columns[concept]
-        self.model.datasources[d.name] = replace(d, columns={**d.columns, concept: (e, marks if "~" in marks else marks + "~")})
+        self.model.datasources[d.name] = replace(d, columns={**d.columns, concept: (e, marks if sign in marks else marks + sign)})
 
     def relate(self, a: str, b: str, partial: bool) -> None:
         """From now on a is b; where partial, what binds a has only part of b's values."""
@@ -1021,12 +1062,20 @@ class Planner:
                 columns[n] = f"x{next(made)}"
             return self.aggregates(own, list(keys), where).selectExpr(*(f"k{i} as `{columns[k]}`" for i, k in enumerate(keys)), *(f"a{i} as `{columns[n]}`" for i, n in enumerate(own)))
 
-        results = [stream(keys, own) for (keys, _, _), own in whole]
+        united = {k for n, d in self.model.datasources.items() if n.startswith(UNITED) for k in d.columns}
+        spread = bool(whole) and any(self.roots(g) & united for g in grain)
+        results = []
+        for (keys, _, _), own in whole:  # values that only the union of keys has come by a result of their own
+            self.narrow = spread and not any(self.roots(a) & united for n in own for a in n.args)
+            results.append(stream(keys, own))
+        self.narrow = False
+        if spread:
+            results.append(self.distinct(grain, where))
         df = self.distinct(grain, where, loose) if not results else results[0] if len(results) == 1 else merged(results, [columns[g] for g in grain])
         for (keys, _, _), own in parts:
             df = align(df, stream(keys, own), [columns[k] for k in keys])
         zero = [columns[n] for n in aggs if n.name in COUNTS]
-        if len(streams) > 1 and zero:
+        if (len(streams) > 1 or spread) and zero:
             df = df.fillna(0, subset=zero)
         return df, columns
 

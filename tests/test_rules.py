@@ -259,6 +259,26 @@ def test_joins_by_expression(spark):
     assert got(e.query("union join ca + 0 = cb + 0 select va, vb;")) == [(10, None), (20, "x"), (40, None), (None, "y")]
 
 
+THREE = """
+key l int; property l.lc int; key m int; property m.mc int; key c int; property c.cn string; key d int; property d.dn string;
+datasource ls (i: l, c: lc) grain (l) query '''select * from values (1, 1), (2, 1), (3, 7), (4, null) as t(i, c)''';
+datasource ms (i: m, c: ~c) grain (m) query '''select * from values (10, 2), (11, 2) as t(i, c)''';
+datasource cs (c: c, n: cn) grain (c) query '''select * from values (1, 'a'), (2, 'b'), (5, 'e') as t(c, n)''';
+datasource ds (d: d, n: dn) grain (d) query '''select * from values (5, 'five'), (9, 'nine') as t(d, n)''';
+"""
+
+
+def test_union_joins_have_the_values_of_every_side(spark):
+    """A key of one side without rows in any fact that is counted was lost."""
+    e = Engine(spark)
+    e.run(THREE)
+    assert got(e.query("union join lc = c select c as k, count(l) as a, count(m) as b;")) == sorted([(1, 2, 0), (2, 0, 2), (5, 0, 0), (7, 1, 0), (None, 1, 0)], key=repr)
+    assert got(e.query("union join lc = c select c as k, count(m) as b;")) == sorted([(1, 0), (2, 2), (5, 0), (7, 0), (None, 0)], key=repr)
+    assert got(e.query("union join lc = c select c as k, cn;")) == sorted([(1, "a"), (2, "b"), (5, "e"), (7, None), (None, None)], key=repr)
+    assert got(e.query("union join lc = c select count(c) as n;")) == [(4,)]
+    assert got(e.query("union join lc = c where c in (c ? c > 1) select c as k, count(l) as a;")) == [(2, 0), (5, 0), (7, 1)]
+
+
 def test_presence(spark):
     e = Engine(spark)
     e.run("key cust int; property cust.cname string; key ord int; property ord.oc int; property ord.amt int; datasource cs (i: cust, n: cname) grain (cust) query '''select * from values (1, 'A'), (2, 'B'), (3, 'C') as t(i, n)'''; datasource os (o: ord, c: oc, a: amt) grain (ord) query '''select * from values (100, 1, 10), (101, 1, 15), (102, 2, 20) as t(o, c, a)''';")
