@@ -279,6 +279,22 @@ def test_union_joins_have_the_values_of_every_side(spark):
     assert got(e.query("union join lc = c where c in (c ? c > 1) select c as k, count(l) as a;")) == [(2, 0), (5, 0), (7, 1)]
 
 
+def test_chains_of_union_joins_have_the_values_of_every_side(spark):
+    e = Engine(spark)
+    e.run(THREE)
+    want = sorted([(1, 2, 0, None), (2, 0, 2, None), (5, 0, 0, "five"), (7, 1, 0, None), (9, 0, 0, "nine"), (None, 1, 0, None)], key=repr)
+    assert got(e.query("union join lc = c = d select c as k, count(l) as a, count(m) as b, any(dn) as s;")) == want
+    assert got(e.query("union join lc = c union join c = d select c as k, count(l) as a, count(m) as b, any(dn) as s;")) == want
+    assert got(e.query("union join lc = c = d select d as k, count(m) as b;")) == [(k, b) for k, _, b, _ in want]
+
+
+def test_united_keys_of_several_columns(spark):
+    # keys that the same sources bind come in the combinations that these have
+    e = Engine(spark)
+    e.run("key ax int; key ay int; key a.row rowid; property a.row.av int; key bx int; key by_ int; key b.row rowid; property b.row.bv int; datasource ta (x: ax, y: ay, v: a.av) grain (a.row) query '''select * from values (1, 1, 10), (1, 1, 11), (1, 2, 12) as t(x, y, v)'''; datasource tb (x: bx, y: by_, v: b.bv) grain (b.row) query '''select * from values (1, 1, 5), (2, 2, 6) as t(x, y, v)''';")
+    assert got(e.query("union join ax = bx union join ay = by_ select bx as x, by_ as y;")) == [(1, 1), (1, 2), (2, 2)]
+
+
 def test_presence(spark):
     e = Engine(spark)
     e.run("key cust int; property cust.cname string; key ord int; property ord.oc int; property ord.amt int; datasource cs (i: cust, n: cname) grain (cust) query '''select * from values (1, 'A'), (2, 'B'), (3, 'C') as t(i, n)'''; datasource os (o: ord, c: oc, a: amt) grain (ord) query '''select * from values (100, 1, 10), (101, 1, 15), (102, 2, 20) as t(o, c, a)''';")
