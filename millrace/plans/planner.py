@@ -363,9 +363,9 @@ class Planner:
 
     # Conditions
 
-    def filtered(self, need: set[str], where: list[list[Node]], grain: list[Node]) -> Frame:
+    def filtered(self, need: set[str], where: list[list[Node]], grain: list[Node], beside: frozenset[str] = frozenset()) -> Frame:
         """Rows with the needed concepts that pass all stages; aggregates inside a stage see what passed the stages before."""
-        atoms, demanded = [a for stage in where for a in stage], set(need)
+        atoms, demanded = [a for stage in where for a in stage], set(need) - beside
         for a in atoms:
             need = need | self.roots(a) | ({r for k in grain for r in self.roots(k)} if any(n.kind == "agg" and not n.extra for n in self.own(a)) else set())
         frame = self.rows(need, atoms, demanded or None)
@@ -488,7 +488,7 @@ class Planner:
 
     # Aggregates
 
-    def aggregates(self, aggs: list[Node], keys: list[Node], where: list[list[Node]], by: tuple | None = None) -> DataFrame:
+    def aggregates(self, aggs: list[Node], keys: list[Node], where: list[list[Node]], by: tuple | None = None, beside: frozenset[str] = frozenset()) -> DataFrame:
         """One row for each value of keys (k0, k1, ...) with the aggregates a0, a1, ...; all from one stream of rows."""
         args = [a for n in aggs for a in n.args]
         inner = [x for a in args for x in self.own(a) if x.kind in ("agg", "scalar", "win")]
@@ -498,7 +498,7 @@ class Planner:
         summary = self.from_summary(aggs, keys, where)
         if summary is not None:
             return summary
-        frame = self.filtered(need, where, keys)
+        frame = self.filtered(need, where, keys, beside)
         grain = frozenset(k for x in keys for k in self.grain_of(x)) | frozenset(k for x in args for k in self.grain_of_argument(x))
         finest = frozenset(k for x in (*keys, *args) for k in self.grain_of(x))
         put = []
@@ -925,13 +925,19 @@ class Planner:
         late += [x for x, _, _ in order]
         for x in late:
             bare(x)
-        for n in aggs:  # keys of pinned aggregates that the result's keys determine
+        pinned: list[Node] = []
+        for n in aggs:
             for k in n.extra[0] if n.extra else ():
                 if k not in dims and k not in hidden:
                     hidden.append(k)
+                    pinned.append(k)
+        # Keys of pinned aggregates that the result's keys determine are looked up: their other values add no rows.
+        shown = frozenset(k for x in (*dims, *hidden) if x not in pinned for k in self.grain_of(x))
+        known = self.model.closure(shown) if shown else frozenset()
+        beside = frozenset(r for k in pinned if self.roots(k) <= known for r in self.roots(k)) - {r for x in (*dims, *hidden) if x not in pinned for r in self.roots(x)}
         alone = {k for n in aggs if n.extra for k in n.extra[0]}
         grain = [*dims, *[h for h in hidden if not (h in alone and not dims and not self.needed_outside(h, terms))]]
-        df, columns = self.shape(grain, aggs, where, by, list(dims), loose)
+        df, columns = self.shape(grain, aggs, where, by, list(dims), loose, beside)
         # Everything below works on columns: grain expressions g0.. and aggregates.
         put = {x: Node("ref", c) for x, c in columns.items()}
 
@@ -1018,8 +1024,8 @@ class Planner:
         first = nulls == "first"
         return (c.desc_nulls_first() if first else c.desc_nulls_last()) if desc else (c.asc_nulls_first() if first else c.asc_nulls_last())
 
-    def shape(self, grain: list[Node], aggs: list[Node], where: list, by: tuple | None, dims: list[Node], loose: bool = False) -> tuple[DataFrame, dict[Node, str]]:
-        """The grain's distinct rows (g0, g1, ...) with every aggregate's column."""
+    def shape(self, grain: list[Node], aggs: list[Node], where: list, by: tuple | None, dims: list[Node], loose: bool = False, beside: frozenset[str] = frozenset()) -> tuple[DataFrame, dict[Node, str]]:
+        """The grain's distinct rows (g0, g1, ...) with every aggregate's column. beside: concepts whose values add no rows."""
         columns: dict[Node, str] = {g: f"g{i}" for i, g in enumerate(grain)}
         if by is not None:
             keys = [*dict.fromkeys(x for s in by[1] for x in s)] if by[0] == "sets" else list(by[1])
@@ -1060,7 +1066,8 @@ class Planner:
         def stream(keys: tuple, own: list[Node]) -> DataFrame:
             for n in own:
                 columns[n] = f"x{next(made)}"
-            return self.aggregates(own, list(keys), where).selectExpr(*(f"k{i} as `{columns[k]}`" for i, k in enumerate(keys)), *(f"a{i} as `{columns[n]}`" for i, n in enumerate(own)))
+            more = beside - {r for n in own for a in n.args for r in self.roots(a)} if set(keys) == set(grain) else frozenset()
+            return self.aggregates(own, list(keys), where, beside=more).selectExpr(*(f"k{i} as `{columns[k]}`" for i, k in enumerate(keys)), *(f"a{i} as `{columns[n]}`" for i, n in enumerate(own)))
 
         united = {k for n, d in self.model.datasources.items() if n.startswith(UNITED) for k in d.columns}
         spread = bool(whole) and any(self.roots(g) & united for g in grain)
@@ -1070,8 +1077,8 @@ class Planner:
             results.append(stream(keys, own))
         self.narrow = False
         if spread:
-            results.append(self.distinct(grain, where))
-        df = self.distinct(grain, where, loose) if not results else results[0] if len(results) == 1 else merged(results, [columns[g] for g in grain])
+            results.append(self.distinct(grain, where, beside=beside))
+        df = self.distinct(grain, where, loose, beside) if not results else results[0] if len(results) == 1 else merged(results, [columns[g] for g in grain])
         for (keys, _, _), own in parts:
             df = align(df, stream(keys, own), [columns[k] for k in keys])
         zero = [columns[n] for n in aggs if n.name in COUNTS]
@@ -1079,12 +1086,12 @@ class Planner:
             df = df.fillna(0, subset=zero)
         return df, columns
 
-    def distinct(self, grain: list[Node], where: list, loose: bool = False) -> DataFrame:
+    def distinct(self, grain: list[Node], where: list, loose: bool = False, beside: frozenset[str] = frozenset()) -> DataFrame:
         """The distinct rows of the grain's expressions (R1); no distinct where the rows' own key is among them."""
         if not grain:
             return self.spark.range(1).select(F.lit(1).alias("__one"))
         need = {r for g in grain for r in self.roots(g)}
-        frame = self.filtered(need, where, grain)
+        frame = self.filtered(need, where, grain, beside)
         refs = frozenset(g.name for g in grain if g.kind == "ref")
         generated = [g for g in grain if any(n.kind == "call" and n.name in ("unnest", "date_spine") for n in self.own(g))]
         made = []

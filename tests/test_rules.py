@@ -353,6 +353,14 @@ def test_filtered_concepts_as_outputs(engine):
     assert got(engine.query("select user.id as u, count(filter post.id where post.score > 1) as n;")) == [(1, 1), (2, 1), (3, 0), (None, 1)]
 
 
+def test_keys_of_pinned_aggregates_add_no_rows(engine):
+    """A user without posts came out as a row without a post."""
+    assert got(engine.query("select post.id, group(user.name) by user.id as n;")) == [(10, "a"), (11, "a"), (12, "b"), (13, None)]
+    assert got(engine.query("select post.id, count(vote.id) as v, count(post.id) by user.id as n;")) == [(10, 2, 2), (11, 1, 2), (12, 1, 1), (13, 0, 1)]
+    assert got(engine.query("select post.id, max(post.score) by user.name as n;")) == [(10, 2), (11, 2), (12, 4), (13, 8)]
+    assert got(engine.query("select user.id, count(post.id) by user.id as n;")) == [(1, 2), (2, 1), (3, 0), (None, 1)]
+
+
 def test_rollup_over_all_outputs(engine):
     assert got(engine.query("select user.name as n, post.tag as t, sum(post.score) as s, by rollup ();")) == got(engine.query("select user.name as n, post.tag as t, sum(post.score) as s by rollup (user.name, post.tag);"))
 
