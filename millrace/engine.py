@@ -305,9 +305,12 @@ class Engine:
 
     def do_rowset(self, name: str, select: dict) -> None:
         df = self.planner.select(select, nested=True)
-        grain = None
+        grain, owned = None, {}
         if "items" in select:
-            dims = [column_name(a) for a, x, h in select["items"] if not h and not any(n.kind in ("agg", "win") for n in self.planner.own(self.planner.expand(x)))]
+            shown = {column_name(a): self.planner.expand(x) for a, x, h in select["items"] if not h}
+            shown = {a: x for a, x in shown.items() if not any(n.kind in ("agg", "win") for n in self.planner.own(x))}
+            owned = self.owned(shown)
+            dims = [a for a in shown if a not in owned]
             grain = dims if dims else None
             if not dims and df.columns:
                 grain = []
@@ -316,7 +319,20 @@ class Engine:
         else:
             kept = [(a, self.model.address(x.name)) for a, x, h in select.get("items", []) if not h and x.kind == "ref" and a == x.name]
             echo = {base: column_name(a) for a, base in kept if self.model.concepts[base].purpose == "key" and self.model.concepts[base].lineage is None}
-            self.planner.register(name, df, f"rowset.{name}", None, grain, echo)
+            self.planner.register(name, df, f"rowset.{name}", None, grain, echo, owned)
+
+    def owned(self, shown: dict[str, Node]) -> dict[str, list[str]]:
+        """Of a select's columns, those that stay properties: the columns of the keys that determine them."""
+        keys = {x.name: a for a, x in reversed(shown.items()) if x.kind == "ref" and not self.model.concepts[x.name].is_row and self.model.natural_keys(x.name) == {x.name}}
+        known = self.model.closure(frozenset(keys)) if keys else frozenset()
+        out = {}
+        for a, x in shown.items():
+            roots = self.planner.roots(x)
+            if a in keys.values() or not roots or not roots <= known or any(n.kind == "call" and n.name in ("unnest", "date_spine") or n.kind in ("scalar", "subselect") for n in x.walk()):
+                continue
+            own = frozenset(k for r in roots for k in self.model.natural_keys(r))
+            out[a] = [keys[k] for k in sorted(own if own <= keys.keys() else self.model.minimal(frozenset(keys)))]
+        return out
 
     def single(self, name: str, df: DataFrame) -> None:
         columns = {}

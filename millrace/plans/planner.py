@@ -1175,12 +1175,15 @@ class Planner:
             out = out.orderBy(*(self.direction(self.compile(x, out, columns), d, n) for x, d, n in q["order"]))
         return out.limit(q["limit"]) if q["limit"] is not None else out
 
-    def register(self, prefix: str, df: DataFrame, name: str, names: list | None = None, grain: list[str] | None = None, echo: dict | None = None) -> None:
-        """Makes the columns of a result concepts of their own (prefix.column), bound by one source."""
-        columns = {}
+    def register(self, prefix: str, df: DataFrame, name: str, names: list | None = None, grain: list[str] | None = None, echo: dict | None = None, owned: dict[str, list[str]] | None = None) -> None:
+        """Makes the columns of a result concepts of their own (prefix.column), bound by one source.
+
+        owned: for columns that fewer keys than the whole grain determine, those.
+        """
+        columns, of = {}, {}
         grain_addresses = []
         for i, c in enumerate(df.columns):
-            a = (f"{prefix}." if prefix else "") + (names[i][0] if names else c.replace("__", "."))
+            a = of[c] = (f"{prefix}." if prefix else "") + (names[i][0] if names else c.replace("__", "."))
             key = grain is None or c in grain
             self.model.concepts = {**self.model.concepts, a: Concept(a, "key" if key else "property", None, None)}
             columns[a] = (Node("ref", c), "")
@@ -1189,9 +1192,10 @@ class Planner:
         row = f"{name}.$row"
         self.model.concepts[row] = Concept(row, "key", "rowid")
         bag = grain is None
+        less = {of[c]: frozenset(of[k] for k in keys) for c, keys in (owned or {}).items()}
         for a in columns:
             if bag or a not in grain_addresses:
-                self.model.concepts[a] = Concept(a, "property" if bag else self.model.concepts[a].purpose, None, frozenset([row]) if bag else frozenset(grain_addresses))
+                self.model.concepts[a] = Concept(a, "property" if bag else self.model.concepts[a].purpose, None, frozenset([row]) if bag else less.get(a, frozenset(grain_addresses)))
         self.model.datasources = {**self.model.datasources, name: Datasource(name, columns, frozenset([row]) if bag else frozenset(grain_addresses), lambda: df, rowset=True, echo=echo or {})}
 
     # Expressions

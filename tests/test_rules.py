@@ -373,6 +373,24 @@ def test_rowsets_beside_the_keys_they_were_made_with(engine):
         engine.query("select even.post.score, named.label;")
 
 
+BILLS = """
+key bill int; key payer int; property payer.pn string; property bill.sum_ float;
+datasource bills (b: bill, p: ~?payer, s: sum_) grain (bill) query '''select * from values (1, 1, 5.0), (2, 1, 5.0), (3, 2, 5.0), (4, 2, 7.0), (5, null, 5.0) as t(b, p, s)''';
+datasource payers (p: payer, n: pn) grain (payer) query '''select * from values (1, 'a'), (2, 'a'), (3, 'c') as t(p, n)''';
+"""
+
+
+def test_measures_of_rowsets_count_once_a_row(spark):
+    """Equal totals of one customer were summed once."""
+    e = Engine(spark)
+    e.run(BILLS + "with r as select bill as b, payer as p, sum_ as s, sum_ * 2 as d;")
+    assert got(e.query("select r.p as p, count(r.b) as n, sum(r.s) as s, sum(r.d) as d, avg(r.s) as m;")) == sorted([(1, 2, 10.0, 20.0, 5.0), (2, 2, 12.0, 24.0, 6.0), (3, 0, None, None, None), (None, 1, 5.0, 10.0, 5.0)], key=repr)
+    assert got(e.query("select r.p as p;")) == [(1,), (2,), (3,), (None,)]
+    assert got(e.query("select count(r.p) as n;")) == [(3,)]
+    assert got(e.query("select r.s as s;")) == [(5.0,), (7.0,), (None,)]
+    assert got(e.query("select r.b as b, r.s as s;")) == sorted([(1, 5.0), (2, 5.0), (3, 5.0), (4, 7.0), (5, 5.0), (None, None)], key=repr)
+
+
 def test_keys_from_lists(spark):
     e = Engine(spark)
     e.run("const prime <- unnest([2, 3, 5, 7, 11, 13]); def cubed(x) -> x * x * x + 1; auto place <- row_number prime; const truth <- unnest([true, null, false]);")
