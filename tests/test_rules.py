@@ -391,6 +391,15 @@ def test_measures_of_rowsets_count_once_a_row(spark):
     assert got(e.query("select r.b as b, r.s as s;")) == sorted([(1, 5.0), (2, 5.0), (3, 5.0), (4, 7.0), (5, 5.0), (None, None)], key=repr)
 
 
+def test_sums_over_rowsets_by_a_key_or_a_property(spark):
+    e = Engine(spark)
+    e.run(BILLS + "with dear as where sum_ < 6 select bill as b, payer as p, sum_ as s, pn as n; with top as select bill as b, sum_ as s order by sum_ desc, bill limit 3;")
+    assert got(e.query("select dear.p as p, sum(dear.s) as s;")) == sorted([(1, 10.0), (2, 5.0), (None, 5.0)], key=repr)
+    assert got(e.query("select dear.n as n, sum(dear.s) as s;")) == sorted([("a", 15.0), (None, 5.0)], key=repr)
+    assert got(e.query("select sum(dear.s) as s, count(dear.b) as n;")) == [(20.0, 4)]
+    assert got(e.query("select sum(top.s) as s;")) == [(17.0,)]
+
+
 def test_keys_from_lists(spark):
     e = Engine(spark)
     e.run("const prime <- unnest([2, 3, 5, 7, 11, 13]); def cubed(x) -> x * x * x + 1; auto place <- row_number prime; const truth <- unnest([true, null, false]);")
