@@ -1,0 +1,48 @@
+"""Near copies of the pipeline come from Golay keys of SimHash fingerprints, in large groups, too."""
+
+import random
+
+import numpy as np
+from millrace.llm import near_copies, simhash_dedup
+
+
+def rows_of(sets):
+    batch = [near_copies.prints(h) for h in sets]
+    out = []
+    for k, raw in enumerate(np.frombuffer(b, np.uint8) for b in batch):
+        bits = np.unpackbits(raw[: 8 * near_copies._FIRST])[: 23 * near_copies.TABLES].reshape(near_copies.TABLES, 23).astype(np.int64)
+        rest = raw[8 * near_copies._FIRST :].copy().view(np.int64).reshape(near_copies.TABLES, 2)
+        for t, word in enumerate(bits @ (np.int64(1) << np.arange(23))):
+            out += [(t * 4096 + x, len(sets[k]), k, k, *rest[t]) for x in simhash_dedup.golay_keys(np.array([word]))[0] if x >= 0]
+    return [np.array(c, np.int64) for c in zip(*sorted(out), strict=True)]
+
+
+def test_pairs_at_the_similarity_meet_in_golay_keys(monkeypatch):
+    r = np.random.default_rng(5)
+    sets = []
+    for k in range(60):  # 9 n + n against 9 n + n: 9 in 11 alike; and n of n + n / 4
+        n = 4 + 4 * (k % 30)
+        h = np.unique(r.integers(0, 1 << 63, n + n // 4, np.uint64))
+        sets += [h, np.sort(r.permutation(h)[:n])]
+    told = near_copies.met(rows_of(sets), 0.8, "rest")
+    assert {(a, b) for a, b, _, _ in told.tolist() if a != b} == {(2 * k, 2 * k + 1) for k in range(60)}
+    rows = rows_of(sets)
+    monkeypatch.setattr(simhash_dedup, "golay_keys", lambda x: np.full((len(x), 6), -1))
+    assert not len(near_copies.met(rows, 0.8, "rest"))
+
+
+def test_a_large_group_costs_a_row_a_member(spark):
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(200)]
+    texts = {}
+    for k in range(300):
+        words = list(base)
+        for _ in range(2):
+            words[r.randrange(200)] = f"x{r.random()}"
+        texts[k] = " ".join(words)
+    texts[300], texts[301] = "something else altogether", " ".join(base[:100])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_copies.near_groups(df).collect()}
+    assert got == {k: 0 if k < 300 else k for k in texts}
+    sets = near_copies.shingle_sets(df, keyed=True).selectExpr("sid", "sid as root", "n", "prints")
+    assert near_copies.meeting(sets, 0.8, "stars").count() <= 4 * 301  # a row a set and partition, where pairs were 45,000
