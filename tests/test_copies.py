@@ -24,7 +24,7 @@ def copies(request, tmp_path_factory):
     return str(d), c
 
 
-@pytest.mark.parametrize("name", ["join_chain"])
+@pytest.mark.parametrize("name", ["join_chain", "rowset"])
 def test_query(spark, copies, name):
     d, duck = copies
     df, want = queries.QUERIES[name](spark, d), duck.sql(queries.ORACLES[name])
